@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from quillspark.llm import mixing, quality
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), x -> x != '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x != '')"
 
 
 def _near(n: int) -> str:
     shingle = "coalesce(array_to_string(w[i:i + {m}], ' '), '')".format(m=n - 1)
     return rf"""
-with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), x -> x != '') as w from documents),
-s as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < {n} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {n - 2}), i -> {shingle}) end) as s from d),
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x != '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < {n} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {n - 2}), lambda i: {shingle}) end) as s from d),
 n as (select doc_id, len(s) as n_shingles, s from s),
 u as (select doc_id, unnest(s) as g, n_shingles from n),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n_shingles) as na, any_value(b.n_shingles) as nb from u a join u b on a.g = b.g and a.doc_id < b.doc_id group by all),
@@ -30,18 +30,18 @@ twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by d
 rep as (select doc_id, count(*) as n from (select distinct doc_id, unnest([i, i + 1, i + 2]) as p from twice) group by doc_id),
 f as (select w.doc_id, lang, cast(length(t) as bigint) as n_chars, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
   cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
-  cast(len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \x09-\x0D]')))) as bigint) as n_dup_lines,
+  cast(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')))) as bigint) as n_dup_lines,
   cast(coalesce(rep.n, 0) as bigint) as n_repeat_words,
   [cast(length(regexp_replace(t, '[^A-Z]+', '', 'g')) as bigint), length(regexp_replace(t, '[^0-9]+', '', 'g')), length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')), length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')), length(t) - length(array_to_string(w, ''))] as c,
-  list_transform(case lang {" ".join(f"when '{k}' then {v.split()}" for k, v in quality.COMMON.items())} else [] end, k -> cast(len(list_filter(w, x -> x = k)) as bigint)) as h
+  list_transform(case lang {" ".join(f"when '{k}' then {v.split()}" for k, v in quality.COMMON.items())} else [] end, lambda k: cast(len(list_filter(w, lambda x: x = k)) as bigint)) as h
   from w left join rep using (doc_id)),
 per as (select lang, sum(n_chars) as chars, sum(n_words) as words, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5])] as c, [{", ".join(f"sum(h[{i + 1}])" for i in range(quality.N_COMMON))}] as h from f group by lang having count(*) >= {quality.MIN_REFERENCE}),
 every as (select sum(n_chars) as chars, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5])] as c from f),
 j as (select f.*, coalesce(per.chars, every.chars) as rchars, coalesce(per.c, every.c) as rc, per.words as rwords, per.h as rh from f left join per using (lang) cross join every),
-q as (select *, list_transform(c || [n_chars - list_sum(c)], x -> x / n_chars) as p1, list_transform(rc || [rchars - list_sum(rc)], x -> x / rchars) as q1,
-  list_transform(h || [n_words - list_sum(h)], x -> x / n_words) as p2, list_transform(rh || [rwords - list_sum(rh)], x -> x / rwords) as q2 from j),
-v as (select *, round(sqrt(greatest(list_sum(list_transform(list_zip(p1, q1), z -> (case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end) / 2)), 0)), 6) as d1,
-  round(sqrt(greatest(list_sum(list_transform(list_zip(p2, q2), z -> (case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end) / 2)), 0)), 6) as d2 from q),
+q as (select *, list_transform(c || [n_chars - list_sum(c)], lambda x: x / n_chars) as p1, list_transform(rc || [rchars - list_sum(rc)], lambda x: x / rchars) as q1,
+  list_transform(h || [n_words - list_sum(h)], lambda x: x / n_words) as p2, list_transform(rh || [rwords - list_sum(rh)], lambda x: x / rwords) as q2 from j),
+v as (select *, round(sqrt(greatest(list_sum(list_transform(list_zip(p1, q1), lambda z: (case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end) / 2)), 0)), 6) as d1,
+  round(sqrt(greatest(list_sum(list_transform(list_zip(p2, q2), lambda z: (case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end) / 2)), 0)), 6) as d2 from q),
 g as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed, case when n_chars >= {quality.MIN_CHARS_FOR_CLASSES} then d1 end as class_distance,
   case when n_words >= {quality.MIN_WORDS_FOR_WORDS} and len(h) > 0 and rwords is not null then d2 end as word_distance from v)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(class_distance, 0) <= {quality.MAX_CLASS_DISTANCE} and coalesce(word_distance, 0) <= {quality.MAX_WORD_DISTANCE} as kept, class_distance, word_distance from g
