@@ -2,5 +2,162 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.operators import registry as G
+from quillspark.operators import retrieval as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: Stated query vectors: those whose id 50 divides.
+EVERY = 50
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+TOK = r"list_transform(regexp_extract_all({}, '[A-Za-z0-9._-]+|[\x{{AC00}}-\x{{D7A3}}]+'), lambda x: lower(x))"
+_C = f"c as (select doc_id as chunk_key, {TOK.format("coalesce(text, '')")} as t from documents)"
+_P = "p as (select chunk_key, any_value(n) as dl, term, count(*) as tf from (select chunk_key, len(t) as n, unnest(t) as term from c) group by chunk_key, term)"
+_BM25 = rf"""{_C}, {_P}, s as (select count(*) as n, avg(len(t)) as avgdl from c), df as (select term, count(*) as df from p group by term),
+q as (select query_id, term, count(*) as times from (select item_id as query_id, unnest({TOK.format('text')}) as term from benchmark) group by all),
+bm as (select query_id, chunk_key, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join p using (term) join df using (term) cross join s group by query_id, chunk_key),
+kw as (select *, row_number() over (partition by query_id order by score desc, chunk_key) as rank from bm qualify rank <= 4)"""
+_VEC = f"""v as (select q.vec_id as query_id, e.vec_id as chunk_key, round(1 - (2 - 2 * list_dot_product(e.embedding::double[], q.embedding::double[])) / sqrt(2.0), 6) as score from embeddings e, embeddings q where q.vec_id % {EVERY} = 0),
+vk as (select *, row_number() over (partition by query_id order by score desc, chunk_key) as rank from v qualify rank <= 4)"""
+
+
+@query(f"with {_C} select chunk_key, cast(len(t) as integer) as n_tokens, array_to_string(t, ' ') as tokens from c")
+def tokenize(spark, sf_dir):
+    t = F.col("tokens")
+    return R.tokenized(chunks(spark, sf_dir)).select("chunk_key", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+
+
+@query(f"with {_C}, {_P} select chunk_key, term, tf, cast(dl as bigint) as dl from p")
+def term_frequency(spark, sf_dir):
+    return R.postings(chunks(spark, sf_dir)).select("chunk_key", "term", "tf", "dl")
+
+
+@query(f"with {_C}, {_P} select term, count(*) as df from p group by term")
+def document_frequency(spark, sf_dir):
+    return R.document_frequency(R.postings(chunks(spark, sf_dir)))
+
+
+@query(f"with {_C} select count(*) as n, round(avg(len(t)), 6) as avgdl from c")
+def corpus_stats(spark, sf_dir):
+    return R.corpus_stats(chunks(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"with {_BM25} select query_id, chunk_key, score, cast(rank as integer) as rank from kw")
+def bm25_topk(spark, sf_dir):
+    return R.top_k(R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir)))
+
+
+@query(f"with {_BM25}, k2 as (select bm.*, row_number() over (partition by query_id order by score desc, chunk_key) as rank from bm join documents d on d.doc_id = chunk_key and d.source = 'src0' qualify rank <= 4) select query_id, chunk_key, score, cast(rank as integer) as rank from k2")
+def bm25_scoped(spark, sf_dir):
+    """Scope narrows the chunks, not the statistics."""
+    docs = table(spark, sf_dir, "documents")
+    inside = docs.where("source = 'src0'").select(F.col("doc_id").alias("chunk_key"))
+    return R.top_k(R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir)).join(inside, "chunk_key", "left_semi"))
+
+
+def vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return R.top_k(R.vector_scores(e.select(F.col("vec_id").alias("chunk_key"), "embedding"), e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))))
+
+
+@query(f"with {_VEC} select query_id, chunk_key, score, cast(rank as integer) as rank from vk")
+def vector_topk(spark, sf_dir):
+    return vectors(spark, sf_dir)
+
+
+@query(f"with {_VEC} select query_id, chunk_key, score, cast(rank as integer) as rank from vk where score >= 0.3")
+def vector_min_score(spark, sf_dir):
+    return vectors(spark, sf_dir).where("score >= 0.3")
+
+
+_FUSED = f"""{_BM25}, {_VEC}, f as (select coalesce(vk.query_id, kw.query_id) as query_id, coalesce(vk.chunk_key, kw.chunk_key) as chunk_key, round(coalesce(1.0::double / (60 + vk.rank), 0) + coalesce(1.0::double / (60 + kw.rank), 0), 9) as rrf_score, greatest(coalesce(vk.score, 0), 0) as vector_score, coalesce(kw.score, 0) as keyword_score, vk.rank is not null as in_vector, kw.rank is not null as in_keyword, vk.rank as vr, kw.rank as kr from vk full join kw on vk.query_id = kw.query_id and vk.chunk_key = kw.chunk_key),
+fr as (select *, row_number() over (partition by query_id order by rrf_score desc, vector_score desc, keyword_score desc, vr nulls last, kr nulls last) as rank from f qualify rank <= 4)"""
+
+
+@query(f"with {_FUSED} select query_id, chunk_key, rrf_score, vector_score, keyword_score, in_vector, in_keyword, cast(rank as integer) as rank from fr")
+def rrf_fusion(spark, sf_dir):
+    return R.fuse(vectors(spark, sf_dir), bm25_topk(spark, sf_dir))
+
+
+@query(f"""with {_FUSED}, b as (select query_id, greatest(max(score), 0) as best from vk group by 1), st as (select kw.query_id, list_filter({TOK.format('b.text')}, lambda x: len(x) >= 2) as q, c.t from kw join benchmark b on b.item_id = kw.query_id join c using (chunk_key) where rank = 1),
+sh as (select query_id, len(q) as nq, list_filter(q, lambda x: list_contains(t, x)) as h from st), sg as (select query_id, len(list_filter(h, lambda x: regexp_matches(x, '[0-9_-]'))) > 0 or (len(h) >= least(nq, 2) and nq > 0) as strong from sh)
+select query_id, round(least(greatest(case when coalesce(in_vector and in_keyword, false) then least(coalesce(best, 0) + 0.15, 1) else coalesce(best, 0) end, case when coalesce(strong, false) then 0.75 else 0 end), 1), 6) as confidence from (select * from fr where rank = 1) x full join b using (query_id) left join sg using (query_id)""")
+def confidence(spark, sf_dir):
+    v, k, c = vectors(spark, sf_dir), bm25_topk(spark, sf_dir), chunks(spark, sf_dir)
+    return R.confidence(R.fuse(v, k), v, R.strong_hit(asked(spark, sf_dir), k, c))
+
+
+_BARE = r"regexp_replace(coalesce(text, ''), '\s+', '', 'g')"
+_QUAL = rf"""q as (select doc_id, length({_BARE}) as chars, case when length({_BARE}) = 0 then 1.0::double else round(greatest(0, 1 - length(regexp_replace({_BARE}, '[^A-Za-z0-9\x{{AC00}}-\x{{D7AF}}\x{{1100}}-\x{{11FF}}\x{{3130}}-\x{{318F}}.,!?;:''"()\[\]{{}}\-_/\\@#$%&*+=<>~`|]', '', 'g')) / length({_BARE})), 3) end as gibberish, 'unknown' as lang from documents)"""
+
+
+def judged(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", T.real_chars(t).alias("chars"), T.gibberish_ratio(t).alias("gibberish"), T.language(t).alias("lang"))
+
+
+@query(f"with {_QUAL} select doc_id, cast(chars as integer) as chars, gibberish, lang, concat_ws(',', case when chars < 80 then 'low_text_yield' end, case when gibberish > 0.35 then 'garbled_text' end, case when chars >= 40 then 'language_uncertain' end) as flags, round(least(greatest(0.92::double - case when chars < 120 then 0.08::double else 0 end - case when chars < 40 then 0.15::double else 0 end - 0.6::double * least(gibberish, 0.5::double), 0.05), 0.99), 2) as confidence, gibberish > 0.35 or chars < 80 as fallback from q")
+def page_quality(spark, sf_dir):
+    x = judged(spark, sf_dir)
+    c, g, lang, kind = F.col("chars"), F.col("gibberish"), F.col("lang"), F.lit("digital")
+    return x.select("doc_id", "chars", "gibberish", "lang", T.quality_flags(c, g, lang).alias("flags"), T.extraction_confidence(F.lit("text"), c, g).alias("confidence"), T.needs_fallback(kind, c, g).alias("fallback"))
+
+
+@query(f"with {_QUAL} select doc_id, case when chars < 80 and gibberish > 0.35 then 'low_text_yield+garbled_text' when chars < 80 then 'low_text_yield' when gibberish > 0.35 then 'garbled_text' else 'quality_gate' end as reason from q")
+def routing_reason(spark, sf_dir):
+    return judged(spark, sf_dir).select("doc_id", T.routing_reason(F.lit("digital"), F.col("chars"), F.col("gibberish")).alias("reason"))
+
+
+@query("select doc_id, '[Document: ' || coalesce(nullif(source, ''), 'unknown') || ' | Page: 1' || case when coalesce(lang, '') not in ('', 'unknown') then ' | Lang: ' || lang else '' end || ']' as header from documents")
+def context_header(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.context_header(F.col("source"), F.lit(None).cast("string"), F.lit(1), F.col("lang")).alias("header"))
+
+
+@query("select doc_id, cast((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as bigint) as n from documents")
+def keyword_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.keyword_count(F.col("text"), F.lit("the")).alias("n"))
+
+
+@query("select source, count(*) as documents, array_to_string(list_sort(list(distinct lang) filter (lang <> 'unknown')), ',') as languages, cast(sum(n_chars) as bigint) as chars from documents group by source")
+def registry_rollup(spark, sf_dir):
+    return G.rollup(table(spark, sf_dir, "documents"))
+
+
+@query("select doc_id, source from documents where source not in (select distinct source from documents where lang = 'es' and n_chars > 15000 and source is not null)")
+def ingest_anti_join(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return G.not_yet_ingested(d.select("doc_id", "source"), d.where("lang = 'es' and n_chars > 15000")).select("doc_id", "source")
+
+
+@query("with r as (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations qualify r <= 8) select conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) order by turn, role, text) as history from r group by conv_id")
+def history_window(spark, sf_dir):
+    return G.last_turns(table(spark, sf_dir, "conversations"))
