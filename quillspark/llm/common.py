@@ -65,7 +65,7 @@ def word_count(text: Column) -> Column:
     return F.when(text.rlike(WORD), F.length(F.regexp_replace(text, r"[ \x09-\x0D]*[^ \x09-\x0D]+[ \x09-\x0D]*", "x"))).otherwise(0).cast("long")
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str, rows: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, rows: int = 1000) -> DataFrame:
     """Adds ``name``: the row's place (from 1) in its group, in the order (block, *order) where blocks deal out a group by ``pmod(first integer in order, blocks)``.
 
     A group's blocks are counted first; ranks inside a block come from a window over that block

@@ -54,7 +54,7 @@ w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) %
 l as (select *, (every - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (o rows between current row and unbounded following) as level from w window o as (order by cap / w, source nulls last)),
 t as (select source, source_size, least(cap, coalesce((select arg_min(level, cap / w) from l where level * w <= cap) * w, cap)) as target from l),
 c as (select d.*, cast(floor(8 * log2(size + 1.0)) as integer) as class from d),
-b as (select *, cast(ceil(count(*) over (partition by source, class) / 20000.0) as bigint) as blocks from c),
+b as (select *, cast(ceil(count(*) over (partition by source, class) / 1000.0) as bigint) as blocks from c),
 r as (select b.*, row_number() over (partition by source order by class, coalesce(((doc_id % blocks) + blocks) % blocks, 0), doc_id nulls first, size) as rank from b),
 x as (select r.doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate, rank from r join t on r.source is not distinct from t.source)
 select doc_id, size, source_size, target, cast((floor(rank * rate + {mixing.offset()!r}) - floor((rank - 1) * rate + {mixing.offset()!r})) * size as bigint) as taken from x
