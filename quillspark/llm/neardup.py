@@ -11,9 +11,10 @@ they are fewer than n; without words it is empty and linked with nothing. Docume
    pair at 0.8 shares no bucket once in 100,000 times.
 3. Full sets of the nodes met in buckets are written once; stars are confirmed on them, at first the likeliest centre of each node, then
    those between documents not yet connected.
-4. A star leaves pairs that its centre is not linked with. For buckets that still hold several components, further
-   rounds compare the members outside the largest component with all others, twice as many of them each round,
-   until all have been compared: no link between two texts that share a bucket is lost.
+4. A star leaves pairs that its centre is not linked with. In buckets that still hold several components, the members
+   outside the largest one are held against all others, block by block inside tasks: pairs whose sizes allow a link
+   and whose least values by slot agree no less than ``SIGMAS`` standard deviations below the threshold are confirmed on full
+   sets, at first the likeliest few of each member, in the end all, until a round links nothing new. So a pair is given up unconfirmed only where chance is some millionths.
 
 Nulls and edges: a null text is empty; a null doc_id is linked with nothing and has a null component_id and kept false. Rows that
 repeat a doc_id are one document for linking. An empty table gives an empty result. Extra columns are ignored.
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quillspark.llm.arrays import mix, runs, shingle_sets
 from quillspark.llm.common import shuffle_partitions, small, text_of, written
@@ -42,8 +42,10 @@ TOGETHER = 16384
 BROADCAST_ROWS = 500_000
 #: Members of one star that one task confirms.
 STAR = 2000
-#: Members outside a bucket's largest component that the first further round compares.
-FEW = 32
+#: How far below the threshold the estimate of a pair may lie that is still confirmed on full sets; members of a block.
+SIGMAS, TILE = 4.5, 1024
+#: Likeliest partners that a member is held against at first; in the last rounds it is all of them.
+BEST = 4
 
 _rng = np.random.default_rng(5)
 #: For each slot all slots in random order: an empty slot borrows from the first in its order that is not empty.
@@ -52,8 +54,8 @@ PLACE = np.argsort(ORDER, axis=1).astype(np.int16)
 FACTORS = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """Band keys (texts x BANDS) of non-empty sets of sorted hashes."""
+def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts x BANDS) and one byte from 1 of each slot's least value, 0 for an empty slot (texts x SLOTS), of non-empty sets of sorted hashes."""
     sizes = np.array([len(s) for s in sets])
     flat, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     slot = (flat >> np.uint64(64 - BITS)).astype(np.int64)
@@ -77,7 +79,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         least[row[hit], col[hit]] = source[row[hit], probe[hit]]
         row, col = row[~hit], col[~hit]
     with np.errstate(over="ignore"):
-        return mix((least.reshape(-1, BANDS, ROWS) * FACTORS).sum(2, dtype=np.uint64))
+        return mix((least.reshape(-1, BANDS, ROWS) * FACTORS).sum(2, dtype=np.uint64)), np.where(full, mix(source) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -89,7 +91,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             for first, last, raw, at in runs(b.column(1)):
                 sets = shingle_sets(raw, at, n)
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = dict(zip(some, (k.tobytes() for k in sketch([sets[i] for i in some])), strict=True)) if some else {}
+                keys = dict(zip(some, (k.tobytes() for k in sketch([sets[i] for i in some])[0]), strict=True)) if some else {}
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([keys.get(i) for i in range(len(sets))], pa.binary())], ["doc_id", "n_shingles", "digest", "bands"])
 
@@ -171,16 +173,20 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, set as packed hashes) of the documents named."""
+    """(node, set as packed hashes, bands, slots) of the documents named that have words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, raw, at in runs(b.column(1)):
-                packed = [s.tobytes() for s in shingle_sets(raw, at, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(packed, pa.binary())], ["node", "set"])
+                sets = shingle_sets(raw, at, n)
+                some = [i for i, s in enumerate(sets) if len(s)]
+                if some:
+                    keys, slots = sketch([sets[i] for i in some])
+                    packed = [pa.array([x.tobytes() for x in c], pa.binary()) for c in ([sets[i] for i in some], keys, slots)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first).take(pa.array(some)), *packed], ["node", "set", "bands", "slots"])
 
     d = docs.select(docs["doc_id"].cast("long").alias("node"), text_of(docs).alias("__text"))
-    return d.join(small(nodes, BROADCAST_ROWS), "node", "left_semi").mapInArrow(work, "node long, set binary")
+    return d.join(small(nodes, BROADCAST_ROWS), "node", "left_semi").mapInArrow(work, "node long, set binary, bands binary, slots binary")
 
 
 def confirm(sets: DataFrame, edges: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -191,7 +197,7 @@ def confirm(sets: DataFrame, edges: DataFrame, percent: int = PERCENT) -> DataFr
     roles = salted.select(F.col("b").alias("node"), role(F.col("a"), F.col("salt"), True).alias("r"))
     roles = roles.unionByName(per.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("salt"), "a").select("node", role(F.col("a"), F.col("salt"), False).alias("r")))
     roles = roles.groupBy("node").agg(F.collect_list("r").alias("r"))
-    x = sets.join(small(roles, BROADCAST_ROWS), "node").select("node", "set", F.explode("r").alias("r")).select("r.a", "r.salt", "r.member", "node", "set")
+    x = sets.select("node", "set").join(small(roles, BROADCAST_ROWS), "node").select("node", "set", F.explode("r").alias("r")).select("r.a", "r.salt", "r.member", "node", "set")
     x = x.repartition(shuffle_partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +249,8 @@ def apart(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return x.where(F.coalesce("__ca", "a") != F.coalesce("__cb", "b")).select(edges.columns)
 
 
-def mixed(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, node, comp, rank) of the buckets that hold more than one component; rank is null in the bucket's largest component, else it counts from 1."""
+def mixed(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, comp, few) of the buckets that hold more than one component; few: outside the bucket's largest."""
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
@@ -252,12 +258,67 @@ def mixed(nodes: DataFrame, comps: DataFrame) -> DataFrame:
                 key = unpacked(part.column(2), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(np.repeat(part.column(1).to_numpy(), BANDS))], ["key", "node", "comp"])
 
-    rows = nodes.join(small(comps, BROADCAST_ROWS), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "bands").mapInArrow(unpack, "key long, node long, comp long")
+    rows = sets.select("node", "bands").join(small(comps, BROADCAST_ROWS), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "bands").mapInArrow(unpack, "key long, node long, comp long")
     rows = written(rows)
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("__comps"), F.max(F.struct("n", "comp"))["comp"].alias("__most")).where("__comps > 1")
-    rows = rows.join(small(per, BROADCAST_ROWS), "key")
-    few = rows.where(F.col("comp") != F.col("__most")).select("key", "node", "comp", F.row_number().over(Window.partitionBy("key").orderBy("node")).alias("rank"))
-    return few.unionByName(rows.where(F.col("comp") == F.col("__most")).select("key", "node", "comp", F.lit(None).cast("int").alias("rank")))
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("__comps"), F.max(F.struct("n", "comp"))["comp"].alias("__most")).where("__comps > 1")
+    per = per.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("__tiles"), "__most")
+    return rows.join(small(per, BROADCAST_ROWS), "key").select("key", "node", "comp", (F.col("comp") != F.col("__most")).alias("few"), "__tiles")
+
+
+def unlinked(sets: DataFrame, comps: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket whose sizes and slots allow a link. A bucket is dealt over tiles of its members; those outside its largest component go to every tile, as queries. With ``best`` only each query's so many likeliest partners in a tile."""
+    rows = mixed(sets, comps)
+    tile = F.pmod(F.xxhash64("node"), F.col("__tiles")).cast("int")
+    all_ = rows.select("key", tile.alias("tile"), "node", "comp", "few", F.lit(False).alias("query"))
+    few = rows.where("few").select("key", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("tile"), "node", "comp", "few", F.lit(True).alias("query"))
+    x = all_.unionByName(few).join(sets.select("node", "slots", (F.octet_length("set") / 8).cast("int").alias("size")), "node")
+    x = x.repartition(shuffle_partitions(sets.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, left, right = None, [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def hold():
+            node, comp, few, query, slots, size = zip(*held, strict=True)
+            node, comp, few, query, size = (np.array(c) for c in (node, comp, few, query, size))
+            slots = np.stack([np.frombuffer(x, np.uint8) for x in slots])
+            them = np.flatnonzero(~query)
+            for q in np.flatnonzero(query).tolist():
+                # of two queries each meets the other, so one of these suffices
+                t = them[(comp[them] != comp[q]) & (~few[them] | (node[them] > node[q]))]
+                low, high = np.minimum(size[t], size[q]), np.maximum(size[t], size[q])
+                t = t[100 * low >= percent * high]
+                # the slots that either fills are so many draws, without replacement, from the united set
+                drawn = np.maximum(((slots[t] | slots[q]) > 0).sum(1), 1)
+                agree = ((slots[t] == slots[q]) & (slots[q] > 0)).sum(1) / drawn
+                same, united = percent / 100, (size[t] + size[q]) / (1 + percent / 100)
+                spread = np.sqrt(same * (1 - same) / drawn * np.maximum(united - drawn, 0) / np.maximum(united - 1, 1))
+                likely = agree >= same - SIGMAS * spread - 1 / drawn
+                t, agree = t[likely], agree[likely]
+                if best and len(t) > best:
+                    t = t[np.argpartition(-agree, best)[:best]]
+                left.append(np.minimum(node[t], node[q]))
+                right.append(np.maximum(node[t], node[q]))
+
+        def flush():
+            a, b, _ = counted(np.concatenate(left), np.concatenate(right))
+            del left[1:], right[1:]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                for k, tile, *rest in zip(*(c.to_pylist() for c in b.slice(at, 1024).columns), strict=True):
+                    if held and (k, tile) != key:
+                        hold()
+                        held = []
+                    key = (k, tile)
+                    held.append(rest)
+                if sum(map(len, left)) > 100_000:
+                    yield flush()
+        if held:
+            hold()
+        yield flush()
+
+    return x.select("key", "tile", "node", "comp", "few", "query", "slots", "size").mapInArrow(work, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
@@ -277,22 +338,18 @@ def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     if rest.limit(1).count():
         linked = written(linked.unionByName(confirm(sets, rest, percent)))
         comps = components(linked)
-    nodes = written(nodes.join(small(ends, BROADCAST_ROWS), "node", "left_semi"))
-    most, rows = FEW, written(mixed(nodes, comps))
+    best = BEST
     while True:
-        x, y = rows.where(F.col("rank") <= most).alias("x"), rows.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
-        more = written(confirm(sets, pairs, percent)) if pairs.limit(1).count() else None
-        if more is not None and more.limit(1).count():
-            linked, tested = written(linked.unionByName(more)), written(tested.unionByName(pairs))
+        pairs = written(unlinked(sets, comps, percent, best).join(tested, ["a", "b"], "left_anti"))
+        more = written(confirm(sets, pairs, percent))
+        tested = written(tested.unionByName(pairs))
+        if more.limit(1).count():
+            linked = written(linked.unionByName(more))
             comps = components(linked)
-            rows = written(mixed(nodes, comps))
-        elif rows.where(F.col("rank") > most).limit(1).count():
-            tested = tested.unionByName(pairs)
+        elif best:
+            best = None
         else:
             break
-        most *= 2
     x = signed.drop("bands").join(first.where("__times > 1").select("digest", "__rep"), "digest", "left")
     x = x.withColumn("node", F.coalesce("__rep", "doc_id")).join(small(comps, BROADCAST_ROWS), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node"))
