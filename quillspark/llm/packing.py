@@ -72,7 +72,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     rows = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), length.cast("long").alias("length"), *extra)).withColumn("__up", rounded(F.col("length")))
     histogram = rows.groupBy("__up").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded: see above
     ends = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
-    bucket = F.lit(len(ends) - 1)
+    bucket = F.lit(max(0, len(ends) - 1))
     for k in reversed(range(len(ends) - 1)):
         bucket = F.when(F.col("__up") <= ends[k], F.lit(k)).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket)

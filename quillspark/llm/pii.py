@@ -11,7 +11,6 @@ Repeated rows are searched each on its own. An empty table gives an empty result
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -79,13 +78,13 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     if "@" in text:
         found += [("email", a, b) for a, b in emails(text)]
     runs = [m.span() for m in CARD.finditer(text)]
-    if runs:
+    if "." in text:
         found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
-        for a, b in runs:
-            if b - a >= 16:
-                digits = text[a:b].replace(" ", "").replace("-", "")
-                if 16 <= len(digits) <= 19 and luhn(digits):
-                    found.append(("card", a, b))
+    for a, b in runs:
+        if b - a >= 16:
+            digits = text[a:b].replace(" ", "").replace("-", "")
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                found.append(("card", a, b))
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
     if runs:
