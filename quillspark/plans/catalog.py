@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import intents as I
 from quillspark.functions import text as T
+from quillspark.operators import chat, chunking, layout
 from quillspark.operators import registry as G
 from quillspark.operators import retrieval as R
 
@@ -161,3 +163,71 @@ def ingest_anti_join(spark, sf_dir):
 @query("with r as (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations qualify r <= 8) select conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) order by turn, role, text) as history from r group by conv_id")
 def history_window(spark, sf_dir):
     return G.last_turns(table(spark, sf_dir, "conversations"))
+
+
+_SAYS = ", ".join(f"coalesce(regexp_matches(lower(text), '{I.pattern(t).replace(chr(39), chr(39) * 2)}'), false) as {n}" for n, t in (("web", I.WEB), ("whole_document", I.WHOLE_DOCUMENT), ("small_talk", I.SMALL_TALK), ("extraction", I.EXTRACTION), ("refusal", I.REFUSAL)))
+
+
+@query(f"select conv_id, turn, role, {_SAYS} from conversations")
+def intents(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", *[I.mentions(t, terms).alias(n) for n, terms in (("web", I.WEB), ("whole_document", I.WHOLE_DOCUMENT), ("small_talk", I.SMALL_TALK), ("extraction", I.EXTRACTION), ("refusal", I.REFUSAL))])
+
+
+_REQ = """m as (select conv_id, turn, role, coalesce(text, '') as text from conversations), r as (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as r from m where role in ('user', 'assistant')),
+a as (select conv_id, bool_or(r = 1 and role = 'user') as asks from r group by conv_id), h as (select conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) order by r.r desc) as history from r join a using (conv_id) where r.r between case when asks then 2 else 1 end and case when asks then 9 else 8 end group by conv_id),
+q as (select conv_id, coalesce(max(struct_pack(turn := turn, text := text)) filter (role = 'system').text, '') as system, coalesce(max(struct_pack(turn := turn, text := text)) filter (role = 'user').text, '') as question from m group by conv_id),
+rq as (select conv_id, system, question, coalesce(history, '') as history from q left join h using (conv_id))"""
+
+
+@query(f"with {_REQ} select conv_id, system, question, history from rq")
+def chat_requests(spark, sf_dir):
+    return chat.requests(table(spark, sf_dir, "conversations"))
+
+
+@query(f"with {_REQ} select conv_id, 'general' as mode, '[System]' || chr(10) || case when system = '' then '{I.SYSTEM}' else system end || case when history = '' then '' else chr(10) || chr(10) || '[Conversation history]' || chr(10) || history end || chr(10) || chr(10) || '[User message]' || chr(10) || question as prompt from rq")
+def chat_prompts(spark, sf_dir):
+    none = F.lit("")
+    return chat_requests(spark, sf_dir).select("conv_id", I.mode(none, none).alias("mode"), I.prompt(F.col("question"), F.col("history"), none, none, F.col("system")).alias("prompt"))
+
+
+def located(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_key"), "source", F.lit(1).alias("page"), F.lit("").alias("section"), "lang", "text")
+
+
+@query(f"with {_BM25} select query_id, string_agg('[Doc: ' || coalesce(nullif(source, ''), 'unknown') || ' | Page: 1 | Section:  | Lang: ' || coalesce(nullif(lang, ''), 'unknown') || ']' || chr(10) || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) order by rank) as context from kw join documents on doc_id = chunk_key group by query_id")
+def retrieved_context(spark, sf_dir):
+    return chat.context(bm25_topk(spark, sf_dir), located(spark, sf_dir))
+
+
+@query(f"""with cf as ({ORACLES["confidence"]}) select query_id, confidence, confidence < {I.THRESHOLD} as rejected, case when confidence < {I.THRESHOLD} then case when regexp_matches(coalesce(text, ''), '[가-힣]') then replace('{I.NOT_FOUND_KO.replace(chr(39), chr(39) * 2)}', '%s', 'the uploaded document') else replace('{I.NOT_FOUND_EN.replace(chr(39), chr(39) * 2)}', '%s', 'the uploaded document') end end as answer from cf left join benchmark on item_id = query_id""")
+def confidence_gate(spark, sf_dir):
+    """Strong hits already lift the confidence over the threshold."""
+    x = confidence(spark, sf_dir).join(asked(spark, sf_dir), "query_id", "left")
+    nobody, c = F.lit(None).cast("string"), F.col("confidence")
+    no = I.rejected(F.lit(4), c, F.lit(False), I.threshold(F.lit(4), F.lit("library")))
+    return x.select("query_id", "confidence", no.alias("rejected"), F.when(no, I.not_found(F.coalesce("text", F.lit("")), nobody, nobody)).alias("answer"))
+
+
+_NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+
+
+@query(f"""with {_BM25}, x as (select query_id, {_NORM.format("coalesce(d.text, '')")} as said, string_split(b.text, '. ') as points from kw join documents d on doc_id = chunk_key join benchmark b on item_id = query_id where rank = 1),
+y as (select query_id, len(points) as total, len(list_filter(points, lambda p: {_NORM.format("p")} <> '' and contains(said, {_NORM.format("p")}))) as hit from x) select query_id, cast(total as integer) as total, cast(hit as integer) as hit, case when total = 0 then 1.0 else round(hit / total, 3) end as recall from y""")
+def answer_point_recall(spark, sf_dir):
+    """The best keyword chunk as the answer, the sentences of the benchmark text as the points expected."""
+    best = bm25_topk(spark, sf_dir).where("rank = 1").select("query_id", "chunk_key")
+    x = best.join(chunks(spark, sf_dir), "chunk_key").join(asked(spark, sf_dir).select("query_id", F.split("text", r"\. ").alias("points")), "query_id")
+    return x.select("query_id", chat.point_recall(F.col("text"), F.col("points")).alias("r")).select("query_id", "r.total", "r.hit", "r.recall")
+
+
+@query(r"""with l as (select doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda s: regexp_replace(s, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) as l from documents)
+select doc_id, array_to_string(list_filter(l, lambda s: s <> '' and length(s) <= 120 and not regexp_matches(s, '([.?!;]|다|요)$'))[1:3], ' / ') as guesses from l""".replace("\\\\", "\\"))
+def heading_guesses(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(layout.heading_guesses(F.coalesce("text", F.lit(""))), " / ").alias("guesses"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    """Held against the text in the tests; the recursive splitter can't be said in SQL."""
+    return chunking.chunk(table(spark, sf_dir, "documents"))
