@@ -14,7 +14,8 @@ they are fewer than n; without words it is empty and linked with nothing. Docume
 4. A star leaves pairs that its centre is not linked with. In buckets that still hold several components, the members
    outside the largest one are held against all others, block by block inside tasks: pairs whose sizes allow a link
    and whose least values by slot agree no less than ``SIGMAS`` standard deviations below the threshold are confirmed on full
-   sets, at first the likeliest few of each member, in the end all, until a round links nothing new. So a pair is given up unconfirmed only where chance is some millionths.
+   sets in the block itself, so that only links come out, and of these one for two components that the block has not yet
+   linked. So a pair is given up unconfirmed only where chance is some millionths.
 
 Nulls and edges: a null text is empty; a null doc_id is linked with nothing and has a null component_id and kept false. Rows that
 repeat a doc_id are one document for linking. An empty table gives an empty result. Extra columns are ignored.
@@ -44,8 +45,8 @@ BROADCAST_ROWS = 500_000
 STAR = 2000
 #: How far below the threshold the estimate of a pair may lie that is still confirmed on full sets; members of a block.
 SIGMAS, TILE = 4.5, 1024
-#: Likeliest partners that a member is held against at first; in the last rounds it is all of them.
-BEST = 4
+#: Bytes of full sets in a block.
+TILE_BYTES = 1 << 25
 
 _rng = np.random.default_rng(5)
 #: For each slot all slots in random order: an empty slot borrows from the first in its order that is not empty.
@@ -250,75 +251,92 @@ def apart(edges: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def mixed(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, node, comp, few) of the buckets that hold more than one component; few: outside the bucket's largest."""
+    """(key, node, comp, few, __tiles) of the buckets that hold more than one component; few: outside the bucket's largest."""
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                key = unpacked(part.column(2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(np.repeat(part.column(1).to_numpy(), BANDS))], ["key", "node", "comp"])
+                key = unpacked(part.column(0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(c.to_numpy(), BANDS)) for c in part.columns[1:])], ["key", "node", "comp", "bytes"])
 
-    rows = sets.select("node", "bands").join(small(comps, BROADCAST_ROWS), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "bands").mapInArrow(unpack, "key long, node long, comp long")
+    rows = sets.select("node", "bands", F.octet_length("set").cast("long").alias("bytes")).join(small(comps, BROADCAST_ROWS), "node", "left")
+    rows = rows.select("bands", "node", F.coalesce("comp", "node").alias("comp"), "bytes").mapInArrow(unpack, "key long, node long, comp long, bytes long")
     rows = written(rows)
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("__comps"), F.max(F.struct("n", "comp"))["comp"].alias("__most")).where("__comps > 1")
-    per = per.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("__tiles"), "__most")
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("__comps"), F.max(F.struct("n", "comp"))["comp"].alias("__most")).where("__comps > 1")
+    per = per.select("key", F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("int").alias("__tiles"), "__most")
     return rows.join(small(per, BROADCAST_ROWS), "key").select("key", "node", "comp", (F.col("comp") != F.col("__most")).alias("few"), "__tiles")
 
 
-def unlinked(sets: DataFrame, comps: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose sizes and slots allow a link. A bucket is dealt over tiles of its members; those outside its largest component go to every tile, as queries. With ``best`` only each query's so many likeliest partners in a tile."""
+class Tile:
+    """Members of one bucket, held against queries one at a time; what is found linked counts as one component from then on."""
+
+    def __init__(self, key: int, members: list[tuple], percent: int):
+        node, comp, few, sets, slots, bands = zip(*members, strict=True)
+        self.key, self.percent, self.sets, self.now = key, percent, sets, {}
+        self.node, self.comp, self.few, self.size = np.array(node), np.array(comp), np.array(few), np.array([len(s) for s in sets])
+        self.slots, self.bands = np.stack(slots), np.stack(bands)
+
+    def likely(self, node: int, comp: int, size: int, slots: np.ndarray, bands: np.ndarray) -> np.ndarray:
+        """Members to confirm, the likeliest first. Of two queries each meets the other, so one of these suffices; a pair is held in the first bucket it shares."""
+        t = np.flatnonzero((self.comp != comp) & (~self.few | (self.node > node)))
+        t = t[100 * np.minimum(self.size[t], size) >= self.percent * np.maximum(self.size[t], size)]
+        t = t[bands[(self.bands[t] == bands).argmax(1)] == self.key]
+        # the slots that either fills are so many draws, without replacement, from the united set
+        drawn = np.maximum(((self.slots[t] | slots) > 0).sum(1), 1)
+        agree = ((self.slots[t] == slots) & (slots > 0)).sum(1) / drawn
+        same = self.percent / 100
+        united = (self.size[t] + size) / (1 + same)
+        spread = np.sqrt(same * (1 - same) / drawn * np.maximum(united - drawn, 0) / np.maximum(united - 1, 1))
+        hope = agree - same + SIGMAS * spread + 1 / drawn
+        return t[np.argsort(-hope, kind="stable")[: (hope >= 0).sum()]]
+
+    def links(self, node: int, comp: int, few: bool, s: np.ndarray, slots: np.ndarray, bands: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The query's links, one to each component that full sets confirm."""
+        while comp in self.now:
+            comp = self.now[comp]
+        t, step = self.likely(node, comp, len(s), slots, bands), 4
+        while len(t):
+            head, t, step = t[:step], t[step:], 64
+            flat = np.concatenate([self.sets[i] for i in head])
+            hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(self.size[head]) - self.size[head])
+            for i in head[100 * both >= self.percent * (len(s) + self.size[head] - both)]:
+                old = int(self.comp[i])
+                if old != comp:
+                    yield node, int(self.node[i])
+                    self.now[old] = comp
+                    self.comp[self.comp == old] = comp
+            t = t[self.comp[t] != comp]
+
+
+def unlinked(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket. A bucket is dealt over tiles of its members; those outside its largest component go to every tile, as queries."""
     rows = mixed(sets, comps)
     tile = F.pmod(F.xxhash64("node"), F.col("__tiles")).cast("int")
     all_ = rows.select("key", tile.alias("tile"), "node", "comp", "few", F.lit(False).alias("query"))
     few = rows.where("few").select("key", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("tile"), "node", "comp", "few", F.lit(True).alias("query"))
-    x = all_.unionByName(few).join(sets.select("node", "slots", (F.octet_length("set") / 8).cast("int").alias("size")), "node")
-    x = x.repartition(shuffle_partitions(sets.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
+    x = all_.unionByName(few).join(sets.select("node", "set", "slots", "bands"), "node")
+    x = x.repartition(shuffle_partitions(sets.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "query")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, left, right = None, [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def hold():
-            node, comp, few, query, slots, size = zip(*held, strict=True)
-            node, comp, few, query, size = (np.array(c) for c in (node, comp, few, query, size))
-            slots = np.stack([np.frombuffer(x, np.uint8) for x in slots])
-            them = np.flatnonzero(~query)
-            for q in np.flatnonzero(query).tolist():
-                # of two queries each meets the other, so one of these suffices
-                t = them[(comp[them] != comp[q]) & (~few[them] | (node[them] > node[q]))]
-                low, high = np.minimum(size[t], size[q]), np.maximum(size[t], size[q])
-                t = t[100 * low >= percent * high]
-                # the slots that either fills are so many draws, without replacement, from the united set
-                drawn = np.maximum(((slots[t] | slots[q]) > 0).sum(1), 1)
-                agree = ((slots[t] == slots[q]) & (slots[q] > 0)).sum(1) / drawn
-                same, united = percent / 100, (size[t] + size[q]) / (1 + percent / 100)
-                spread = np.sqrt(same * (1 - same) / drawn * np.maximum(united - drawn, 0) / np.maximum(united - 1, 1))
-                likely = agree >= same - SIGMAS * spread - 1 / drawn
-                t, agree = t[likely], agree[likely]
-                if best and len(t) > best:
-                    t = t[np.argpartition(-agree, best)[:best]]
-                left.append(np.minimum(node[t], node[q]))
-                right.append(np.maximum(node[t], node[q]))
-
-        def flush():
-            a, b, _ = counted(np.concatenate(left), np.concatenate(right))
-            del left[1:], right[1:]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
+        place, members, tile = None, [], None
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                for k, tile, *rest in zip(*(c.to_pylist() for c in b.slice(at, 1024).columns), strict=True):
-                    if held and (k, tile) != key:
-                        hold()
-                        held = []
-                    key = (k, tile)
-                    held.append(rest)
-                if sum(map(len, left)) > 100_000:
-                    yield flush()
-        if held:
-            hold()
-        yield flush()
-
-    return x.select("key", "tile", "node", "comp", "few", "query", "slots", "size").mapInArrow(work, "a long, b long").distinct()
+            for at in range(0, b.num_rows, 256):
+                found = []
+                for k, number, query, node, comp, few, s, slots, bands in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+                    if (k, number) != place:
+                        place, members, tile = (k, number), [], None
+                    row = node, comp, few, np.frombuffer(s, np.uint64), np.frombuffer(slots, np.uint8), np.frombuffer(bands, np.int64)
+                    if not query:
+                        members.append(row)
+                    elif members:
+                        tile = tile or Tile(k, members, percent)
+                        found += tile.links(*row)
+                if found:
+                    pairs = np.sort(np.array(found), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return x.select("key", "tile", "query", "node", "comp", "few", "set", "slots", "bands").mapInArrow(work, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
@@ -334,22 +352,12 @@ def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     linked = written(confirm(sets, likely, percent))
     comps = components(linked)
     rest = written(apart(met.select("a", "b").join(likely, ["a", "b"], "left_anti"), comps))
-    tested = likely.unionByName(rest)
     if rest.limit(1).count():
         linked = written(linked.unionByName(confirm(sets, rest, percent)))
         comps = components(linked)
-    best = BEST
-    while True:
-        pairs = written(unlinked(sets, comps, percent, best).join(tested, ["a", "b"], "left_anti"))
-        more = written(confirm(sets, pairs, percent))
-        tested = written(tested.unionByName(pairs))
-        if more.limit(1).count():
-            linked = written(linked.unionByName(more))
-            comps = components(linked)
-        elif best:
-            best = None
-        else:
-            break
+    more = written(unlinked(sets, comps, percent))
+    if more.limit(1).count():
+        comps = components(linked.unionByName(more))
     x = signed.drop("bands").join(first.where("__times > 1").select("digest", "__rep"), "digest", "left")
     x = x.withColumn("node", F.coalesce("__rep", "doc_id")).join(small(comps, BROADCAST_ROWS), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node"))

@@ -104,6 +104,33 @@ def test_near_duplicates(docs, rows):
     assert bag(neardup.report(docs)) == want
 
 
+def test_neardup_of_a_group_whose_members_are_not_all_linked(spark, monkeypatch):
+    """Copies drift from one another, so stars miss links; small blocks make members meet across them."""
+    monkeypatch.setattr(neardup, "TILE", 16)
+    r = random.Random(8)
+    base, rows = [f"w{r.randrange(10**6)}" for _ in range(120)], []
+    for i in range(160):
+        w = list(base)
+        for k in r.sample(range(120), r.randint(3, 9)):
+            w[k] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [set(itertools.pairwise(t.split())) for _, t in rows]
+    least = list(range(160))
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, j in itertools.combinations(range(160), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            x, y = sorted((find(i), find(j)))
+            least[y] = x
+    want = Counter((i, len(sets[i]), find(i), find(i) == i) for i in range(160))
+    assert 5 < sum(find(i) == i for i in range(160)) < 155
+    assert bag(neardup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want
+
+
 def test_substrings(docs, rows):
     seen = Counter(tuple(words(t)[k : k + 35]) for _, t, *_ in rows for k in range(len(words(t)) - 34))
     want = Counter()
