@@ -1,11 +1,11 @@
 """License notices: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
 Texts and templates are words in lower case without ASCII punctuation; shingles are five words. For each template length class there
-are windows of twice as many words that start every half of them, so any notice lies whole in a window of which
-its shingles make up at least a quarter (where the text is shorter than a window, more). A window and a
-template that share a share s of their united shingles agree in one of ``HASHES`` bands of one row with probability
-1 - (1 - s)**HASHES: for the least s of a template found at 0.8, that is over 0.9999. A retrieved pair counts if at least 80 % of the template's
-shingles are in the window.
+are windows of twice as many words that start every half of them, so any notice lies whole in a window. Retrieval compares
+least values under one hash per band: a template's are fixed, so for each band the chance is known that none of a window's other shingles is
+less. Each template has as many bands as it takes until a window that holds just 80 % of it, the rest of it unlike, disagrees in all
+with a chance of ``MISS`` at most: of a thousand million pairs that count, one may not be retrieved. A retrieved pair counts if at
+least 80 % of the template's shingles are in the window.
 
 Nulls and edges: a null or short text has no window with a shingle and no match. Every row gets a result, repeated rows the
 same. An empty table gives an empty result; extra columns are ignored. Templates are a parameter of bounded size.
@@ -13,6 +13,7 @@ same. An empty table gives an empty result; extra columns are ignored. Templates
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.arrays import LOWER, grams, mix, runs, word_hashes, word_spans
 from quillspark.llm.common import text_of
 
-SHINGLE, HASHES, PERCENT = 5, 64, 80
+SHINGLE, PERCENT = 5, 80
+#: Bound on the chance that a template is not retrieved for a window that holds enough of it.
+MISS = 1e-9
 #: Short notices as they stand in texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -41,7 +44,22 @@ TEMPLATES = {
 }
 MARKS = np.zeros(256, bool)
 MARKS[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
-SEEDS = np.random.default_rng(11).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
+
+
+def seeds(n: int) -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+
+
+def signature(g: np.ndarray, window: int, percent: int) -> np.ndarray:
+    """The least value of a template's shingles under each of its bands' hashes, for windows of at most so many shingles."""
+    common, n = max(1, -(-percent * len(g) // 100)), 64
+    while True:
+        least = np.array([mix(g * k).min() for k in seeds(n)])
+        agree = common / len(g) * (1 - least / 2.0**64) ** max(0, window - common)
+        enough = np.flatnonzero(np.cumprod(1 - agree) <= MISS)
+        if len(enough):
+            return least[: enough[0] + 1]
+        n *= 2
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +69,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams(word_hashes(plain, s, e, LOWER), SHINGLE), s, e, w
 
 
-def prepared(templates: dict[str, str]) -> dict[int, list[tuple[str, np.ndarray, np.ndarray]]]:
+def prepared(templates: dict[str, str], percent: int = PERCENT) -> dict[int, list[tuple[str, np.ndarray, np.ndarray]]]:
     """By window length: (name, sorted distinct shingles, their least value under each hash)."""
     out: dict[int, list] = {}
     for name, text in templates.items():
@@ -61,13 +79,13 @@ def prepared(templates: dict[str, str]) -> dict[int, list[tuple[str, np.ndarray,
             raise ValueError(f"{name}: a template needs {SHINGLE} words")
         half = 1 << max(3, (len(s) - 1).bit_length())
         g = np.unique(g)
-        out.setdefault(2 * half, []).append((name, g, np.array([mix(g * k).min() for k in SEEDS])))
+        out.setdefault(2 * half, []).append((name, g, signature(g, 2 * half - SHINGLE + 1, percent)))
     return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
     """doc_id, ``matches``: array of (license, start, end, containment in percent), one for each license, that of its best window, the first in a tie; code units are words of the text."""
-    by_width = prepared(TEMPLATES if templates is None else templates)
+    by_width = prepared(TEMPLATES if templates is None else templates, percent)
     every = [t for own in by_width.values() for t in own]
     rivals = {n: [m for m, y, _ in every if m != n and 2 * np.isin(x, y).sum() >= min(len(x), len(y))] for n, x, _ in every}
 
@@ -75,6 +93,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
         found: list[dict[str, tuple]] = [{} for _ in range(len(w) - 1)]
         for width, own in by_width.items():
             step, first, last, text = width // 2, [], [], []
+            keys = seeds(max(len(t[2]) for t in own))
             for i, (a, b) in enumerate(zip(w[:-1].tolist(), w[1:].tolist(), strict=True)):
                 if b - a >= SHINGLE:
                     at = np.arange(a, max(a + 1, b - step), step)
@@ -92,11 +111,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
             for k in np.flatnonzero(hits[last] > hits[first]).tolist():
                 x = np.unique(g[first[k] : last[k]])
                 least = None
-                for name, t, signature in own:
+                for name, t, fixed in own:
                     if least is None:
                         with np.errstate(over="ignore"):
-                            least = mix(x[None, :] * SEEDS[:, None]).min(1)
-                    if not (least == signature).any():
+                            least = mix(x[None, :] * keys[:, None]).min(1)
+                    if not (least[: len(fixed)] == fixed).any():
                         continue
                     share = 100 * np.isin(t, x, assume_unique=True).sum() // len(t)
                     if share >= percent:

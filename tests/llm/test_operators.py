@@ -249,6 +249,22 @@ def test_licenses(spark):
     assert [got[i] for i in range(len(t))] == list(t) and (got[50], got[51], got[52], got[53]) == ("", "", "", "MIT")
 
 
+def test_licenses_in_many_contexts_and_offsets(spark):
+    """Whole notices and the shortest parts that count, each of which stands whole in a window, against exact containment."""
+    templates = licenses.TEMPLATES | {f"K{i}": f"notice of kind number {i}" for i in range(24)}
+    r, rows, want = random.Random(5), [], {}
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    for name, t in templates.items():
+        w = re.findall("[A-Za-z0-9]+", t)
+        part = " ".join(w[: -(-licenses.PERCENT * (len(w) - 4) // 100) + 4])
+        for k in range(300):
+            want[len(rows)] = name
+            rows.append((len(rows), f"{text(8 + k % 64)} {part if k % 2 else t} {text(40)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: {m["license"] for m in x["matches"]} for x in licenses.scan(df, templates).collect()}
+    assert Counter(want[i] for i in want if want[i] not in got[i]) == Counter()
+
+
 def test_warc(spark):
     big = "é" * 700
     pages = [(1, "http://a/", big), (2, "http://b/", big), (3, None, "x"), (4, "u", "x"), (5, "u", None), (6, "u", big + "1"), (2, "http://b/", big), (None, "n", big)]
