@@ -1,7 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and non-overlapping in each kind; a match that its
-check refuses is dropped and not tried again. Beyond these, an IBAN counts when its mod-97 checksum holds, and a
+check refuses is dropped and not tried again. Beyond these, an IBAN counts when its mod-97 checksum holds: words in upper
+case may follow it, so it ends where its country's length says, or else with the last group at which the checksum holds; where it holds
+at none, the search goes on at the next character. A
 national number in the form 3-2-4 digits when words nearby call for it.
 
 Nulls and edges: a null text is empty and has no spans. Texts are searched whole, in time linear in their length.
@@ -26,6 +28,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Score before and after words nearby are looked at; a span counts from THRESHOLD up.
@@ -51,6 +62,20 @@ def mod97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    m = IBAN.search(text)
+    while m:
+        start, ends, size = m.start(), {}, 0
+        for group in re.finditer("[A-Z0-9]+", m[0]):
+            size += len(group[0])
+            if size >= 15 and mod97(m[0][: group.end()]):
+                ends[size] = start + group.end()
+        end = ends.get(IBAN_LENGTH.get(m[0][:2]), max(ends.values(), default=None))
+        if end:
+            yield start, end
+        m = IBAN.search(text, end or start + 1)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Each @ with a domain, and the run of local characters before it as far as the last match or @: what the pattern finds, without its retries."""
     low = 0
@@ -88,7 +113,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
     if runs:
-        found += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+        found += [("iban", a, b) for a, b in ibans(text)]
         found += [("national", *m.span()) for m in NATIONAL.finditer(text)]
     scored = [(*s, confidence(s[0], text, s[1], s[2])) for s in found]
     return [s for s in scored if s[0] in BASE or s[3] >= THRESHOLD]

@@ -84,6 +84,20 @@ def test_pii():
     pii.find("a" * 300_000 + "@" + "1" * 300_000 + "@." * 100_000)  # in linear time
 
 
+def test_pii_iban_among_words_in_upper_case():
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for t, want in (
+        (f"IBAN {spaced} BIC COBADEFFXXX", [spaced]), (f"IBAN {de} BIC COBADEFF", [de]), (f"{de} I paid", [de]), (f"{de} IS MINE", [de]), (f"A {gb} A B C D E F", [gb]),
+        (f"{spaced} {gb} {de}", [spaced, gb, de]), (f"REF AB12 {spaced} OK", [spaced]), (f"XX12 3456 {de}", [de]), (f"{de}X", []), ("DE88370400440532013000 BIC", []), (f"X{de} I", []),
+    ):
+        found = [t[a:b] for kind, a, b, _ in pii.find(t) if kind == "iban"]
+        assert found == want, t
+    # of all pairs of letters that may follow, some make a longer checksum hold
+    assert {t[a:b] for x in range(26**2) for t in [f"{de} {chr(65 + x // 26)}{chr(65 + x % 26)}"] for kind, a, b, _ in pii.find(t) if kind == "iban"} == {de}
+    assert pii.mask(f"IBAN {spaced} BIC COBADEFFXXX", pii.find(f"IBAN {spaced} BIC COBADEFFXXX")) == "IBAN [IBAN] BIC COBADEFFXXX"
+    pii.find("AB12 " * 200_000)  # in linear time
+
+
 def test_near_duplicates(docs, rows):
     sets = {}
     for i, t, *_ in rows:
