@@ -1,7 +1,7 @@
 """Quality rules, near-dedup, PII, mixing and packing, one after the other over the documents.
 
 ``run`` applies the stages to the table ``documents``; what one stage keeps is written and read as the next one's input.
-Rows that repeat a doc_id: quality keeps or drops them together (kept if any passes), near-dedup leaves
+Rows that repeat a doc_id: quality and mixing decide on each row by itself, near-dedup leaves
 one of them, the one with the least text. A null doc_id is a document of its own at every stage.
 """
 
@@ -28,8 +28,7 @@ def matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence from their language's reference let pass."""
-    passed = quality.judge(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return matching(docs, written(passed))
+    return quality.judge(docs, whole=True).where("kept").select("__row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +50,11 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, or not at all. Rows that repeat a doc_id are each taken as often as the one of them that is taken most."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    x = docs.join(small(written(copies), IDS), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return x.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    """Each document as often as the mix takes it, or not at all; rows are written with a number of their own, by which copies come back to them."""
+    x = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    copies = written(mixing.mix(x, extra=["__row"]).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies")))
+    x = x.join(small(copies, IDS), "__row")
+    return x.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

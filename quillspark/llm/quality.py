@@ -65,9 +65,9 @@ def repeated_words(found: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(bits(h), lambda b: marks(h, b)))).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """One row per document: the base counts and both histograms, as arrays of longs."""
-    d = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("__lang"), text_of(docs).alias("__text"))
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """One row per document: the base counts and both histograms, as arrays of longs; with ``whole`` also the row itself, as a struct ``__row``."""
+    d = docs.select(*([F.struct(*[docs[c] for c in docs.columns]).alias("__row")] if whole else []), docs["doc_id"].alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("__lang"), text_of(docs).alias("__text"))
     t = F.col("__text")
     only = lambda inside: F.length(F.regexp_replace(t, f"[^{inside}]+", "")).cast("long")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
@@ -79,8 +79,9 @@ def features(docs: DataFrame) -> DataFrame:
         hits = let(frequent, lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, k))).cast("long") for k in common]))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"), hits.alias("hits"))
 
+    along = ["__row"] if whole else []
     row = d.select(
-        "doc_id", "__lang",
+        *along, "doc_id", "__lang",
         F.length(t).cast("long").alias("n_chars"),
         let(words(t), counted).alias("w"),
         only(SYMBOLS).alias("n_symbols"),
@@ -88,7 +89,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.array(*[only(c) for c in CLASSES.values()]).alias("classes"),
     )
     classes = F.concat("classes", F.array("n_symbols", F.col("n_chars") - F.col("w.word_chars")))
-    return row.select("doc_id", "__lang", "n_chars", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", F.col("w.hits").alias("hits"), classes.alias("classes"))
+    return row.select(*along, "doc_id", "__lang", "n_chars", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", F.col("w.hits").alias("hits"), classes.alias("classes"))
 
 
 def references(rows: DataFrame, min_reference: int = MIN_REFERENCE) -> DataFrame:
@@ -107,9 +108,9 @@ def divergence(counts: Column, total: Column, ref: Column, ref_total: Column) ->
     return F.sqrt(F.greatest(add(both), F.lit(0.0)))
 
 
-def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_reference: int = MIN_REFERENCE) -> DataFrame:
-    """Per document: base counts, ``base_failed``, both distances (null where the document or its reference is too short) and ``kept``."""
-    rows = written(features(docs))
+def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_reference: int = MIN_REFERENCE, whole: bool = False) -> DataFrame:
+    """Per document: base counts, ``base_failed``, both distances (null where the document or its reference is too short) and ``kept``; with ``whole`` also its row, as a struct ``__row``."""
+    rows = written(features(docs, whole))
     ref = references(rows, min_reference)
     k = len(CLASSES) + 2
     every = rows.agg(F.sum("n_chars").alias("a_chars"), F.array(*[F.sum(F.col("classes")[i]) for i in range(k)]).alias("a_classes"))  # one row
@@ -123,4 +124,4 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: floa
     x = x.withColumn("class_distance", F.when(F.col("n_chars") >= MIN_CHARS_FOR_CLASSES, F.round(classes, 6)))
     x = x.withColumn("word_distance", F.when((F.col("n_words") >= MIN_WORDS_FOR_WORDS) & F.col("__lang").isin(list(COMMON)) & F.col("r_words").isNotNull(), F.round(common, 6)))
     verdict = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
-    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "class_distance", "word_distance")
+    return x.select(*(["__row"] if whole else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "class_distance", "word_distance")

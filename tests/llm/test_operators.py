@@ -308,3 +308,21 @@ def test_pipeline(spark, docs):
         ids = Counter(r["doc_id"] for r in frame.collect())
     assert 0 < len(ids) and max(ids.values()) <= 2
     assert bag(p.STAGES[-1][1](spark, frame, "").select("doc_id")) == Counter({(k,): v for k, v in ids.items()})
+
+
+def test_pipeline_decides_by_row(spark):
+    """Rows that share a null or repeated doc_id are kept, dropped and copied each on its own."""
+    import corpus_pipeline as p
+
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choices("abcde", k=r.randint(2, 7))) for _ in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = [(i, text(60 + k), "en", "s%d" % (k % 3), k) for k, i in enumerate([None] * 20 + [7] * 20)]
+    bad = [(i, t, "en", "s1", 0) for i in (None, 7) for t in ("too short", None, "again " * 80)]
+    docs = spark.createDataFrame(good + bad, schema).repartition(3)
+    kept = p.quality_rules(spark, docs, "")
+    assert bag(kept) == Counter(good) and kept.columns == docs.columns
+    x = spark.createDataFrame(good, schema).repartition(3)
+    want = Counter({(m["doc_id"], m["text"], m["source"]): m["copies"] for m in mixing.mix(x, extra=["text"]).collect() if m["copies"]})
+    assert len(set(want.values())) > 1
+    assert bag(p.mix_sources(spark, x, "").select("doc_id", "text", "source")) == want
