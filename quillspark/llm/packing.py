@@ -2,7 +2,8 @@
 
 The global histogram of lengths (one row per distinct length; beyond ``EXACT`` lengths are rounded up to steps of
 about 1 %, so that it has at most some ten thousand rows however large the corpus) goes through dynamic programming:
-``cost[k][j]`` is the least padding when the first j lengths make k buckets, each padded to its longest. A batch of a
+``cost[k][j]`` is the least padding when the first j lengths make k buckets, each padded to its longest. Rounding touches the choice
+of boundaries only (beyond ``EXACT`` these are optimal to about 1 %): a bucket is padded to its true longest document. A batch of a
 bucket holds ``budget // longest`` documents (at least one), counted along the bucket.
 
 Nulls and edges: a null or empty text has length 0 and goes in the first bucket. A text longer than the budget makes
@@ -70,13 +71,14 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     """doc_id, length, bucket (from 0), padded_to, batch (from 0 in its bucket), ``slot`` in the batch; ``length`` defaults to the number of words."""
     length = word_count(text_of(docs)) if length is None else length
     rows = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), length.cast("long").alias("length"), *extra)).withColumn("__up", rounded(F.col("length")))
-    histogram = rows.groupBy("__up").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded: see above
+    histogram = rows.groupBy("__up").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).collect()  # bounded: see above
     ends = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
+    longest = {r[0]: r[2] for r in histogram}
     bucket = F.lit(max(0, len(ends) - 1))
     for k in reversed(range(len(ends) - 1)):
         bucket = F.when(F.col("__up") <= ends[k], F.lit(k)).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket)
-    rows = rows.withColumn("padded_to", F.element_at(F.array(*map(F.lit, ends or [0])), F.col("bucket") + 1).cast("long"))
+    rows = rows.withColumn("padded_to", F.element_at(F.array(*[F.lit(longest[e]) for e in ends] or [F.lit(0)]), F.col("bucket") + 1).cast("long"))
     place = ranked(rows, ["bucket"], ["doc_id", "length"], "__place")
     each = F.greatest(F.floor(F.lit(budget) / F.greatest("padded_to", F.lit(1))), F.lit(1)).cast("long")
     at = F.col("__place") - 1

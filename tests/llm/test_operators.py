@@ -225,6 +225,15 @@ def test_packing(docs, rows):
         assert sorted(r["slot"] for r in b) == list(range(len(b)))
 
 
+def test_packing_pads_to_the_longest_document(spark):
+    lengths = [0, 3, 500, 16384, 16385, 17001, 18111, 20020, 20021, 25003, 31007, 40009, 40010]
+    got = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long").withColumn("text", F.lit("")), length=F.col("n"), extra=["n"]).collect()
+    longest = defaultdict(int)
+    for x in got:
+        longest[x["bucket"]] = max(longest[x["bucket"]], x["length"])
+    assert len(got) == len(lengths) and all(x["padded_to"] == longest[x["bucket"]] for x in got)
+
+
 def legal_cost(roles):
     """Least cost by trying every choice."""
     best = {chat.START: 0}
