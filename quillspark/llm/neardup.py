@@ -339,6 +339,14 @@ def unlinked(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     return x.select("key", "tile", "query", "node", "comp", "few", "set", "slots", "bands").mapInArrow(work, "a long, b long").distinct()
 
 
+def repeated(signed: DataFrame, first: DataFrame) -> DataFrame:
+    """Links (a, b) from a doc_id b that stands with several sets to the least doc_id of each of them."""
+    h = F.xxhash64("digest")
+    ids = written(signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(h).alias("__low"), F.max(h).alias("__high")).where("__low <> __high").select("doc_id"))
+    rows = signed.select("doc_id", "digest").join(small(ids, BROADCAST_ROWS), "doc_id").join(first, "digest")
+    return rows.where(F.col("doc_id") != F.col("__rep")).select(F.col("__rep").alias("a"), F.col("doc_id").alias("b"))
+
+
 def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest, component_id, kept for every row of docs."""
     signed = written(signatures(docs, n))
@@ -349,7 +357,7 @@ def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     ends = written(met.select(F.col("a").alias("node")).unionByName(met.select("b").withColumnRenamed("b", "node")).distinct())
     sets = written(full_sets(docs, ends, n))
     likely = met.groupBy("b").agg(F.max(F.struct(F.col("times"), (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
-    linked = written(confirm(sets, likely, percent))
+    linked = written(confirm(sets, likely, percent).select("a", "b").unionByName(repeated(signed, first)))
     comps = components(linked)
     rest = written(apart(met.select("a", "b").join(likely, ["a", "b"], "left_anti"), comps))
     if rest.limit(1).count():

@@ -145,6 +145,16 @@ def test_neardup_of_a_group_whose_members_are_not_all_linked(spark, monkeypatch)
     assert bag(neardup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want
 
 
+def test_neardup_of_a_doc_id_with_several_texts(spark):
+    """Such rows are one document for linking, and join what each of them is linked with."""
+    r = random.Random(6)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(9, a), (9, b), (3, b), (5, a + " x"), (12, c), (12, None), (8, c), (14, d), (14, d), (15, "y z"), (15, "v w"), (None, a), (None, c)]
+    got = bag(neardup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "component_id", "kept"))
+    comp = {9: 3, 3: 3, 5: 3, 12: 8, 8: 8, 14: 14, 15: 15, None: None}
+    assert got == Counter((i, comp[i], i is not None and comp[i] == i) for i, _ in rows)
+
+
 def test_substrings(docs, rows):
     seen = Counter(tuple(words(t)[k : k + 35]) for _, t, *_ in rows for k in range(len(words(t)) - 34))
     want = Counter()
