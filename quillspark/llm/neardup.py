@@ -11,11 +11,11 @@ they are fewer than n; without words it is empty and linked with nothing. Docume
    pair at 0.8 shares no bucket once in 100,000 times.
 3. Full sets of the nodes met in buckets are written once; stars are confirmed on them, at first the likeliest centre of each node, then
    those between documents not yet connected.
-4. A star leaves pairs that its centre is not linked with. In buckets that still hold several components, the members
-   outside the largest one are held against all others, block by block inside tasks: pairs whose sizes allow a link
-   and whose least values by slot agree no less than ``SIGMAS`` standard deviations below the threshold are confirmed on full
-   sets in the block itself, so that only links come out, and of these one for two components that the block has not yet
-   linked. So a pair is given up unconfirmed only where chance is some millionths.
+4. A star leaves pairs that its centre is not linked with. The members of buckets that still hold several components go through an
+   exact prefix join: with the shingles of each set ordered from the rarest among these members on, two sets that are
+   alike enough share one of the first ``size - ceil(0.8 * size) + 1``, and at the first they share, what is left of both
+   must suffice. Pairs of different components that meet so are confirmed on full sets. No link is given up, shingles that one
+   member alone has are not sent at all, and rows sent grow with shared shingles, not with the square of a bucket.
 
 Nulls and edges: a null text is empty; a null doc_id is linked with nothing and has a null component_id and kept false. Rows that
 repeat a doc_id are one document for linking. An empty table gives an empty result. Extra columns are ignored.
@@ -28,25 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import mix, runs, shingle_sets
-from quillspark.llm.common import shuffle_partitions, small, text_of, written
+from quillspark.llm.common import HOT, hot_keys, looked_up, shuffle_partitions, small, text_of, written
 
 BANDS, ROWS = 64, 8
 SLOTS = BANDS * ROWS
 BITS = SLOTS.bit_length() - 1
 PERCENT = 80
 TOGETHER = 16384
-#: Rows up to which ids or edges are broadcast (16 bytes each); beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows up to which ids or edges are broadcast (at most 32 bytes each); beyond, joins shuffle.
+BROADCAST_ROWS = 100_000
 #: Members of one star that one task confirms.
-STAR = 2000
-#: How far below the threshold the estimate of a pair may lie that is still confirmed on full sets; members of a block.
-SIGMAS, TILE = 4.5, 1024
-#: Bytes of full sets in a block.
-TILE_BYTES = 1 << 25
+STAR = 128
+#: Bytes of band keys that one task brings together.
+MEET_BYTES = 64 << 20
 
 _rng = np.random.default_rng(5)
 #: For each slot all slots in random order: an empty slot borrows from the first in its order that is not empty.
@@ -55,8 +53,8 @@ PLACE = np.argsort(ORDER, axis=1).astype(np.int16)
 FACTORS = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS) and one byte from 1 of each slot's least value, 0 for an empty slot (texts x SLOTS), of non-empty sets of sorted hashes."""
+def sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """Band keys (texts x BANDS) of non-empty sets of sorted hashes."""
     sizes = np.array([len(s) for s in sets])
     flat, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     slot = (flat >> np.uint64(64 - BITS)).astype(np.int64)
@@ -80,7 +78,7 @@ def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         least[row[hit], col[hit]] = source[row[hit], probe[hit]]
         row, col = row[~hit], col[~hit]
     with np.errstate(over="ignore"):
-        return mix((least.reshape(-1, BANDS, ROWS) * FACTORS).sum(2, dtype=np.uint64)), np.where(full, mix(source) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+        return mix((least.reshape(-1, BANDS, ROWS) * FACTORS).sum(2, dtype=np.uint64))
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -92,7 +90,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             for first, last, raw, at in runs(b.column(1)):
                 sets = shingle_sets(raw, at, n)
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = dict(zip(some, (k.tobytes() for k in sketch([sets[i] for i in some])[0]), strict=True)) if some else {}
+                keys = dict(zip(some, (k.tobytes() for k in sketch([sets[i] for i in some])), strict=True)) if some else {}
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([keys.get(i) for i in range(len(sets))], pa.binary())], ["doc_id", "n_shingles", "digest", "bands"])
 
@@ -127,10 +125,9 @@ def counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 PACKED = "part int, edges boolean, left binary, right binary"
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Star edges (a, b, times met), a < b, from (node, bands)."""
-    spark = nodes.sparkSession
-    n = shuffle_partitions(spark)
+def candidates(nodes: DataFrame, rows: int) -> DataFrame:
+    """Star edges (a, b, times met), a < b, from (node, bands). Keys are dealt over as many tasks as keep each within ``MEET_BYTES``."""
+    n = max(shuffle_partitions(nodes.sparkSession), -(-rows * BANDS * 16 // MEET_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, held = [], [], 0
@@ -174,7 +171,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, set as packed hashes, bands, slots) of the documents named that have words."""
+    """(node, set as packed hashes) of the documents named that have words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,23 +179,20 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 sets = shingle_sets(raw, at, n)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 if some:
-                    keys, slots = sketch([sets[i] for i in some])
-                    packed = [pa.array([x.tobytes() for x in c], pa.binary()) for c in ([sets[i] for i in some], keys, slots)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first).take(pa.array(some)), *packed], ["node", "set", "bands", "slots"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first).take(pa.array(some)), pa.array([sets[i].tobytes() for i in some], pa.binary())], ["node", "set"])
 
     d = docs.select(docs["doc_id"].cast("long").alias("node"), text_of(docs).alias("__text"))
-    return d.join(small(nodes, BROADCAST_ROWS), "node", "left_semi").mapInArrow(work, "node long, set binary, bands binary, slots binary")
+    return d.join(small(nodes, BROADCAST_ROWS), "node", "left_semi").mapInArrow(work, "node long, set binary")
 
 
 def confirm(sets: DataFrame, edges: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The edges (a, b) whose full sets are alike enough. Sets of b move to a; a centre with many members is dealt over several tasks."""
-    per = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("__salts"))
-    salted = edges.join(small(per, BROADCAST_ROWS), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("__salts")).cast("int").alias("salt"))
-    role = lambda centre, salt, member: F.struct(centre.alias("a"), salt.alias("salt"), F.lit(member).alias("member"))
-    roles = salted.select(F.col("b").alias("node"), role(F.col("a"), F.col("salt"), True).alias("r"))
-    roles = roles.unionByName(per.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("salt"), "a").select("node", role(F.col("a"), F.col("salt"), False).alias("r")))
-    roles = roles.groupBy("node").agg(F.collect_list("r").alias("r"))
-    x = sets.select("node", "set").join(small(roles, BROADCAST_ROWS), "node").select("node", "set", F.explode("r").alias("r")).select("r.a", "r.salt", "r.member", "node", "set")
+    """The edges (a, b), written, whose full sets are alike enough. Sets of b move to a; a centre with many members is dealt over several tasks."""
+    per = written(edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("__salts")))
+    salted = looked_up(edges.select("a", "b"), per, "a", hot=per.where(F.col("__salts") * STAR > HOT).select("a"))
+    salted = salted.select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("__salts")).cast("int").alias("salt"), F.lit(True).alias("member"))
+    centres = per.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    roles = written(salted.unionByName(centres))
+    x = sets.join(small(roles, BROADCAST_ROWS), "node").select("a", "salt", "member", "node", "set")
     x = x.repartition(shuffle_partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +212,7 @@ def confirm(sets: DataFrame, edges: DataFrame, percent: int = PERCENT) -> DataFr
                 if left:
                     yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return x.mapInArrow(work, "a long, b long")
+    return written(x.mapInArrow(work, "a long, b long"))
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -232,12 +226,13 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every end of an edge, comp the least node connected: labels fall to the least of the neighbours', then to their label's label, until none changes."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hot = written(hot_keys(both, "b"))
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("__near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("__old"), F.least("comp", "__near").alias("comp"))
+        near = looked_up(both, labels.withColumnRenamed("node", "b"), "b", hot=hot).groupBy("a").agg(F.min("comp").alias("__near"))
+        low = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("__old"), F.least("comp", "__near").alias("comp")))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("__far"))
-        new = written(low.join(jump, "comp").select("node", "__old", F.least("comp", "__far").alias("comp")))
+        new = written(looked_up(low, jump, "comp").select("node", "__old", F.least("comp", "__far").alias("comp")))
         labels = new.select("node", "comp")
         if not new.where("comp < __old").limit(1).count():
             return labels
@@ -250,93 +245,52 @@ def apart(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return x.where(F.coalesce("__ca", "a") != F.coalesce("__cb", "b")).select(edges.columns)
 
 
-def mixed(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, node, comp, few, __tiles) of the buckets that hold more than one component; few: outside the bucket's largest."""
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                key = unpacked(part.column(0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(c.to_numpy(), BANDS)) for c in part.columns[1:])], ["key", "node", "comp", "bytes"])
-
-    rows = sets.select("node", "bands", F.octet_length("set").cast("long").alias("bytes")).join(small(comps, BROADCAST_ROWS), "node", "left")
-    rows = rows.select("bands", "node", F.coalesce("comp", "node").alias("comp"), "bytes").mapInArrow(unpack, "key long, node long, comp long, bytes long")
-    rows = written(rows)
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("__comps"), F.max(F.struct("n", "comp"))["comp"].alias("__most")).where("__comps > 1")
-    per = per.select("key", F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("int").alias("__tiles"), "__most")
-    return rows.join(small(per, BROADCAST_ROWS), "key").select("key", "node", "comp", (F.col("comp") != F.col("__most")).alias("few"), "__tiles")
-
-
-class Tile:
-    """Members of one bucket, held against queries one at a time; what is found linked counts as one component from then on."""
-
-    def __init__(self, key: int, members: list[tuple], percent: int):
-        node, comp, few, sets, slots, bands = zip(*members, strict=True)
-        self.key, self.percent, self.sets, self.now = key, percent, sets, {}
-        self.node, self.comp, self.few, self.size = np.array(node), np.array(comp), np.array(few), np.array([len(s) for s in sets])
-        self.slots, self.bands = np.stack(slots), np.stack(bands)
-
-    def likely(self, node: int, comp: int, size: int, slots: np.ndarray, bands: np.ndarray) -> np.ndarray:
-        """Members to confirm, the likeliest first. Of two queries each meets the other, so one of these suffices; a pair is held in the first bucket it shares."""
-        t = np.flatnonzero((self.comp != comp) & (~self.few | (self.node > node)))
-        t = t[100 * np.minimum(self.size[t], size) >= self.percent * np.maximum(self.size[t], size)]
-        t = t[bands[(self.bands[t] == bands).argmax(1)] == self.key]
-        # the slots that either fills are so many draws, without replacement, from the united set
-        drawn = np.maximum(((self.slots[t] | slots) > 0).sum(1), 1)
-        agree = ((self.slots[t] == slots) & (slots > 0)).sum(1) / drawn
-        same = self.percent / 100
-        united = (self.size[t] + size) / (1 + same)
-        spread = np.sqrt(same * (1 - same) / drawn * np.maximum(united - drawn, 0) / np.maximum(united - 1, 1))
-        hope = agree - same + SIGMAS * spread + 1 / drawn
-        return t[np.argsort(-hope, kind="stable")[: (hope >= 0).sum()]]
-
-    def links(self, node: int, comp: int, few: bool, s: np.ndarray, slots: np.ndarray, bands: np.ndarray) -> Iterator[tuple[int, int]]:
-        """The query's links, one to each component that full sets confirm."""
-        while comp in self.now:
-            comp = self.now[comp]
-        t, step = self.likely(node, comp, len(s), slots, bands), 4
-        while len(t):
-            head, t, step = t[:step], t[step:], 64
-            flat = np.concatenate([self.sets[i] for i in head])
-            hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
-            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(self.size[head]) - self.size[head])
-            for i in head[100 * both >= self.percent * (len(s) + self.size[head] - both)]:
-                old = int(self.comp[i])
-                if old != comp:
-                    yield node, int(self.node[i])
-                    self.now[old] = comp
-                    self.comp[self.comp == old] = comp
-            t = t[self.comp[t] != comp]
-
-
-def unlinked(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components that share a bucket. A bucket is dealt over tiles of its members; those outside its largest component go to every tile, as queries."""
-    rows = mixed(sets, comps)
-    tile = F.pmod(F.xxhash64("node"), F.col("__tiles")).cast("int")
-    all_ = rows.select("key", tile.alias("tile"), "node", "comp", "few", F.lit(False).alias("query"))
-    few = rows.where("few").select("key", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("tile"), "node", "comp", "few", F.lit(True).alias("query"))
-    x = all_.unionByName(few).join(sets.select("node", "set", "slots", "bands"), "node")
-    x = x.repartition(shuffle_partitions(sets.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "query")
+def unsettled(met: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, comp) of all members of buckets that hold several components, and some more.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, members, tile = None, [], None
+    The star edges of a bucket connect its members by way of the centres of the tasks' own stars. If the bucket holds several components, one
+    of these edges joins two; all its members are within two further edges of that one's ends.
+    """
+    ends = lambda e: e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
+    both = written(met.select("a", "b").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    near = written(ends(apart(met.select("a", "b"), comps)))
+    for _ in range(2):
+        near = written(near.unionByName(both.join(small(near.withColumnRenamed("node", "a"), BROADCAST_ROWS), "a", "left_semi").select(F.col("b").alias("node"))).distinct())
+    return written(near.join(small(comps, BROADCAST_ROWS), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+
+
+def prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, node, comp, size, at): the shingles that two nodes or more have, in the prefix of each set by rarity among the nodes; ``at`` is their place from 0."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                found = []
-                for k, number, query, node, comp, few, s, slots, bands in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
-                    if (k, number) != place:
-                        place, members, tile = (k, number), [], None
-                    row = node, comp, few, np.frombuffer(s, np.uint64), np.frombuffer(slots, np.uint8), np.frombuffer(bands, np.int64)
-                    if not query:
-                        members.append(row)
-                    elif members:
-                        tile = tile or Tile(k, members, percent)
-                        found += tile.links(*row)
-                if found:
-                    pairs = np.sort(np.array(found), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return x.select("key", "tile", "query", "node", "comp", "few", "set", "slots", "bands").mapInArrow(work, "a long, b long").distinct()
+                node, comp, packed = (c for c in b.slice(at, 256).columns)
+                held = [np.frombuffer(p, np.int64) for p in packed.to_pylist()]
+                n = [len(h) for h in held]
+                which = [int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=4).digest()) >> 1 for h in held]  # a doc_id may have several sets
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), *(pa.array(np.repeat(np.asarray(v, np.int64), n)) for v in (node.to_numpy(), which, comp.to_numpy(), n))], ["token", "node", "which", "comp", "size"])
+
+    rows = written(sets.join(small(nodes, BROADCAST_ROWS), "node").select("node", "comp", "set").mapInArrow(each, "token long, node long, which long, comp long, size long"))
+    shared = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1"))
+    rows = looked_up(rows, shared, "token", hot=shared.where(F.col("met") > HOT).select("token"))
+    own = Window.partitionBy("node", "which")
+    alone = F.col("size") - F.count(F.lit(1)).over(own)
+    rows = rows.withColumn("at", alone + F.row_number().over(own.orderBy("met", "token")) - 1)
+    return rows.where(F.col("at") <= F.col("size") - F.expr(f"({percent} * size + 99) div 100")).select("token", "node", "comp", "size", "at")
+
+
+def meeting(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes and may be alike enough, by size and by what is left of both at that shingle; each once."""
+    rows = written(prefixes(sets, nodes, percent))
+    per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.count(F.lit(1)).alias("__comps"), F.max(F.struct("n", "comp"))["comp"].alias("__most")).where("__comps > 1").drop("__comps")
+    rows = written(looked_up(rows, written(per), "token").withColumn("few", F.col("comp") != F.col("__most")).drop("__most"))
+    # members of a shingle's largest component are not held against each other; of two others each pair once
+    x, y = rows.where("few").alias("x"), rows.alias("y")
+    new = F.expr("x.token = y.token and x.comp <> y.comp and (not y.few or x.node < y.node)")
+    sizes = F.expr(f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)")
+    left = F.expr(f"{100 + percent} * least(x.size - x.at, y.size - y.at) >= {percent} * (x.size + y.size)")
+    return x.join(y, new & sizes & left).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def repeated(signed: DataFrame, first: DataFrame) -> DataFrame:
@@ -352,23 +306,29 @@ def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     signed = written(signatures(docs, n))
     first = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("__rep"), F.count(F.lit(1)).alias("__times"))
     first = written(first)
-    nodes = signed.join(first, "digest").where(F.col("doc_id") == F.col("__rep")).select(F.col("doc_id").alias("node"), "bands")
-    met = written(candidates(nodes))
+    nodes = signed.join(first.select("digest", F.col("__rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "bands")
+    met = written(candidates(nodes, first.count()))
     ends = written(met.select(F.col("a").alias("node")).unionByName(met.select("b").withColumnRenamed("b", "node")).distinct())
     sets = written(full_sets(docs, ends, n))
     likely = met.groupBy("b").agg(F.max(F.struct(F.col("times"), (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
-    linked = written(confirm(sets, likely, percent).select("a", "b").unionByName(repeated(signed, first)))
+    likely = written(likely)
+    linked = written(confirm(sets, likely, percent).unionByName(repeated(signed, first)))
     comps = components(linked)
     rest = written(apart(met.select("a", "b").join(likely, ["a", "b"], "left_anti"), comps))
     if rest.limit(1).count():
-        linked = written(linked.unionByName(confirm(sets, rest, percent)))
+        linked = linked.unionByName(confirm(sets, rest, percent))
+        comps = components(linked)
+    nodes = unsettled(met, comps)
+    if nodes.limit(1).count():
+        linked = linked.unionByName(confirm(sets, written(meeting(sets, nodes, percent)), percent))
         comps = components(linked)
-    more = written(unlinked(sets, comps, percent))
-    if more.limit(1).count():
-        comps = components(linked.unionByName(more))
-    x = signed.drop("bands").join(first.where("__times > 1").select("digest", "__rep"), "digest", "left")
-    x = x.withColumn("node", F.coalesce("__rep", "doc_id")).join(small(comps, BROADCAST_ROWS), "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node"))
+    comps = comps.select(F.col("node").alias("__node"), "comp")
+    own = first.join(small(comps, BROADCAST_ROWS), F.col("__rep") == F.col("__node"), "left").select("digest", F.coalesce("comp", "__rep").alias("__comp"))
+    x = looked_up(signed.where(F.col("digest").isNotNull()), written(own), "digest", "left", first.where(F.col("__times") > HOT).select("digest"))
+    blank = signed.where(F.col("digest").isNull())
+    blank = blank.join(small(comps, BROADCAST_ROWS), blank["doc_id"] == F.col("__node"), "left").select(*signed.columns, F.col("comp").alias("__comp"))
+    x = x.select(*blank.columns).unionByName(blank)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("__comp", "doc_id"))
     return x.select("doc_id", "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

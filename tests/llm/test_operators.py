@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import arrays, chat, fingerprints, licenses, mixing, neardup, packing, pii, quality, substrings, warc
+from quillspark.llm import arrays, chat, common, fingerprints, licenses, mixing, neardup, packing, pii, quality, substrings, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, node long, n_words long, size long"
 W = re.compile(r"[^ \x09-\x0D]+")
@@ -119,8 +119,9 @@ def test_near_duplicates(docs, rows):
 
 
 def test_neardup_of_a_group_whose_members_are_not_all_linked(spark, monkeypatch):
-    """Copies drift from one another, so stars miss links; small blocks make members meet across them."""
-    monkeypatch.setattr(neardup, "TILE", 16)
+    """Copies drift from one another, so stars miss links; small stars and limits make the rare branches run."""
+    monkeypatch.setattr(neardup, "STAR", 16)
+    monkeypatch.setattr(common, "HOT", 20)
     r = random.Random(8)
     base, rows = [f"w{r.randrange(10**6)}" for _ in range(120)], []
     for i in range(160):
@@ -205,19 +206,84 @@ def test_mixing(docs, rows):
         assert abs(taken[s] - goal[s]) <= max(9000, 0.1 * goal[s])
 
 
-def test_fingerprints(docs, rows):
-    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+def plain_likeness(a, b):
+    """From the texts themselves: the part of the longer one that common stretches at the grids' lengths cover."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    longest = lambda grid, same: max((g for g in grid if same(g)), default=0)
+    first = longest([g for g in fingerprints.GRID if g <= min(len(a), len(b))], lambda g: a[:g] == b[:g])
+    last = longest([g for g in fingerprints.GRID if g <= min(len(a), len(b))], lambda g: a[-g:] == b[-g:])
+    one, two = {*range(first), *range(len(a) - last, len(a))}, {*range(first), *range(len(b) - last, len(b))}
+    n = fingerprints.SPAN
+    anchors = [dict(zip(*map(list, fingerprints.anchors_of(fingerprints.span_hashes(fingerprints.Prefixes(fingerprints.points(t))))))) if len(t) >= n else {} for t in (a, b)]
+    for v in anchors[0].keys() & anchors[1].keys():
+        p, q = int(anchors[0][v]), int(anchors[1][v])
+        after = max(n, longest([g for g in fingerprints.REACH if p + g <= len(a) and q + g <= len(b)], lambda g: a[p : p + g] == b[q : q + g]))
+        before = max(n, longest([g for g in fingerprints.REACH if g <= p + n and g <= q + n], lambda g: a[p + n - g : p + n] == b[q + n - g : q + n]))
+        one |= set(range(p + n - before, p + after))
+        two |= set(range(q + n - before, q + after))
+    return round(min(len(one), len(two)) / max(len(a), len(b)), 6)
+
+
+def in_order(spark, rows):
+    """(doc_id, text) by (doc_id, hash of the text, text), null ids first."""
+    hashed = spark.createDataFrame([(x[0], x[1] or "") for x in rows], "i long, t string").selectExpr("i", "t", "xxhash64(t) as h").collect()
+    return sorted(((r["i"], r["t"], r["h"]) for r in hashed), key=lambda x: (x[0] is not None, x[0] or 0, x[2], x[1]))
+
+
+def test_fingerprints(spark, docs, rows):
+    order = in_order(spark, rows)
     want = Counter()
-    for (i, t, *_), (_, n, *_) in zip(order, order[1:] + order[:1]):
-        t, q = t or "", len(t or "") // 4
-        want[i, len(t), hashlib.sha256((t[: len(t) - q] + (n or "")[:q]).encode()).hexdigest(), fingerprints.fingerprint(fingerprints.points(t))] += 1
+    for (i, t, _), (_, n, _) in zip(order, order[1:] + order[:1]):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + n[:q]
+        marks = [fingerprints.fingerprint(fingerprints.points(x)) for x in (t, edited)]
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), *marks, plain_likeness(t, edited), plain_likeness(t, n)] += 1
     got = fingerprints.report(docs).cache()
-    assert bag(got.select("doc_id", "n_chars", "edited_sha256", "fingerprint")) == want
+    assert bag(got) == want
     assert got.where("near_edited < 0.6 and n_chars > 100 or near_edited > 1").count() == 0
     a, b = fingerprints.points("xxhello world"), fingerprints.points("yhello there")
     assert fingerprints.Prefixes(a).common_extension(2, fingerprints.Prefixes(b), 1) == len("hello ")
 
 
+def test_fingerprints_of_moved_and_edited_passages():
+    r = random.Random(12)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    near = lambda a, b: fingerprints.likeness(*[fingerprints.fingerprint(fingerprints.points(x)) for x in (a, b)])
+    for _ in range(60):
+        a, b, c = text(r.randint(1, 900)), text(r.randint(1, 900)), text(r.randint(0, 300))
+        for x, y in ((a + b, b + a), (a + c + b, a + b), (c + a, a), (a, b), (a + b, a + c), (a, "")):
+            assert near(x, y) == near(y, x) == plain_likeness(x, y)
+    assert near("x" * 500 + text(2000), "y" * 700) == 0.0
+    passage = text(3000)
+    assert near(text(500) + passage + text(500), text(700) + passage + text(300)) > 0.3
+
+
+def test_fingerprints_of_one_row_and_of_many_rows_without_an_id(spark):
+    one = fingerprints.report(spark.createDataFrame([(4, "only text")], "doc_id long, text string")).collect()
+    assert [(r["n_chars"], r["near_next"]) for r in one] == [(9, 1.0)]
+    rows = [(None if i % 3 else i, f"text {i}") for i in range(300)]
+    order = in_order(spark, rows)
+    want = Counter((i, hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()) for (i, t, _), (_, n, _) in zip(order, order[1:] + order[:1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert bag(fingerprints.report(df).select("doc_id", "edited_sha256")) == want
+    assert max(r["count"] for r in fingerprints.with_next(df).where("__own").groupBy("__b").count().collect()) < 150
+
+
+def test_ranges_do_not_depend_on_how_the_input_is_split(spark):
+    r = random.Random(9)
+    ids = [r.randrange(-(10**6), 10**15) for _ in range(4000)] + list(range(3000)) + [7] * 2000 + [None] * 1500 + [(1 << 63) - 1, -(1 << 63)]
+    df = spark.createDataFrame([(i,) for i in ids], "v long").withColumn("t", F.xxhash64(F.monotonically_increasing_id()))
+    df = spark.createDataFrame(df.collect(), "v long, t long")
+    found = [common.bounds(df.repartition(k), "v", "t", 16) for k in (1, 5)]
+    assert found[0] == found[1] == sorted(set(found[0]))
+    sizes = [x["count"] for x in df.groupBy(common.placed(F.col("v"), F.col("t"), found[0]).alias("k")).count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 2 * len(ids) / 16 and len(sizes) <= 48
+    assert common.bounds(df.limit(0), "v", "t", 16) == [] and common.bounds(df.where("v = 7").limit(1), "v", "t", 4) == []
+
+
 def test_packing(docs, rows):
     for lengths, k in (([1, 2, 3, 10, 11, 50], 3), ([5, 9, 9, 30, 31, 32, 80], 4), ([3], 2), ([], 2)):
         x, c = sorted(set(lengths)), Counter(lengths)
