@@ -3,14 +3,16 @@
 ``Prefixes`` holds one text's hash of every prefix, for two bases modulo a prime: any span's hash is then one subtraction,
 so spans are compared in constant time and the longest common extension of two places is found by binary search.
 
-A fingerprint is text: length and hash of the whole, hashes of prefixes and of suffixes at lengths on a fixed geometric grid, and the
-least hashes among all spans of ``SPAN`` code points. Two fingerprints' likeness is 1 for equal wholes;
-else the larger of (longest common prefix + longest common suffix on the grid, found by binary search)
-/ longer length, and the Jaccard index that the least span hashes estimate.
+A fingerprint is text: length and hash of the whole; hashes of prefixes and of suffixes at lengths on a geometric grid; and
+``LEAST`` anchors, the spans of ``SPAN`` code points with the least hashes, each with its place and with hashes of what reaches from it to
+either side at doubling lengths. Two fingerprints' likeness is 1 for equal wholes; else it is the part of the longer text
+that longest common extensions cover: from the first character on, up to the last one, and around each anchor that both have, all found by
+binary search over the grids (so a length is the last grid length that agrees).
 
 Nulls and edges: a null text is empty; two empty texts are alike (1), an empty and another are not (0). The next document is
-the next row by (doc_id, text), null ids first; the last one's is the first. A table of one row has itself as the next; an empty table gives an
-empty result. Extra columns are ignored. Texts of any length are hashed whole.
+the next row by (doc_id, hash of the text, text), null ids first; the last one's is the first. A table of one row has itself as the next; an empty
+table gives an empty result. Extra columns are ignored. Texts of any length are hashed whole. Rows that share a doc_id, or have
+none, are dealt over several tasks by that hash; equal rows stay together.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounds, bucket, shuffle_partitions, text_of
+from quillspark.llm.common import bounds, placed, shuffle_partitions, text_of
 
 PRIME = (1 << 31) - 1
 BASES = (911382323, 972663749)
-SPAN, LEAST = 24, 48
-#: Lengths at which prefixes and suffixes are kept, about 6 % apart.
-GRID = sorted({round(1.06**i) for i in range(1, 400)})
+SPAN, LEAST = 24, 8
+#: Lengths at which prefixes and suffixes are kept, about 10 % apart, and those at which extensions of an anchor are.
+GRID = sorted({round(1.1**i) for i in range(1, 250)})
+REACH = [SPAN << i for i in range(1, 32)]
 _P, _31 = np.uint64(PRIME), np.uint64(31)
 
 
@@ -123,20 +126,40 @@ def span_hashes(h: Prefixes, first: int = 0) -> np.ndarray:
     return spread(h.every(SPAN, first) if h.n >= SPAN else np.array([h.span(0, h.n)], np.uint64))
 
 
-def least_of(x: np.ndarray) -> np.ndarray:
+def anchors_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least distinct span hashes and the first place of each."""
     few = 4 * LEAST
     while True:  # repeated spans may crowd out distinct ones
-        part = np.unique(np.partition(x, few)[:few] if few < len(x) else x)
-        if len(part) >= LEAST or few >= len(x):
-            return part[:LEAST]
+        at = np.flatnonzero(x <= np.partition(x, few)[few]) if few < len(x) else np.arange(len(x))
+        value, first = np.unique(x[at], return_index=True)
+        if len(value) >= LEAST or few >= len(x):
+            return value[:LEAST], at[first[:LEAST]]
         few *= 8
 
 
+def cut(x: np.ndarray) -> str:
+    """The low 32 bits of hashes, eight hex digits each."""
+    return x.astype(">u4").tobytes().hex()
+
+
 def written_out(h: Prefixes, spans: np.ndarray) -> str:
     grid = np.array(GRID[: bisect_right(GRID, h.n)], np.int64)
     zero, whole = np.zeros(len(grid), np.int64), np.full(len(grid), h.n)
-    text = lambda x, kind: x.astype(kind).tobytes().hex()
-    return ".".join([f"{h.n:x}", f"{h.span(0, h.n):016x}", text(h.spans(zero, grid), ">u2"), text(h.spans(whole - grid, whole), ">u2"), text(least_of(spans), ">u4") if h.n else ""])
+    anchors = []
+    if h.n >= SPAN:
+        value, place = anchors_of(spans)
+        reach = np.array(REACH[: bisect_right(REACH, h.n)], np.int64)
+        right = [reach[: bisect_right(REACH, h.n - p)] for p in place.tolist()]
+        left = [reach[: bisect_right(REACH, p + SPAN)] for p in place.tolist()]
+        start = np.concatenate([*(np.full(len(r), p) for r, p in zip(right, place, strict=True)), *(p + SPAN - r for r, p in zip(left, place, strict=True))])
+        end = np.concatenate([*(p + r for r, p in zip(right, place, strict=True)), *(np.full(len(r), p + SPAN) for r, p in zip(left, place, strict=True))])
+        text, at = cut(h.spans(start, end)), 0
+        sides = []
+        for r in (*right, *left):
+            sides.append(text[at : at + 8 * len(r)])
+            at += 8 * len(r)
+        anchors = [f"{v:x}:{p:x}:{sides[len(place) + i]}:{sides[i]}" for i, (v, p) in enumerate(zip(value.tolist(), place.tolist(), strict=True))]
+    return ".".join([f"{h.n:x}", f"{h.span(0, h.n):016x}", cut(h.spans(zero, grid)), cut(h.spans(whole - grid, whole)), ",".join(anchors)])
 
 
 def fingerprint(text: np.ndarray) -> str:
@@ -144,28 +167,42 @@ def fingerprint(text: np.ndarray) -> str:
     return written_out(h, span_hashes(h))
 
 
-def agreed(a: str, b: str) -> int:
+def agreed(a: str, b: str, grid: list[int]) -> int:
     """The greatest grid length up to which both hash alike, by binary search: agreeing at one length means agreeing at all before it."""
-    low, high = 0, min(len(a), len(b)) // 4
+    low, high = 0, min(len(a), len(b)) // 8
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[4 * mid - 4 : 4 * mid] == b[4 * mid - 4 : 4 * mid] else (low, mid - 1)
-    return GRID[low - 1] if low else 0
+        low, high = (mid, high) if a[8 * mid - 8 : 8 * mid] == b[8 * mid - 8 : 8 * mid] else (low, mid - 1)
+    return grid[low - 1] if low else 0
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    total, reach = 0, 0
+    for start, end in sorted(spans):
+        total += max(0, end - max(start, reach))
+        reach = max(reach, end)
+    return total
 
 
 def likeness(a: str, b: str) -> float:
     """From 0 to 1, from two fingerprints alone."""
-    n, whole, prefixes, suffixes, least = a.split(".")
-    m, other, prefixes2, suffixes2, least2 = b.split(".")
+    n, whole, prefixes, suffixes, anchors = a.split(".")
+    m, other, prefixes2, suffixes2, anchors2 = b.split(".")
     if (n, whole) == (m, other):
         return 1.0
     n, m = int(n, 16), int(m, 16)
     if not n or not m:
         return 0.0
-    ends = min(agreed(prefixes, prefixes2) + agreed(suffixes, suffixes2), n, m) / max(n, m)
-    x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (least, least2))
-    both = sorted(x | y)[:LEAST]
-    return round(max(ends, sum(v in x and v in y for v in both) / len(both)), 6)
+    first, last = agreed(prefixes, prefixes2, GRID), agreed(suffixes, suffixes2, GRID)
+    one, two = [(0, first), (n - last, n)], [(0, first), (m - last, m)]
+    known = {x[0]: x for x in (y.split(":") for y in anchors2.split(",") if y)}
+    for v, p, left, right in (y.split(":") for y in anchors.split(",") if y):
+        if v in known:
+            _, q, left2, right2 = known[v]
+            before, after = max(SPAN, agreed(left, left2, REACH)), max(SPAN, agreed(right, right2, REACH))
+            for spans, at in ((one, int(p, 16)), (two, int(q, 16))):
+                spans.append((at + SPAN - before, at + after))
+    return round(min(covered(one), covered(two)) / max(n, m), 6)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -175,19 +212,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("__text"))
-    edges = bounds(rows, "doc_id", n)
-    placed = rows.withColumn("__b", bucket(F.col("doc_id"), edges))
-    heads = [(r["__b"], r["first"]) for r in placed.groupBy("__b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).orderBy("__b").collect()]  # one row a range
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("__text")).withColumn("__tie", F.xxhash64("__text"))
+    edges = bounds(rows, "doc_id", "__tie", n)
+    rows = rows.withColumn("__b", placed(F.col("doc_id"), F.col("__tie"), edges))
+    heads = [(r["__b"], r["first"]) for r in rows.groupBy("__b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "__tie")).alias("first")).orderBy("__b").collect()]  # one row a range
     before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
     if not heads:
-        return placed.select("__b", F.lit(0).alias("__late"), "doc_id", "__text", F.lit(True).alias("__own"))
-    first = spark.createDataFrame([(b, f["doc_id"], before[b]) for b, f in heads], "__fb int, __first long, __to int")
-    lead = placed.join(F.broadcast(first), (F.col("__b") == F.col("__fb")) & F.col("doc_id").eqNullSafe(F.col("__first")))
-    # of rows that share the first id, the one with the least text
-    lead = lead.groupBy("__to").agg(F.min(F.struct("doc_id", "__text")).alias("r")).select(F.col("__to").alias("__b"), F.lit(1).alias("__late"), "r.doc_id", "r.__text", F.lit(False).alias("__own"))
-    own = placed.select("__b", F.lit(0).alias("__late"), "doc_id", "__text", F.lit(True).alias("__own"))
-    return own.unionByName(lead).repartitionById(n, F.col("__b")).sortWithinPartitions("__b", "__late", "doc_id", "__text")
+        return rows.select("__b", F.lit(0).alias("__late"), "doc_id", "__tie", "__text", F.lit(True).alias("__own"))
+    first = spark.createDataFrame([(b, f["doc_id"], f["__tie"], before[b]) for b, f in heads], "__fb int, __first long, __ft long, __to int")
+    lead = rows.join(F.broadcast(first), (F.col("__b") == F.col("__fb")) & F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("__tie") == F.col("__ft")))
+    # of rows that share the first id and hash, the one with the least text
+    lead = lead.groupBy("__to").agg(F.min(F.struct("doc_id", "__tie", "__text")).alias("r")).select(F.col("__to").alias("__b"), F.lit(1).alias("__late"), "r.doc_id", "r.__tie", "r.__text", F.lit(False).alias("__own"))
+    own = rows.select("__b", F.lit(0).alias("__late"), "doc_id", "__tie", "__text", F.lit(True).alias("__own"))
+    return own.unionByName(lead).repartitionById(max(n, len(edges) + 1), F.col("__b")).sortWithinPartitions("__b", "__late", "doc_id", "__tie", "__text")
 
 
 def report(docs: DataFrame) -> DataFrame:
