@@ -166,6 +166,14 @@ def test_substrings(docs, rows):
     assert bag(substrings.report(docs)) == want
 
 
+def test_substrings_with_a_small_sketch_and_many_groups(docs):
+    """Counters too few, so that nearly all windows are grouped; parts and groups many."""
+    want = bag(substrings.report(docs))
+    for options in ({"width": 1 << 6, "per_cell": 64, "group_bytes": 1 << 10}, {"width": 1 << 12, "group_bytes": 1 << 14}):
+        assert bag(substrings.remove(docs.repartition(4), **options)) == want
+    assert substrings.parts_for(0) == 1 and substrings.parts_for(10**12) * substrings.PART * 4 >= 10**12
+
+
 def test_quality(docs, rows):
     want = Counter()
     for i, t, *_ in rows:
