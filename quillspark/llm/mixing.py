@@ -18,7 +18,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ranked, small, text_of, word_count, written
+from quillspark.llm.common import ranked, running, small, text_of, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED = 1.5, 2, 20240607
@@ -33,28 +33,27 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     """(source, source_size, target), one row per source.
 
     In the order of cap / weight, the capped sources come first. The rest share what those leave, by weight; the first
-    source for which that stays within its cap ends the capped ones. The windows run over one row per
-    source, not over documents.
+    source for which that stays within its cap ends the capped ones. Sources may be as many as documents: their places and
+    running sums come from ranges (``running``), not from a window over all of them.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("__w", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long"))
-    total = Window.partitionBy()
-    per = per.withColumn("__all", F.sum("source_size").over(total) * F.lit(float(share))).withColumn("__cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy((F.col("__cap") / F.col("__w")), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.col("__all") - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / F.sum("__w").over(from_here)
+    per = running(per, [F.col("source").asc_nulls_last()], {"__place": F.lit(1).cast("long")})
+    per = per.withColumn("__w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("__place") - 1) % len(weights) + 1).cast("int")).cast("long"))
+    per = written(per.withColumn("__cap", F.col("source_size") * F.lit(float(most))).withColumn("__rate", F.col("__cap") / F.col("__w")))
+    every = per.agg((F.sum("source_size") * F.lit(float(share))).alias("__all"), F.sum("__w").alias("__weights"))  # one row
+    per = running(per, [F.col("__rate"), F.col("source").asc_nulls_last()], {"__caps": F.col("__cap"), "__ws": F.col("__w")}).crossJoin(F.broadcast(every))
+    level = (F.col("__all") - (F.col("__caps") - F.col("__cap"))) / (F.col("__weights") - F.col("__ws") + F.col("__w"))
     per = per.withColumn("__level", level)
     # levels fall below cap / weight once and stay there; before that, a source is capped
-    per = per.withColumn("__level", F.max(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.struct(-F.col("__cap") / F.col("__w"), F.col("__level")))).over(total)["__level"])
-    return per.select("source", "source_size", F.least(F.col("__cap"), F.coalesce(F.col("__level") * F.col("__w"), F.col("__cap"))).alias("target"))
+    last = per.agg(F.max(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.struct(-F.col("__rate"), F.col("__level"))))["__level"].alias("__last"))  # one row
+    per = per.crossJoin(F.broadcast(last))
+    return per.select("source", "source_size", F.least(F.col("__cap"), F.coalesce(F.col("__last") * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, extra: list[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target and ``copies`` for each document; ``extra`` columns of docs go along."""
     sizes = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(text_of(docs)).alias("size"), *extra))
-    goal = targets(sizes, weights, share, most)
+    goal = written(targets(sizes, weights, share, most))
     r = small(goal.withColumnRenamed("source", "__s"), 100_000)
     x = sizes.join(r, sizes["source"].eqNullSafe(F.col("__s"))).drop("__s")
     # documents of like size stand together: 8 classes to each doubling

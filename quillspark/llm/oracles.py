@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.llm import mixing, quality
+from quillspark.llm.common import PRIME
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x != '')"
 
@@ -23,6 +24,7 @@ select n.doc_id, cast(n_shingles as bigint) as n_shingles, component_id, n.doc_i
 """
 
 
+_CLASS_SUMS = ", ".join(f"sum(c[{i + 1}])" for i in range(len(quality.CLASSES) + 2))
 _QUALITY = rf"""
 with w as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t, {_WORDS} as w from documents),
 tri as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
@@ -32,11 +34,11 @@ f as (select w.doc_id, lang, cast(length(t) as bigint) as n_chars, cast(len(w) a
   cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
   cast(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')))) as bigint) as n_dup_lines,
   cast(coalesce(rep.n, 0) as bigint) as n_repeat_words,
-  [cast(length(regexp_replace(t, '[^A-Z]+', '', 'g')) as bigint), length(regexp_replace(t, '[^0-9]+', '', 'g')), length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')), length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')), length(t) - length(array_to_string(w, ''))] as c,
-  list_transform(case lang {" ".join(f"when '{k}' then {v.split()}" for k, v in quality.COMMON.items())} else [] end, lambda k: cast(len(list_filter(w, lambda x: x = k)) as bigint)) as h
+  [cast(length(regexp_replace(t, '[^A-Z]+', '', 'g')) as bigint), length(regexp_replace(t, '[^0-9]+', '', 'g')), length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')), length(regexp_replace(t, '[^aeiou]+', '', 'g')), length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')), length(t) - length(array_to_string(w, ''))] as c,
+  list_transform(case lang {" ".join(f"when '{k}' then {v.split()}" for k, v in quality.COMMON.items())} else [] end, lambda k: cast(len(list_filter(w, lambda x: x = k or x = upper(k[1]) || k[2:])) as bigint)) as h
   from w left join rep using (doc_id)),
-per as (select lang, sum(n_chars) as chars, sum(n_words) as words, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5])] as c, [{", ".join(f"sum(h[{i + 1}])" for i in range(quality.N_COMMON))}] as h from f group by lang having count(*) >= {quality.MIN_REFERENCE}),
-every as (select sum(n_chars) as chars, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5])] as c from f),
+per as (select lang, sum(n_chars) as chars, sum(n_words) as words, [{_CLASS_SUMS}] as c, [{", ".join(f"sum(h[{i + 1}])" for i in range(quality.N_COMMON))}] as h from f group by lang having count(*) >= {quality.MIN_REFERENCE}),
+every as (select sum(n_chars) as chars, [{_CLASS_SUMS}] as c from f),
 j as (select f.*, coalesce(per.chars, every.chars) as rchars, coalesce(per.c, every.c) as rc, per.words as rwords, per.h as rh from f left join per using (lang) cross join every),
 q as (select *, list_transform(c || [n_chars - list_sum(c)], lambda x: x / n_chars) as p1, list_transform(rc || [rchars - list_sum(rc)], lambda x: x / rchars) as q1,
   list_transform(h || [n_words - list_sum(h)], lambda x: x / n_words) as p2, list_transform(rh || [rwords - list_sum(rh)], lambda x: x / rwords) as q2 from j),
@@ -55,7 +57,7 @@ l as (select *, (every - coalesce(sum(cap) over (o rows between unbounded preced
 t as (select source, source_size, least(cap, coalesce((select arg_min(level, cap / w) from l where level * w <= cap) * w, cap)) as target from l),
 c as (select d.*, cast(floor(8 * log2(size + 1.0)) as integer) as class from d),
 b as (select *, cast(ceil(count(*) over (partition by source, class) / 1000.0) as bigint) as blocks from c),
-r as (select b.*, row_number() over (partition by source order by class, coalesce(((doc_id % blocks) + blocks) % blocks, 0), doc_id nulls first, size) as rank from b),
+r as (select b.*, row_number() over (partition by source order by class, ((((coalesce(doc_id, 0) % {PRIME}) + {PRIME}) % {PRIME}) * 48271 + (size % {PRIME}) * 69621) % {PRIME} % blocks, doc_id nulls first, size) as rank from b),
 x as (select r.doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate, rank from r join t on r.source is not distinct from t.source)
 select doc_id, size, source_size, target, cast((floor(rank * rate + {mixing.offset()!r}) - floor((rank - 1) * rate + {mixing.offset()!r})) * size as bigint) as taken from x
 """

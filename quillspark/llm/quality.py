@@ -25,8 +25,8 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con",
 }
 N_COMMON = 14
-#: Character classes that are counted; with symbols and space, and all else (letters, mostly) as the last one.
-CLASSES = {"upper": "A-Z", "digit": "0-9", "stop": r".,;:!?'\"()\-"}
+#: Character classes that are counted; with symbols and space, and all else (consonants, mostly) as the last one.
+CLASSES = {"upper": "A-Z", "digit": "0-9", "stop": r".,;:!?'\"()\-", "vowel": "aeiou"}
 SYMBOLS = r"#*$%&|<>"
 
 MIN_WORDS = 50
@@ -41,28 +41,19 @@ MIN_REFERENCE = 20
 def repeated_words(found: Column) -> Column:
     """Words that stand in a three-word window found twice or more in the array.
 
-    Every window becomes one long, a hash above and its place below; sorted, equal windows are
-    neighbours. The hash keeps 64 bits less those of the place: 54 for a thousand words. Texts
+    Every window becomes a struct of its whole 64-bit hash and its place; sorted, equal windows are neighbours. Texts
     whose windows all differ skip this.
     """
-    left, right = (lambda x, n: F.call_function("shiftleft", x, n)), (lambda x, n: F.call_function("shiftright", x, n))
-    zero = F.lit(0).cast("long")  # never null, so that Spark sorts plain longs
 
-    def marks(h: Column, bits: Column) -> Column:
-        packed = F.transform(h, lambda x, i: F.coalesce(left(x, bits).bitwiseOR(i.cast("long")), zero))
-
-        def places(s: Column) -> Column:
-            same = lambda x, y: right(x.bitwiseXOR(y), bits) == 0
-            twice = F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1)))
-            return F.transform(twice, lambda x: x.bitwiseAND(left(F.lit(1).cast("long"), bits) - 1).cast("int"))
-
-        covered = let(let(F.sort_array(packed), places), lambda p: F.array_union(F.array_union(p, F.transform(p, lambda i: i + 1)), F.transform(p, lambda i: i + 2)))
-        return F.size(covered)
+    def marks(h: Column) -> Column:
+        packed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        places = let(packed, lambda s: F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))), lambda x: x["i"]))
+        return let(places, lambda p: F.size(F.array_union(F.array_union(p, F.transform(p, lambda i: i + 1)), F.transform(p, lambda i: i + 2))))
 
     # the last two windows are cut short, and so equal to none of three words nor to each other
     hashes = F.transform(found, lambda x, i: F.xxhash64(x, F.get(found, i + 1), F.get(found, i + 2)))
-    bits = lambda h: F.ceil(F.log2((F.size(h) + 1).cast("double"))).cast("int")
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(bits(h), lambda b: marks(h, b)))).cast("long")
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(marks(h))).cast("long")
 
 
 def features(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -72,11 +63,11 @@ def features(docs: DataFrame, whole: bool = False) -> DataFrame:
     only = lambda inside: F.length(F.regexp_replace(t, f"[^{inside}]+", "")).cast("long")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
     common = [F.coalesce(*[F.when(F.col("__lang") == lang, F.lit(s.split()[k])) for lang, s in COMMON.items()], F.lit("")) for k in range(N_COMMON)]
-    known = sorted({w for s in COMMON.values() for w in s.split()})
+    known = sorted({v for s in COMMON.values() for w in s.split() for v in (w, w.capitalize())})
 
     def counted(w: Column) -> Column:
         frequent = F.filter(w, lambda x: x.isin(known))
-        hits = let(frequent, lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, k))).cast("long") for k in common]))
+        hits = let(frequent, lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(F.array_remove(c, k), F.initcap(k)))).cast("long") for k in common]))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"), hits.alias("hits"))
 
     along = ["__row"] if whole else []
