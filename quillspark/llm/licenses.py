@@ -8,12 +8,14 @@ with a chance of ``MISS`` at most: of a thousand million pairs that count, one m
 least 80 % of the template's shingles are in the window.
 
 Nulls and edges: a null or short text has no window with a shingle and no match. Every row gets a result, repeated rows the
-same. An empty table gives an empty result; extra columns are ignored. Templates are a parameter of bounded size.
+same. An empty table gives an empty result; extra columns are ignored. Templates are a parameter of bounded size: short notices as they stand
+in texts, and whole texts.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import LOWER, grams, mix, runs, word_hashes, word_spans
 from quillspark.llm.common import text_of
+from quillspark.llm.license_texts import WHOLE
 
 SHINGLE, PERCENT = 5, 80
 #: Bound on the chance that a template is not retrieved for a window that holds enough of it.
@@ -41,7 +44,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+} | WHOLE
 MARKS = np.zeros(256, bool)
 MARKS[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
@@ -84,13 +87,13 @@ def prepared(templates: dict[str, str], percent: int = PERCENT) -> dict[int, lis
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
-    """doc_id, ``matches``: array of (license, start, end, containment in percent), one for each license, that of its best window, the first in a tie; code units are words of the text."""
+    """doc_id, ``matches``: array of (license, start, end, containment in percent), for each notice, its best window, the first in a tie; notices of one license do not overlap. Places are words of the text."""
     by_width = prepared(TEMPLATES if templates is None else templates, percent)
     every = [t for own in by_width.values() for t in own]
     rivals = {n: [m for m, y, _ in every if m != n and 2 * np.isin(x, y).sum() >= min(len(x), len(y))] for n, x, _ in every}
 
     def find(g: np.ndarray, w: np.ndarray) -> list[list[dict]]:
-        found: list[dict[str, tuple]] = [{} for _ in range(len(w) - 1)]
+        found: list[dict[str, list]] = [{} for _ in range(len(w) - 1)]
         for width, own in by_width.items():
             step, first, last, text = width // 2, [], [], []
             keys = seeds(max(len(t[2]) for t in own))
@@ -119,14 +122,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
                         continue
                     share = 100 * np.isin(t, x, assume_unique=True).sum() // len(t)
                     if share >= percent:
-                        best = found[text[k]].get(name)
-                        if best is None or share > best[2]:
-                            a = int(first[k] - w[text[k]])
-                            found[text[k]][name] = (a, int(last[k] - first[k]) + SHINGLE - 1 + a, int(share))
-        for f in found:  # of templates much alike, such as two versions, the one that fits better stands
-            for name in [n for n in f if any(m in f and f[m][2] > f[n][2] for m in rivals.get(n, ()))]:
-                del f[name]
-        return [[{"license": n, "start": a, "end": b, "percent": p} for n, (a, b, p) in sorted(f.items())] for f in found]
+                        a = int(first[k] - w[text[k]])
+                        found[text[k]].setdefault(name, []).append((a, int(last[k] - first[k]) + SHINGLE - 1 + a, int(share)))
+        return [[{"license": n, "start": a, "end": b, "percent": p} for n, a, b, p in settled(f)] for f in found]
+
+    def settled(found: dict[str, list]) -> list[tuple]:
+        """Of overlapping notices of one license the best; of templates much alike, such as two versions, the one that fits better where they overlap."""
+        best = []
+        for name, spans in found.items():
+            kept = []
+            for a, b, p in sorted(spans, key=lambda x: (-x[2], x[0])):
+                at = bisect_left(kept, (a, b, p))
+                if not (at and kept[at - 1][1] > a) and not (at < len(kept) and kept[at][0] < b):
+                    kept.insert(at, (a, b, p))
+            best += [(name, *k) for k in kept]
+        if not any(m in found for n in found for m in rivals[n]):
+            return sorted(best)
+        best.sort(key=lambda x: x[1])
+        out, longest = [], max(b - a for _, a, b, _ in best)
+        starts = [a for _, a, _, _ in best]
+        for n, a, b, p in best:
+            near = best[bisect_left(starts, a - longest) : bisect_left(starts, b)]
+            if not any(m in rivals[n] and q > p and c < b and a < d for m, c, d, q in near):
+                out.append((n, a, b, p))
+        return sorted(out)
 
     match = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("percent", pa.int64())]))
 
@@ -142,4 +161,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
 
 def report(docs: DataFrame) -> DataFrame:
     m = F.col("matches")
-    return scan(docs).select("doc_id", F.size(m).cast("long").alias("n_licenses"), F.array_join(F.transform(m, lambda x: x["license"]), ",").alias("licenses"), F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["license"], x["start"], x["end"], x["percent"])), ",").alias("spans"))
+    names = F.array_distinct(F.transform(m, lambda x: x["license"]))
+    return scan(docs).select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["license"], x["start"], x["end"], x["percent"])), ",").alias("spans"))

@@ -4,7 +4,9 @@ Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and non-over
 check refuses is dropped and not tried again. Beyond these, an IBAN counts when its mod-97 checksum holds: words in upper
 case may follow it, so it ends where its country's length says, or else with the last group at which the checksum holds; where it holds
 at none, the search goes on at the next character. A
-national number in the form 3-2-4 digits when words nearby call for it.
+national number in the form 3-2-4 digits when words nearby call for it. Secrets are cloud and service keys by their prefix, signed tokens
+whose first part decodes to a header, private-key blocks, and values given to names such as password or token when they mix
+letters and digits with enough entropy (the value is the span); of secrets that overlap the first counts.
 
 Nulls and edges: a null text is empty and has no spans. Texts are searched whole, in time linear in their length.
 Repeated rows are searched each on its own. An empty table gives an empty result; extra columns pass through
@@ -13,7 +15,11 @@ Repeated rows are searched each on its own. An empty table gives an empty result
 
 from __future__ import annotations
 
+import base64
+import json
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "national")
+KINDS = (*BASE, "iban", "national", "secret")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -39,13 +45,21 @@ IBAN_LENGTH = {
 }
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
+KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250})(?![A-Za-z0-9])")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}")
+ASSIGNED = re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,})", re.I)
+NAMES = ("passw", "pwd", "secret", "token", "key")
+BEGIN = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----")
+#: Bits a character that the value of a secret has at least.
+ENTROPY = 2.5
+
 #: Score before and after words nearby are looked at; a span counts from THRESHOLD up.
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "national": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "national": 0.4, "secret": 0.8}
 NEAR = {
     "email": ("mail", "contact", "correo", "courriel"), "ip": ("ip", "address", "host", "server"), "card": ("card", "visa", "credit", "payment", "carte", "karte", "tarjeta"),
-    "phone": ("phone", "call", "tel", "mobile", "telefon", "fax"), "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"), "national": ("ssn", "social", "security", "national"),
+    "phone": ("phone", "call", "tel", "mobile", "telefon", "fax"), "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"), "national": ("ssn", "social", "security", "national"), "secret": ("key", "secret", "token", "password"),
 }
-AGAINST = {"ip": ("version", "release", "section"), "card": ("order", "isbn", "serial"), "national": ("order", "part", "serial")}
+AGAINST = {"ip": ("version", "release", "section"), "card": ("order", "isbn", "serial"), "national": ("order", "part", "serial"), "secret": ("example", "sample")}
 REACH, BONUS, THRESHOLD = 40, 0.2, 0.5
 
 
@@ -76,6 +90,44 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
         m = IBAN.search(text, end or start + 1)
 
 
+def entropy(value: str) -> float:
+    """Bits a character, from the value's own characters."""
+    return -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
+
+
+def header(part: str) -> bool:
+    """Whether the first part of a signed token is base64 of a JSON object that names its algorithm."""
+    try:
+        return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except ValueError:
+        return False
+
+
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    found = [m.span() for m in KEY.finditer(text)]
+    if "eyJ" in text:
+        found += [m.span() for m in SIGNED.finditer(text) if header(m[1])]
+    low = text.lower()
+    if any(n in low for n in NAMES):
+        found += [m.span(1) for m in ASSIGNED.finditer(text) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]) and entropy(m[1]) >= ENTROPY]
+    at, open_ = 0, set()
+    for m in BEGIN.finditer(text):
+        end = f"-----END {m[1]}PRIVATE KEY-----"
+        if m.start() < at or end in open_:
+            continue
+        stop = text.find(end, m.end())
+        if stop >= 0:
+            at = stop + len(end)
+            found.append((m.start(), at))
+        else:
+            open_.add(end)  # none follows any later start either
+    at = 0
+    for start, end in sorted(found):
+        if start >= at:
+            yield start, end
+            at = end
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Each @ with a domain, and the run of local characters before it as far as the last match or @: what the pattern finds, without its retries."""
     low = 0
@@ -115,6 +167,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     if runs:
         found += [("iban", a, b) for a, b in ibans(text)]
         found += [("national", *m.span()) for m in NATIONAL.finditer(text)]
+    found += [("secret", a, b) for a, b in secrets(text)]
     scored = [(*s, confidence(s[0], text, s[1], s[2])) for s in found]
     return [s for s in scored if s[0] in BASE or s[3] >= THRESHOLD]
 
@@ -164,4 +217,4 @@ def report(docs: DataFrame) -> DataFrame:
     s = F.col("spans")
     base = F.filter(s, lambda x: x["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return scan(docs).select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(s).alias("spans"))
+    return scan(docs).select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(s).alias("spans"), count("secret"), F.size(s).cast("long").alias("n_spans"))

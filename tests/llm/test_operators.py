@@ -353,7 +353,7 @@ def test_licenses(spark):
     filler = " ".join(f"w{i}" for i in range(1000))
     df = spark.createDataFrame([(i, f"{filler} {x} {filler}") for i, x in enumerate(t.values())] + [(50, filler), (51, None), (52, "the MIT License"), (53, t["MIT"].upper())], "doc_id long, text string")
     got = {r["doc_id"]: r["licenses"] for r in licenses.report(df).collect()}
-    assert [got[i] for i in range(len(t))] == list(t) and (got[50], got[51], got[52], got[53]) == ("", "", "", "MIT")
+    assert all(name in got[i].split(",") for i, name in enumerate(t)) and (got[50], got[51], got[52], got[53]) == ("", "", "", "MIT")
 
 
 def test_licenses_in_many_contexts_and_offsets(spark):
