@@ -90,7 +90,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     """doc_id, ``matches``: array of (license, start, end, containment in percent), for each notice, its best window, the first in a tie; notices of one license do not overlap. Places are words of the text."""
     by_width = prepared(TEMPLATES if templates is None else templates, percent)
     every = [t for own in by_width.values() for t in own]
-    rivals = {n: [m for m, y, _ in every if m != n and 2 * np.isin(x, y).sum() >= min(len(x), len(y))] for n, x, _ in every}
+    rivals = {n: [m for m, y, _ in every if m != n and 2 * np.isin(x, y).sum() >= max(len(x), len(y))] for n, x, _ in every}
 
     def find(g: np.ndarray, w: np.ndarray) -> list[list[dict]]:
         found: list[dict[str, list]] = [{} for _ in range(len(w) - 1)]

@@ -147,6 +147,14 @@ def ordered(t: pa.Table) -> pa.Table:
     return t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
 
 
+def tell(start: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(np.sort(start), prepend=0).astype(np.uint32).tobytes(), 1)
+
+
+def told(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32), dtype=np.int64)
+
+
 def remove(docs: DataFrame, texts: bool = False, width: int = PART, per_cell: int = PER_CELL, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with ``texts`` also the kept text."""
     spark = docs.sparkSession
@@ -198,7 +206,7 @@ def remove(docs: DataFrame, texts: bool = False, width: int = PART, per_cell: in
                 starts.append(start + base)
             base += count
         none = np.zeros(0, np.int64)
-        h, k, start, sure = none, none, none, np.zeros(0, bool)
+        h, k, start, sure = none, none, none, []
         if hashes:
             h, k, start = np.concatenate(hashes).view(np.int64), np.concatenate(seconds).view(np.int64), np.concatenate(starts)
             order = np.lexsort((start, k, h))
@@ -208,16 +216,45 @@ def remove(docs: DataFrame, texts: bool = False, width: int = PART, per_cell: in
             head = np.flatnonzero(new)
             again = np.diff(np.append(head, len(h))) > 1
             mine = start[np.repeat(again, np.diff(np.append(head, len(h))))]
-            # of each hash one goes on: its place, or none where it is told already; what is sure gets a key of its own
-            h, k, start = np.concatenate([h[head], mine]), np.concatenate([k[head], np.full(len(mine), -1 - group)]), np.concatenate([np.where(again, -1, start[head]), mine])
-            sure = np.arange(len(h)) >= len(head)
-            h[sure] = mine
-        return pa.Table.from_arrays([pa.array(h), pa.array(k), pa.array(np.full(len(h), group), pa.int32()), pa.array(start), pa.array(sure)], ["h", "k", "group", "start", "sure"])
+            # of each hash one goes on: its place, or none where it is told already; what is sure stands together in one row
+            h, k, start = h[head], k[head], np.where(again, -1, start[head])
+            if len(mine):
+                h, k, start, sure = np.append(h, base), np.append(k, -1 - group), np.append(start, -1), [tell(mine)]
+        return pa.Table.from_arrays([pa.array(h), pa.array(k), pa.array(np.full(len(h), group), pa.int32()), pa.array(start), pa.array([None] * (len(h) - len(sure)) + sure, pa.binary())], ["h", "k", "group", "start", "sure"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places by group, packed."""
+        groups, starts, held = [], [], 0
+
+        def flush():
+            group, start = np.concatenate(groups), np.concatenate(starts)
+            order = np.lexsort((start, group))
+            group, start = group[order], start[order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            packed = [tell(x) for x in np.split(start, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(group[first], pa.int32()), pa.array(packed, pa.binary())], ["group", "starts"])
+
+        for b in batches:
+            sure = b.column("sure").is_valid()
+            told_already = b.filter(sure)
+            if told_already.num_rows:
+                yield pa.RecordBatch.from_arrays([told_already.column("group"), told_already.column("sure")], ["group", "starts"])
+            some = b.filter(pc.invert(sure))
+            if some.num_rows:
+                groups.append(some.column("group").to_numpy())
+                starts.append(some.column("start").to_numpy())
+                held += some.num_rows
+            if held > TOGETHER:
+                yield flush()
+                groups, starts, held = [], [], 0
+        if held:
+            yield flush()
 
     def cut(key: tuple, t: pa.Table, marks: pa.Table) -> pa.Table:
         """The group's texts without the words that its repeated windows cover."""
         t, base, out = ordered(t), 0, []
-        start = np.sort(marks.column("start").to_numpy())
+        start = [told(x) for x in marks.column("starts").to_pylist()]
+        start = np.sort(np.concatenate(start)) if start else np.zeros(0, np.int64)
         ids = t.column("doc_id").to_pylist()
         for first, _, raw, at in runs(t.column("text")):
             s, e, w = word_spans(raw, at)
@@ -241,9 +278,9 @@ def remove(docs: DataFrame, texts: bool = False, width: int = PART, per_cell: in
     asked = rows.groupBy("group").applyInArrow(ask, "part int, group int, packed binary")
     known = asked.unionByName(sketch.select("part", F.lit(None).cast("int").alias("group"), F.col("bits").alias("packed")))
     known = known.repartitionById(max(min(parts, n), 1), F.col("part")).sortWithinPartitions("part", "group").select("group", "packed").mapInArrow(answer, "group int, packed binary")
-    windows = rows.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(likely, "h long, k long, group int, start long, sure boolean")
+    windows = rows.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(likely, "h long, k long, group int, start long, sure binary")
     times = F.count(F.lit(1)).over(Window.partitionBy("h", "k"))
-    marks = windows.withColumn("times", times).where("start >= 0 and (sure or times > 1)").select("group", "start")
+    marks = windows.withColumn("times", times).where("sure is not null or start >= 0 and times > 1").select("group", "start", "sure").mapInArrow(together, "group int, starts binary")
     out = rows.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
     return out if texts else out.drop("text")
 

@@ -189,7 +189,7 @@ def test_licenses_against_exact_containment(spark):
     token = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^ \x09-\x0D!-/:-@\[-`{-~]+", t or "")]
     grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     known = {n: (grams(token(t)), 2 << max(3, (len(token(t)) - 1).bit_length())) for n, t in templates.items()}
-    rivals = {n: {m for m in known if m != n and 2 * len(known[n][0] & known[m][0]) >= min(len(known[n][0]), len(known[m][0]))} for n in known}
+    rivals = {n: {m for m in known if m != n and 2 * len(known[n][0] & known[m][0]) >= max(len(known[n][0]), len(known[m][0]))} for n in known}
     want = Counter()
     for i, t, _ in rows:
         w, found = token(t), []
