@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z0-9._-]+|[가-힣]+"
 #: Fixed value: characters that count as readable.
-READABLE = r"A-Za-z0-9가-힯ᄀ-ᇿ㄰-㆏.,!?;:'\"()\[\]{}\-_/\\@#$%&*+=<>~`|"
+READABLE = r"A-Za-z0-9\uAC00-\uD7AF\u1100-\u11FF\u3130-\u318F.,:;!?()\[\]{}%/\-_=+\'\"@#&*"
 MIN_CHARS, HYBRID_CHARS, GARBLED = 80, 150, 0.35
 #: Confidence by extraction method, and for any other.
 METHOD_CONFIDENCE, OTHER_CONFIDENCE = {"marker_pdf": 0.95, "text": 0.92, "vlm": 0.78, "ocr": 0.72, "ocr_image": 0.72}, 0.70
@@ -19,24 +19,29 @@ def tokens(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def real_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"\s+", ""))
 
 
-def gibberish_ratio(text: Column) -> Column:
-    """Share of non-space characters that are not readable; 1 for blank text; three decimals."""
+def garble(text: Column) -> Column:
+    """Share of non-space characters that are not readable; 1 for blank text."""
     bare = F.regexp_replace(text, r"\s+", "")
-    readable = F.length(F.regexp_replace(bare, f"[^{READABLE}]", ""))
-    return F.when(F.length(bare) == 0, F.lit(1.0)).otherwise(F.round(F.greatest(F.lit(0.0), 1 - readable / F.length(bare)), 3))
+    readable = F.length(F.regexp_replace(bare, f"[^{READABLE}]+", ""))
+    return F.when(F.length(bare) == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - readable / F.length(bare)))
+
+
+def gibberish_ratio(text: Column) -> Column:
+    """``garble`` to three decimals."""
+    return F.round(garble(text), 3)
 
 
 def language(text: Column) -> Column:
     """``ko`` where over 30 % of letters are Hangul; else ``unknown`` (a provider may refine it)."""
-    hangul = F.length(F.regexp_replace(text, r"[^가-힣ᄀ-ᇿ㄰-㆏]", ""))
-    letters = F.length(F.regexp_replace(text, r"[^A-Za-z가-힣]", ""))
+    hangul = F.length(F.regexp_replace(text, r"[^가-힣ᄀ-ᇿ㄰-㆏]+", ""))
+    letters = F.length(F.regexp_replace(text, r"[^A-Za-z가-힣]+", ""))
     return F.when((F.length(strip(text)) >= 10) & (letters > 0) & (hangul / letters > 0.3), "ko").otherwise("unknown")
 
 
@@ -82,3 +87,13 @@ def context_header(source: Column, section: Column, page: Column, lang: Column)
 
 def without_header(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?s)\A\[Document:.*?\]\n", ""))
+
+
+def without_images(text: Column) -> Column:
+    """Markdown without image references and with one blank line in a row at most."""
+    return strip(F.regexp_replace(F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", ""), "\n{3,}", "\n\n"))
+
+
+def box(values: Column) -> Column:
+    """Comma list of a bounding box, one decimal each; empty if there is none."""
+    return F.coalesce(F.array_join(F.transform(values, lambda v: F.format_string("%.1f", v)), ","), F.lit(""))

@@ -1,59 +1,68 @@
 """Chunks of pages: sections by heading, tables apart, paragraphs grouped, long pieces split at the best separator.
 
-``chunk`` makes one pass over the pages inside tasks; only the running number of a document's chunks needs a
-shuffle, of chunks by document. Python, as Java's pattern engine recurses once a table row and fails on long tables.
+Headings, tables and paragraphs are Column code: matches are set off by marks (control characters, which texts lose first) and the text is split
+at these. Only pieces over ``SIZE`` go to a small splitter in Python.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import context_header, strip
+
 SIZE, OVERLAP, TABLE_CHARS = 1200, 150, 50
 #: Fixed values.
-HEADING = re.compile(r"^(#{1,4})\s+(.+)$", re.M)
-TABLE = re.compile(r"(?:^[|].*[|]\s*\n?){2,}", re.M)
+HEADING = r"(?md)^(#{1,4})\s+(.+)$"
+TABLE_ROW = r"(?md)^[|].*[|]\s*\n?"
 SEPARATORS = ["\n\n", "\n", "다. ", "요. ", "다.\n", "요.\n", ". ", "? ", "! ", " ", ""]
+LEVELS = 4
+MARKS = "\x01\x02\x03\x04\x05\x06"
+
+
+def sections(text: Column) -> Column:
+    """Array of (title, breadcrumb, body); text before the first heading has neither title nor breadcrumb, and a page without headings is one such section."""
+    parts = F.split(F.regexp_replace(text, HEADING, "\x01$1\x02$2\x03"), "\x01")
+    headed = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.length(F.substring_index(p, "\x02", 1)).alias("level"), strip(F.substring_index(F.substring_index(p, "\x03", 1), "\x02", -1)).alias("title"), F.regexp_extract(p, "(?s)\x03(.*)", 1).alias("body")))
+    slots = [F.lit(None).cast("string").alias(f"h{i}") for i in range(1, LEVELS + 1)]
+    row = "array<struct<title:string,breadcrumb:string,body:string>>"
 
+    def step(acc: Column, p: Column) -> Column:
+        # a heading voids those of its own and deeper levels
+        now = [F.when(p["level"] == i, p["title"]).when(p["level"] > i, acc[f"h{i}"]).alias(f"h{i}") for i in range(1, LEVELS + 1)]
+        one = F.struct(p["title"].alias("title"), F.concat_ws(" > ", *now).alias("breadcrumb"), p["body"].alias("body"))
+        return F.struct(*now, F.concat(acc["out"], F.array(one)).alias("out"))
 
-def sections(text: str) -> Iterator[tuple[str, str, str]]:
-    """(title, breadcrumb, body); text before the first heading has neither title nor breadcrumb."""
-    open_: list[tuple[int, str]] = []
-    title, crumb, at = "", "", 0
-    for m in HEADING.finditer(text):
-        yield title, crumb, text[at : m.start()]
-        level, title, at = len(m[1]), m[2].strip(), m.end()
-        while open_ and open_[-1][0] >= level:
-            open_.pop()
-        open_.append((level, title))
-        crumb = " > ".join(t for _, t in open_)
-    yield title, crumb, text[at:]
+    first = F.array(F.struct(F.lit("").alias("title"), F.lit("").alias("breadcrumb"), F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("body"))).cast(row)
+    return F.aggregate(headed, F.struct(*slots, first.alias("out")), step, lambda acc: acc["out"])
 
 
-def tables(text: str) -> tuple[list[str], str]:
-    """The tables of over 50 characters, and the text without any table if there is one such, else the whole."""
-    found = [t for m in TABLE.finditer(text) if len(t := m[0].strip()) > TABLE_CHARS]
-    return found, TABLE.sub("", text) if found else text
+def tables(text: Column) -> Column:
+    """Struct of ``found``, the tables (two rows or more) of over 50 characters, and ``left``, the text with a blank line for each table if any is that long, else the whole."""
+    runs = F.replace(F.regexp_replace(text, TABLE_ROW, "\x04$0\x05"), F.lit("\x05\x04"), F.lit("\x06"))
+    parts = F.split(runs, "[\x04\x05]")  # runs of rows have odd places
+    table = lambda p, i: (i % 2 == 1) & F.contains(p, F.lit("\x06"))
+    bare = lambda p: F.replace(p, F.lit("\x06"), F.lit(""))
+    found = F.filter(F.transform(F.filter(parts, table), lambda p: strip(bare(p))), lambda p: F.length(p) > TABLE_CHARS)
+    rest = strip(F.array_join(F.transform(parts, lambda p, i: F.when(table(p, i), F.lit("\n\n")).otherwise(p)), ""))
+    return F.struct(found.alias("found"), F.when(F.size(found) > 0, rest).otherwise(text).alias("left"))
 
 
-def grouped(text: str, size: int = SIZE) -> list[str]:
+def grouped(text: Column, size: int = SIZE) -> Column:
     """Paragraphs joined while their lengths together stay within size."""
-    out: list[list[str]] = []
-    total = 0
-    for p in (p.strip() for p in re.split(r"\n\s*\n", text)):
-        if not p:
-            continue
-        if out and total + len(p) <= size:
-            out[-1].append(p)
-            total += len(p)
-        else:
-            out.append([p])
-            total = len(p)
-    return ["\n\n".join(g) for g in out]
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: p != "")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
+
+    def step(acc: Column, p: Column) -> Column:
+        full = acc["now"].isNotNull() & (acc["n"] + F.length(p) > size)
+        out = F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"])
+        now = F.when(full | acc["now"].isNull(), p).otherwise(F.concat(acc["now"], F.lit("\n\n"), p))
+        return F.struct(out.alias("out"), now.alias("now"), F.when(full, F.length(p)).otherwise(acc["n"] + F.length(p)).alias("n"))
+
+    return F.aggregate(paragraphs, start, step, lambda acc: F.concat(acc["out"], F.filter(F.array(acc["now"]), lambda x: x.isNotNull())))
 
 
 def merged(pieces: list[str], size: int, overlap: int) -> list[str]:
@@ -88,40 +97,50 @@ def split(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: list[
     return out + (merged(short, size, overlap) if short else [])
 
 
-def pieces(text: str) -> Iterator[tuple[str, str, str, str]]:
-    """(section, breadcrumb, chunk_type, text) of one page; a section without text gives none."""
-    headed = HEADING.search(text) is not None
-    for title, crumb, body in sections(text):
-        if not body.strip():
-            continue
-        found, left = tables(body)
-        yield from ((title, crumb, "table", t) for t in found)
-        left = left.strip()
-        if not left:
-            continue
-        if len(left) <= SIZE:
-            yield title, crumb, "section" if headed else "page", left
-            continue
-        for g in grouped(left):
-            yield from ((title, crumb, "paragraph", s) for s in (split(g) if len(g) > SIZE else [g]))
-
-
-CHUNK = "doc_id long, page long, place long, section string, breadcrumb string, chunk_type string, text string"
+def pieces(pages: DataFrame, text: str = "text") -> DataFrame:
+    """The pages with ``section``, ``breadcrumb``, ``chunk_type``, ``piece`` and its ``place``, before long pieces are split; a section without text gives none."""
+    x = pages.withColumn("__t", F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), MARKS, ""))
+    x = x.withColumn("__headed", F.col("__t").rlike(HEADING)).select("*", F.posexplode(F.when(F.col("__headed"), F.transform(sections(F.col("__t")), lambda s: F.struct(s["title"].alias("title"), s["breadcrumb"].alias("breadcrumb"), strip(s["body"]).alias("body")))).otherwise(sections(F.col("__t")))).alias("__s", "__section"))
+    x = x.where(strip(F.col("__section.body")) != "").withColumn("__tables", tables(F.col("__section.body")))
+    left = F.col("__tables.left")
+    typed = lambda texts, kind: F.transform(texts, lambda t: F.struct(kind.alias("chunk_type"), t.alias("piece")))
+    whole = F.when(F.col("__headed"), "section").otherwise("page")
+    rest = F.when(strip(left) == "", F.array().cast("array<struct<chunk_type:string,piece:string>>")).when(F.length(left) <= SIZE, typed(F.array(left), whole)).otherwise(typed(grouped(left), F.lit("paragraph")))
+    x = x.select("*", F.posexplode(F.concat(typed(F.col("__tables.found"), F.lit("table")), rest)).alias("__k", "__piece"))
+    return x.select(*pages.columns, F.col("__section.title").alias("section"), F.col("__section.breadcrumb").alias("breadcrumb"), "__piece.chunk_type", "__piece.piece", F.struct("__s", "__k").alias("place"))
 
 
 def chunk(pages: DataFrame, page: str | None = None) -> DataFrame:
-    """doc_id, page, chunk_index (from 0, running on over a document's pages), section, breadcrumb, chunk_type, text. Null text is empty and gives no chunks; without a page column each row is page 1."""
+    """doc_id, page, chunk_index (from 0, running on over a document's pages), chunk_id, chunk_chars, section, breadcrumb, chunk_type, text. Null text is empty and gives no chunks; without a page column each row is page 1. Ids follow from document, page and number, so that reruns agree."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = [(d, p, k, *c) for d, p, t in zip(*(x.to_pylist() for x in b.slice(at, 256).columns), strict=True) for k, c in enumerate(pieces(t))]
-                if rows:
-                    kinds = [pa.int64()] * 3 + [pa.string()] * 4
-                    names = ["doc_id", "page", "place", "section", "breadcrumb", "chunk_type", "text"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    @F.pandas_udf("array<string>")
+    def shorter(long: pd.Series) -> pd.Series:
+        return long.map(lambda t: None if t is None else split(t))
 
     number = pages[page].cast("long") if page else F.lit(1).cast("long")
-    x = pages.select(pages["doc_id"].cast("long").alias("doc_id"), number.alias("page"), F.coalesce(pages["text"].cast("string"), F.lit("")).alias("text")).mapInArrow(work, CHUNK)
-    w = Window.partitionBy("doc_id").orderBy("page", "place", "text")
-    return x.withColumn("chunk_index", F.row_number().over(w) - 1).drop("place")
+    x = pieces(pages.select(pages["doc_id"].cast("long").alias("doc_id"), number.alias("page"), pages["text"].alias("text")))
+    long = F.when(F.length("piece") > SIZE, F.col("piece"))
+    x = x.select("doc_id", "page", "section", "breadcrumb", "chunk_type", "place", F.posexplode(F.coalesce(shorter(long), F.array("piece"))).alias("__part", "text"))
+    w = Window.partitionBy("doc_id").orderBy("page", "place", "__part", "text")
+    x = x.withColumn("chunk_index", F.row_number().over(w) - 1)
+    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("page").cast("string"), F.lit("-")), "chunk_index"), 256)
+    return x.select("doc_id", "page", "chunk_index", F.substring(key, 1, 32).alias("chunk_id"), F.length("text").alias("chunk_chars"), "section", "breadcrumb", "chunk_type", "text")
+
+
+def enriched(chunks: DataFrame) -> DataFrame:
+    """Chunks (source, page, lang, section, breadcrumb, text) with ``context_header``, that header in front of the text, and the breadcrumb, if there is one, as section."""
+    titled = F.coalesce(F.when(F.col("breadcrumb") != "", F.col("breadcrumb")), F.col("section"))
+    x = chunks.withColumn("section", titled).withColumn("context_header", context_header(F.col("source"), F.col("section"), F.col("page"), F.col("lang")))
+    return x.withColumn("text", F.concat("context_header", F.lit("\n"), F.coalesce("text", F.lit(""))))
+
+
+def average_header(chunks: DataFrame) -> DataFrame:
+    """One row: the mean length of the headers, rounded down; 0 without chunks."""
+    return chunks.agg(F.expr("coalesce(sum(length(context_header)), 0) div greatest(count(*), 1)").alias("average_header"))
+
+
+def chunk_key(chunk_id: Column, doc_id: Column, source: Column, page: Column, index: Column) -> Column:
+    """A chunk's id, or document (else source), page and number."""
+    some = lambda c: F.when(c.cast("string") != "", c.cast("string"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    return F.coalesce(some(chunk_id), F.concat_ws("::", F.coalesce(some(doc_id), text(source)), text(page), text(index)))

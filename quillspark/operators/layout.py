@@ -45,7 +45,7 @@ def heading_guesses(text: Column) -> Column:
 
 
 def analyse(pages: DataFrame) -> DataFrame:
-    """Adds n_images, headings, kind and text to (doc_id, page, blocks)."""
+    """Adds n_images, n_texts, n_tables, headings, heading_box (of the first), block_types (sorted, comma-joined), font_average, font_top, kind and text to (doc_id, page, blocks). Blocks are in reading order."""
     spans = lambda b: F.flatten(F.transform(F.coalesce(b["lines"], F.array()), lambda x: x["spans"]))
     sizes = lambda s: F.transform(s, lambda x: x["size"])
     blocks = F.coalesce("blocks", F.array())
@@ -54,6 +54,7 @@ def analyse(pages: DataFrame) -> DataFrame:
         squeezed(F.array_join(F.transform(b["lines"], lambda line: F.array_join(F.transform(line["spans"], lambda s: s["text"]), "")), "\n")).alias("text"),
         F.size(b["lines"]).alias("lines"),
         F.coalesce(F.array_max(sizes(spans(b))), F.lit(0.0)).alias("top"),
+        T.box(b["bbox"]).alias("box"),
         sizes(spans(b)).alias("sizes"))), lambda b: b["text"] != ""))
     all_ = F.flatten(F.transform("__text", lambda b: b["sizes"]))
     x = x.withColumn("__top", F.coalesce(F.array_max(all_), F.lit(0.0))).withColumn("__avg", F.coalesce(F.aggregate(all_, F.lit(0.0), lambda a, s: a + s) / F.nullif(F.size(all_), F.lit(0)), F.lit(0.0)))
@@ -66,6 +67,9 @@ def analyse(pages: DataFrame) -> DataFrame:
     chars = T.real_chars(F.array_join(F.transform("__text", lambda b: b["text"]), ""))
     kind = F.when((chars == 0) & (F.col("n_images") > 0), "scanned").when((F.col("n_images") > 0) & (chars < T.HYBRID_CHARS), "hybrid").otherwise("digital")
     headings = F.transform(F.filter(F.arrays_zip("__text", "__is"), lambda z: z["__is"]), lambda z: z["__text"]["text"])
+    types = F.transform(F.arrays_zip("__text", "__is"), lambda z: block_type(z["__text"]["text"], z["__is"]))
+    x = x.withColumn("n_texts", n).withColumn("n_tables", F.size(F.filter(types, lambda t: t == "table"))).withColumn("block_types", F.array_join(F.array_sort(F.array_distinct(types)), ","))
+    x = x.withColumn("heading_box", F.coalesce(F.get(F.transform(F.filter(F.arrays_zip("__text", "__is"), lambda z: z["__is"]), lambda z: z["__text"]["box"]), F.lit(0)), F.lit(""))).withColumn("font_average", F.round("__avg", 2)).withColumn("font_top", F.round("__top", 2))
     return x.withColumn("headings", headings).withColumn("kind", kind).withColumn("text", F.array_join(marked, "\n\n")).drop("__text", "__top", "__avg", "__is")
 
 
@@ -73,9 +77,57 @@ def choose(candidates: DataFrame) -> DataFrame:
     """One row per (doc_id, page) of (doc_id, page, method, text, hint): the best score, but readable text of a digital page wins if within 18 points of it. Ties go to text, then vision, then OCR."""
     t = F.coalesce("text", F.lit(""))
     chars, rough = T.real_chars(t), T.gibberish_ratio(t)
-    x = candidates.withColumn("__rough", rough).withColumn("score", T.candidate_score(F.col("method"), F.col("hint"), chars, rough, T.extraction_confidence(F.col("method"), chars, rough)))
+    raw = T.garble(t)
+    x = candidates.withColumn("__rough", rough).withColumn("score", T.candidate_score(F.col("method"), F.col("hint"), chars, raw, T.extraction_confidence(F.col("method"), chars, raw)))
     page = Window.partitionBy("doc_id", "page")
     close = (F.col("method") == "text") & (F.col("hint") == "digital") & (F.col("__rough") <= T.GARBLED) & (F.col("score") >= F.max("score").over(page) - TEXT_MARGIN)
     order = F.when(F.col("method") == "text", 0).when(F.col("method") == "vlm", 1).otherwise(2)
     x = x.withColumn("__close", close).withColumn("__r", F.row_number().over(page.orderBy(F.desc("__close"), F.desc("score"), order, "text")))
     return x.where("__r = 1").drop("__r", "__close", "__rough")
+
+
+#: Names of extractors by method.
+EXTRACTORS = {"text": "pymupdf", "vlm": "qwen2.5vl", "ocr": "tesseract", "ocr_image": "tesseract", "marker_pdf": "marker"}
+LEAST_CHARS, STRUCTURED_RATIO = 10, 1.75
+
+
+def judged(pages: DataFrame) -> DataFrame:
+    """Pages (method, text) with language (of the first 300 characters), chars, gibberish, flags and confidence."""
+    t = T.strip(F.coalesce("text", F.lit("")))
+    x = pages.withColumn("text", t).withColumn("language", T.language(F.substring("text", 1, 300))).withColumn("chars", T.real_chars(F.col("text"))).withColumn("gibberish", T.gibberish_ratio(F.col("text")))
+    return x.withColumn("flags", T.quality_flags(F.col("chars"), F.col("gibberish"), F.col("language"))).withColumn("confidence", T.extraction_confidence(F.col("method"), F.col("chars"), F.col("gibberish")))
+
+
+def candidates(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, method, text, hint, kind, reason, chain, heading) of pages (doc_id, page, text, kind, headings, vlm_text, ocr_text): the text layer, and where it is too little or garbled what vision and OCR have read, if ten characters or more."""
+    t = F.coalesce("text", F.lit(""))
+    x = pages.withColumn("__chars", T.real_chars(t)).withColumn("__rough", T.gibberish_ratio(t))
+    x = x.withColumn("__more", T.needs_fallback(F.col("kind"), F.col("__chars"), F.col("__rough"))).withColumn("__why", T.routing_reason(F.col("kind"), F.col("__chars"), F.col("__rough")))
+    read = lambda c: F.when(F.col("__more") & (F.length(T.strip(F.coalesce(F.col(c), F.lit("")))) >= LEAST_CHARS), F.col(c))
+    kind = F.when(F.col("kind") == "digital", F.when(F.col("__chars") > 0, "hybrid").otherwise("scanned")).otherwise(F.col("kind"))
+    seen = F.concat_ws(">", F.lit(EXTRACTORS["text"]), F.when(read("vlm_text").isNotNull(), EXTRACTORS["vlm"]))
+    one = lambda method, text, kind, reason, chain: F.struct(F.lit(method).alias("method"), squeezed(text).alias("text"), kind.alias("kind"), reason.alias("reason"), chain.alias("chain"))
+    every = F.array(
+        one("text", t, F.col("kind"), F.lit("fast_text_layer"), F.lit(EXTRACTORS["text"])),
+        one("vlm", read("vlm_text"), kind, F.col("__why"), seen),
+        one("ocr", read("ocr_text"), kind, F.col("__why"), F.concat_ws(">", seen, F.lit(EXTRACTORS["ocr"]))))
+    x = x.select("doc_id", "page", F.col("kind").alias("hint"), F.coalesce("headings", F.array().cast("array<string>")).alias("__headings"), F.explode(F.filter(every, lambda c: c["text"] != "")).alias("c"))
+    guessed = F.when(F.col("c.method") != "text", F.get(heading_guesses(F.col("c.text")), F.lit(0)))
+    return x.select("doc_id", "page", "hint", "c.*", F.coalesce(F.get("__headings", F.lit(0)), guessed, F.lit("")).alias("heading"))
+
+
+def route(pages: DataFrame) -> DataFrame:
+    """One row per page that any extractor has read: the best candidate, with its provenance and quality. A page without any gives none."""
+    best = choose(candidates(pages)).withColumn("extractor", F.coalesce(*[F.when(F.col("method") == m, n) for m, n in EXTRACTORS.items()], F.col("method")))
+    return judged(best).drop("score", "hint")
+
+
+def with_document_fallback(routed: DataFrame, files: DataFrame) -> DataFrame:
+    """Pages (of ``route``) of files (doc_id, page_total, converted); a file's converted text stands for all its pages if it has more than 1.75 times their characters and a third of them (one at least) are garbled, or if no page was read."""
+    per = routed.groupBy("doc_id").agg(F.sum(F.length("text")).alias("__chars"), F.count_if(F.contains("flags", F.lit("garbled_text"))).alias("__bad"))
+    text = T.without_images(F.coalesce("converted", F.lit("")))
+    x = files.join(per, "doc_id", "left").withColumn("__text", text).withColumn("__real", T.real_chars(F.col("__text")))
+    better = (F.col("__real") > STRUCTURED_RATIO * F.col("__chars")) & (F.col("__bad") >= F.greatest(F.lit(1), F.floor(F.col("page_total") / 3)))
+    x = x.where((F.coalesce("converted", F.lit("")) != "") & F.coalesce(better, F.lit(True))).select("doc_id", "__text", F.when(F.col("__chars").isNull(), "marker_only_result").otherwise("marker_structure_fallback").alias("reason"))
+    marker = x.select("doc_id", F.lit(1).alias("page"), F.lit("marker_pdf").alias("method"), F.col("__text").alias("text"), F.lit("digital").alias("kind"), "reason", F.lit(EXTRACTORS["marker_pdf"]).alias("chain"), F.lit("").alias("heading"), F.lit(EXTRACTORS["marker_pdf"]).alias("extractor"))
+    return routed.join(x.select("doc_id"), "doc_id", "left_anti").unionByName(judged(marker), allowMissingColumns=True)

@@ -1,23 +1,30 @@
 """Batch retrieval: BM25, vector relevance, rank fusion and confidence, for a table of queries at once.
 
 Index tables (postings, terms, statistics) derive from a table of chunks ``(chunk_key, text)``; queries are
-``(query_id, text)``. Nothing is collected; joins run on the term or the chunk key and Catalyst picks their
-kind from sizes it knows.
+``(query_id, text)``, both with scope columns if wanted. Nothing is collected; what is broadcast is counted first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens
+from quillspark.operators.sizes import fits, small
 
+SCOPE = ("source", "doc_id", "source_type")
+MIN_SCORE = 0.30
 K1, B, RRF, TOP_K = 1.5, 0.75, 60, 4
 STRONG_FLOOR, BOTH_BONUS = 0.75, 0.15
 
 
-def tokenized(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_key", tokens(F.col("text")).alias("tokens"))
+def tokenized(chunks: DataFrame, along: list[str] = ()) -> DataFrame:
+    return chunks.select("chunk_key", *along, tokens(F.col("text")).alias("tokens"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -35,68 +42,145 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return tokenized(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens").cast("double")).alias("avgdl"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times): a word asked twice counts twice."""
-    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+def scope_columns(queries: DataFrame, chunks: DataFrame) -> list[str]:
+    return [c for c in SCOPE if c in queries.columns and c in chunks.columns]
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_key, score) of every chunk that shares a term; statistics stay those of the whole corpus when ``scope`` (query_id, chunk_key) narrows the chunks."""
-    asked = query_terms(queries)
-    posted = postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
-    x = posted.join(document_frequency(posted), "term").join(asked, "term").crossJoin(F.broadcast(corpus_stats(chunks)))  # one row
-    if scope is not None:
-        x = x.join(scope, ["query_id", "chunk_key"], "left_semi")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return x.groupBy("query_id", "chunk_key").agg(F.round(F.sum(part), 6).alias("score"))
+def in_scope(wanted: dict[str, Column], have: dict[str, Column]) -> Column:
+    """All of the scope's fields that are set (neither null nor empty) agree with the chunk's."""
+    parts = [some(w).isNull() | F.coalesce(w.cast("string") == have[c].cast("string"), F.lit(False)) for c, w in wanted.items()]
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def top_k(scored: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The k best per query with their rank; ties go to the smaller key."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_key")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def some(value: Column) -> Column:
+    v = value.cast("string")
+    return F.when(v != "", v)
+
 
+def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_key, score) of every chunk that shares a term and is in the query's scope (columns named in ``SCOPE`` that both tables have); statistics stay those of the whole corpus.
 
-def relevance(cosine: Column, mapping: str = "l2") -> Column:
-    """Relevance of unit vectors: 1 - d / sqrt(2) for squared distance d, or the cosine itself."""
-    return 1 - (2 - 2 * cosine) / F.sqrt(F.lit(2.0)) if mapping == "l2" else cosine
+    The terms asked are the small side: each task keeps of a chunk's tokens those that are asked, and one mark that carries its length. A
+    single shuffle brings a chunk's together; counts, document frequencies, corpus statistics and scores
+    follow from it, and a chunk's scores need no other. A stop word in a query gives every chunk that holds it a score, but no
+    shuffle by term ever happens.
+    """
+    scope = scope_columns(queries, chunks)
+    asked = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in scope], F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", *[f"q_{c}" for c in scope], "term").agg(F.count(F.lit(1)).alias("times"))
+    light = fits(asked)
+    hint = F.broadcast if light else lambda df: df
+    mark = F.lit("")  # no token is empty
+    wanted = asked.select("term").union(queries.sparkSession.range(1).select(mark.alias("term"))).distinct()
+    rows = tokenized(chunks, scope).select("chunk_key", *scope, F.size("tokens").cast("long").alias("dl"), F.explode(F.concat(F.array(mark), F.col("tokens"))).alias("term"))
+    own = ["chunk_key", "dl", *scope]
+    held = rows.join(hint(wanted), "term", "left_semi").groupBy(*own).agg(F.collect_list("term").alias("terms"))
+    tf = held.select(*own, F.explode("terms").alias("term")).groupBy(*own, "term").agg(F.count(F.lit(1)).alias("tf"))
+    per = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dls"))
+    marked = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    stats = per.agg(marked("df").alias("n"), (marked("dls") / marked("df")).alias("avgdl"))  # one row
+    weights = asked.join(per, "term").crossJoin(F.broadcast(stats)).withColumn("weight", F.col("times") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    x = tf.join(hint(weights.drop("df", "dls", "n", "times")), "term").where(in_scope({c: F.col(f"q_{c}") for c in scope}, {c: F.col(c) for c in scope}))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return x.groupBy("query_id", *own).agg(F.round(F.sum(part), 6).alias("score")).select("query_id", "chunk_key", "score")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def top_k(scored: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The k best per query with their rank; ties go to the smaller key."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_key")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_scores(vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
-    """(query_id, chunk_key, score) of each stated query vector against all vectors; the queries are the small side."""
-    return vectors.crossJoin(query_vectors).select("query_id", "chunk_key", F.round(relevance(dot(F.col("embedding"), F.col("query_embedding"))), 6).alias("score"))
+def blocks(rows: DataFrame, key: str, vector: str, scope: list[str], size: int) -> DataFrame:
+    """Rows packed by ``size``: keys, their vectors as one matrix of doubles, and hashes of the scope columns (0 where unset). Null vectors are left out."""
+    kind = rows.schema[key].dataType.simpleString()
+    hashes = [F.when(some(F.col(c)).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(c).cast("string"))).alias(f"h_{c}") for c in scope]
+    x = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), *hashes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                listed = [pa.array([c.to_pylist()], pa.list_(c.type)) for c in (part.column(0), *part.columns[2:])]
+                yield pa.RecordBatch.from_arrays([listed[0], pa.array([flat.tobytes()], pa.binary()), *listed[1:]], ["k", "m", *[f"h_{c}" for c in scope]])
+
+    return x.mapInArrow(pack, ", ".join([f"k array<{kind}>", "m binary", *[f"h_{c} array<long>" for c in scope]]))
+
+
+def vector_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int = TOP_K, mapping: str = "l2", size: int = 2048) -> DataFrame:
+    """The k best (query_id, chunk_key, score, rank) of each stated query vector against all vectors (chunk_key, embedding) in its scope.
+
+    Both sides are packed into blocks, and a pair of blocks is one matrix product that passes on k rows a query; blocks of queries are
+    broadcast if they are few. So work is queries x vectors, as an exact search has it, but what is sent is k rows a query and block.
+    """
+    scope = scope_columns(query_vectors, vectors)
+    v = blocks(vectors, "chunk_key", "embedding", scope, size)
+    q = small(blocks(query_vectors, "query_id", "query_embedding", scope, size), 64)
+    x = v.crossJoin(q.toDF(*[f"q_{c}" for c in q.columns]))
+    names = x.columns
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                at = dict(zip(names, (c[row] for c in b.columns), strict=True))
+                keys, asked = (at[c].values for c in ("k", "q_k"))
+                m, w = (np.frombuffer(at[c].as_py(), np.float64).reshape(n, -1) for c, n in (("m", len(keys)), ("q_m", len(asked))))
+                cosine = w @ m.T
+                s = np.round(1 - (2 - 2 * cosine) / np.sqrt(2.0) if mapping == "l2" else cosine, 6)
+                fits_in = np.ones(s.shape, bool)
+                for c in scope:
+                    have, want = at[f"h_{c}"].values.to_numpy(), at[f"q_h_{c}"].values.to_numpy()
+                    fits_in &= (want[:, None] == 0) | (want[:, None] == have[None, :])
+                order = np.array(keys.to_pylist())
+                place = np.argsort(np.argsort(order, kind="stable"), kind="stable")
+                took, left = [], []
+                for i in range(len(asked)):
+                    own = np.flatnonzero(fits_in[i])
+                    own = own[np.lexsort((place[own], -s[i, own]))[:k]]
+                    took.append(own)
+                    left.append(np.full(len(own), i))
+                took, left = np.concatenate(took), np.concatenate(left)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(left)), keys.take(pa.array(took)), pa.array(s[left, took])], ["query_id", "chunk_key", "score"])
+
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((query_vectors, "query_id"), (vectors, "chunk_key"))}
+    return top_k(x.mapInArrow(score, f"query_id {kinds['query_id']}, chunk_key {kinds['chunk_key']}, score double"), k)
+
+
+def lists(vector: DataFrame, keyword: DataFrame) -> DataFrame:
+    """Both ranked lists as one table, a row for each query and chunk, dealt by query, so that all that follows of a query needs no other shuffle."""
+    both = vector.select("query_id", "chunk_key", F.col("score").alias("v"), F.col("rank").alias("vr"), F.lit(None).cast("double").alias("k"), F.lit(None).cast("int").alias("kr"))
+    # the second list is dealt otherwise, as Spark 4.1 zips the partitions of a union of two parts dealt alike, even where they differ in number
+    both = both.unionByName(keyword.repartition("chunk_key").select("query_id", "chunk_key", F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("vr"), F.col("score").alias("k"), F.col("rank").alias("kr")))
+    return both.repartition("query_id").groupBy("query_id", "chunk_key").agg(*[F.max(c).alias(c) for c in ("v", "vr", "k", "kr")])
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, limit: int = TOP_K) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists; ties by vector, then keyword score, then rank of first sight."""
-    v = vector.select("query_id", "chunk_key", F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
-    k = keyword.select("query_id", "chunk_key", F.col("score").alias("keyword_score"), F.col("rank").alias("keyword_rank"))
-    x = v.join(k, ["query_id", "chunk_key"], "full_outer")
+    """Reciprocal rank fusion of two ranked lists; ties by vector, then keyword score, then rank of first sight. ``top_vector``, on each row, is the query's best vector score, null without one."""
     share = lambda r: F.coalesce(1 / (RRF + F.col(r)), F.lit(0.0))
-    x = x.select("query_id", "chunk_key", F.round(share("vector_rank") + share("keyword_rank"), 9).alias("rrf_score"), F.greatest(F.coalesce("vector_score", F.lit(0.0)), F.lit(0.0)).alias("vector_score"), F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"), F.col("vector_rank").isNotNull().alias("in_vector"), F.col("keyword_rank").isNotNull().alias("in_keyword"), "vector_rank", "keyword_rank")
-    w = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), F.desc("vector_score"), F.desc("keyword_score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"))
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("vector_rank", "keyword_rank")
-
-
-def strong_hit(queries: DataFrame, keyword: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, strong): whether the best keyword chunk holds a query token with a digit, - or _, or as many as two (or all) of the query's tokens of two characters or more."""
-    top = keyword.where("rank = 1").select("query_id", "chunk_key")
-    q = queries.select("query_id", F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 2).alias("q"))
-    x = q.join(top, "query_id").join(tokenized(chunks), "chunk_key")
+    own = Window.partitionBy("query_id")
+    x = lists(vector, keyword).select(
+        "query_id", "chunk_key", F.round(share("vr") + share("kr"), 9).alias("rrf_score"), F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0)).alias("vector_score"), F.coalesce("k", F.lit(0.0)).alias("keyword_score"),
+        F.col("vr").isNotNull().alias("in_vector"), F.col("kr").isNotNull().alias("in_keyword"), F.max(F.when(F.col("vr") == 1, F.col("v"))).over(own).alias("top_vector"), F.max(F.when(F.col("kr") == 1, F.col("chunk_key"))).over(own).alias("top_keyword"), "vr", "kr")
+    w = own.orderBy(F.desc("rrf_score"), F.desc("vector_score"), F.desc("keyword_score"), F.asc_nulls_last("vr"), F.asc_nulls_last("kr"))
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("vr", "kr")
+
+
+def strong_hit(queries: DataFrame, top: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, strong) for (query_id, chunk_key) of each query's best keyword chunk: whether it holds a query token with a digit, - or _, or as many as two (or all) of the query's tokens of two characters or more, or any in the scope of one doc_id."""
+    one = some(F.col("doc_id")).isNotNull() if "doc_id" in queries.columns else F.lit(False)
+    q = queries.select("query_id", one.alias("one"), F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 2).alias("q"))
+    x = q.join(top.select("query_id", "chunk_key"), "query_id")
+    x = chunks.select("chunk_key", "text").join(small(x), "chunk_key").select("query_id", "one", "q", tokens(F.col("text")).alias("tokens"))
     hit = F.filter("q", lambda t: F.array_contains(F.col("tokens"), t))
-    return x.select("query_id", (F.exists(hit, lambda t: t.rlike("[0-9_-]")) | ((F.size(hit) >= F.least(F.size("q"), F.lit(2))) & (F.size("q") > 0))).alias("strong"))
-
-
-def confidence(fused: DataFrame, vector: DataFrame, strong: DataFrame) -> DataFrame:
-    """(query_id, confidence) from the best vector score, whether the first fused chunk is in both lists, and a strong keyword hit."""
-    best = vector.groupBy("query_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("best"))
-    first = fused.where("rank = 1").select("query_id", (F.col("in_vector") & F.col("in_keyword")).alias("both"))
-    x = first.join(best, "query_id", "full_outer").join(strong, "query_id", "left")
-    top = F.coalesce("best", F.lit(0.0))
-    lifted = F.when(F.coalesce("both", F.lit(False)), F.least(top + BOTH_BONUS, F.lit(1.0))).otherwise(top)
-    return x.select("query_id", F.round(F.least(F.greatest(lifted, F.when(F.coalesce("strong", F.lit(False)), STRONG_FLOOR).otherwise(0.0)), F.lit(1.0)), 6).alias("confidence"))
+    enough = F.col("one") | (F.size(hit) >= F.least(F.size("q"), F.lit(2)))
+    return x.select("query_id", (F.exists(hit, lambda t: t.rlike("[0-9_-]")) | (enough & (F.size(hit) > 0))).alias("strong"))
+
+
+def confidence(fused: DataFrame, strong: DataFrame) -> DataFrame:
+    """(query_id, confidence, strong) from the best vector score, whether the first fused chunk is in both lists, and a strong keyword hit."""
+    x = fused.where("rank = 1").join(strong, "query_id", "left")
+    top = F.coalesce("top_vector", F.lit(0.0))
+    lifted = F.when(F.col("in_vector") & F.col("in_keyword"), F.least(F.lit(1.0), top + BOTH_BONUS)).otherwise(F.lit(0.0))
+    hit = F.coalesce("strong", F.lit(False))
+    best = F.greatest(top, lifted, F.when(hit, F.lit(STRONG_FLOOR)).otherwise(0.0), F.lit(0.0))
+    return x.select("query_id", F.round(F.least(best, F.lit(1.0)), 6).alias("confidence"), hit.alias("strong"))
