@@ -1,5 +1,6 @@
 """Chunking, layout, chat, evaluation, files and the watched folder."""
 
+import random
 import re
 from datetime import datetime, timedelta
 
@@ -8,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import intents as I
-from quillspark.operators import chat, chunking, layout
+from quillspark.operators import chat, chunking, evaluation, layout
+from quillspark.operators import registry as G
 from quillspark.sources import files
 from quillspark.streaming import watcher
 
@@ -19,22 +21,98 @@ def bare(text):
     return re.sub(r"\s+", "", text)
 
 
-def test_sections_have_breadcrumbs():
+def plain_sections(text):
+    out, open_, title, crumb, at = [], [], "", "", 0
+    for m in re.finditer(r"^(#{1,4})\s+(.+)$", text, re.M):
+        out.append((title, crumb, text[at : m.start()]))
+        level, title, at = len(m[1]), m[2].strip(), m.end()
+        open_ = [x for x in open_ if x[0] < level] + [(level, title)]
+        crumb = " > ".join(t for _, t in open_)
+    return [*out, (title, crumb, text[at:])]
+
+
+def plain_tables(text):
+    table = re.compile(r"(?:^[|].*[|]\s*\n?){2,}", re.M)
+    found = [t for m in table.finditer(text) if len(t := m[0].strip()) > 50]
+    return found, table.sub("\n\n", text).strip() if found else text
+
+
+def plain_groups(text, size=1200):
+    out, total = [], 0
+    for p in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
+        if out and total + len(p) <= size:
+            out[-1] += "\n\n" + p
+            total += len(p)
+        else:
+            out.append(p)
+            total = len(p)
+    return out
+
+
+def plain_chunks(text):
+    headed = re.search(r"^(#{1,4})\s+(.+)$", text, re.M) is not None
+    out = []
+    for title, crumb, body in plain_sections(text):
+        body = body.strip() if headed else body
+        if not body.strip():
+            continue
+        found, left = plain_tables(body)
+        long = lambda t: [t] if len(t) <= chunking.SIZE else chunking.split(t)
+        out += [(title, crumb, "table", p) for t in found for p in long(t)]
+        if left.strip():
+            if len(left) <= chunking.SIZE:
+                out.append((title, crumb, "section" if headed else "page", left))
+            else:
+                out += [(title, crumb, "paragraph", p) for g in plain_groups(left) for p in long(g)]
+    return out
+
+
+def chunked(spark, texts):
+    """Chunks of each text as (section, breadcrumb, type, text), in order."""
+    out = {i: [] for i in range(len(texts))}
+    for r in chunking.chunk(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id", "chunk_index").collect():
+        assert r["chunk_index"] == len(out[r["doc_id"]]) and r["chunk_chars"] == len(r["text"])
+        out[r["doc_id"]].append((r["section"], r["breadcrumb"], r["chunk_type"], r["text"]))
+    return out
+
+
+def test_sections_have_breadcrumbs(spark):
     text = "before\n# A\none\n## B\n##### no heading\n### C\n\n## D\ntwo\n# E\nthree"
-    got = [(t, c, b.strip()) for t, c, b in chunking.sections(text)]
-    assert got == [("", "", "before"), ("A", "A", "one"), ("B", "A > B", "##### no heading"), ("C", "A > B > C", ""), ("D", "A > D", "two"), ("E", "E", "three")]
-    assert [p[0] for p in chunking.pieces(text)] == ["", "A", "B", "D", "E"]
+    got = spark.createDataFrame([(text,)], "t string").select(chunking.sections(F.col("t")).alias("s")).first()["s"]
+    assert [(x["title"], x["breadcrumb"], x["body"].strip()) for x in got] == [("", "", "before"), ("A", "A", "one"), ("B", "A > B", "##### no heading"), ("C", "A > B > C", ""), ("D", "A > D", "two"), ("E", "E", "three")]
+    assert [c[:2] for c in chunked(spark, [text])[0]] == [("", ""), ("A", "A"), ("B", "A > B"), ("D", "A > D"), ("E", "E")]
 
 
-def test_tables_leave_the_text():
+def test_tables_leave_the_text(spark):
     long, short = "| a long cell of a table | another |\n| and one more row | last |\n", "| a |\n| b |\n"
-    assert chunking.tables(f"x\n{short}y") == ([], f"x\n{short}y")
-    found, left = chunking.tables(f"x\n{long}\nmiddle\n{short}y")
-    assert found == [long.strip()] and "|" not in left and bare(left) == "xmiddley"
+    df = spark.createDataFrame([(f"x\n{short}y",), (f"x\n{long}\nmiddle\n{short}y",), (f"intro\n{long}tail",), ("| one row of more than fifty characters, all alone here |\n",)], "t string")
+    got = [(r["x"]["found"], r["x"]["left"]) for r in df.select(chunking.tables(F.col("t")).alias("x")).collect()]
+    assert got == [([], f"x\n{short}y"), ([long.strip()], "x\n\n\nmiddle\n\n\ny"), ([long.strip()], "intro\n\n\ntail"), ([], "| one row of more than fifty characters, all alone here |\n")]
 
 
-def test_table_of_many_rows():
-    assert len(list(chunking.pieces("| cell | cell |\n" * 50_000))) == 1
+def test_table_of_many_rows(spark):
+    row = "| cell | cell |\n"
+    got = chunked(spark, [row * 50_000])[0]
+    assert {c[2] for c in got} == {"table"} and all(len(c[3]) <= chunking.SIZE for c in got) and len(got) > 500
+
+
+def test_chunks_by_plain_python(spark):
+    r = random.Random(5)
+    parts = ["# A", "## B b", "### C", "#### D", "##### E", "##", "#x", "| cell one of a row | and two |", "| x |", "|a|b|\t", "", "", "", "short words here", "word " * 60, "sentence of words. " * 30, "한국어 문장입니다. " * 40, " indented", "x" * 700, "y" * 1300, "| not closed"]
+    texts = ["\n".join(r.choices(parts, k=r.randint(1, 14))).strip() for _ in range(250)] + ["", "  \n ", "a" * 1200, "b" * 1201, "p1 " * 200 + "\n\n" + "p2 " * 199, "p" * 600 + "\n\n" + "q" * 600, "p" * 600 + "\n\n" + "q" * 601]
+    got = chunked(spark, texts)
+    for i, t in enumerate(texts):
+        assert got[i] == plain_chunks(t), t
+
+
+def test_enriched_chunks_and_keys(spark):
+    c = spark.createDataFrame([("f.pdf", 2, "en", "T", "A > T", "body"), (None, None, "unknown", "T", "", None)], "source string, page int, lang string, section string, breadcrumb string, text string")
+    e = chunking.enriched(c)
+    assert [(r["section"], r["text"]) for r in e.collect()] == [("A > T", "[Document: f.pdf | Section: A > T | Page: 2 | Lang: en]\nbody"), ("T", "[Document: unknown | Section: T | Page: ?]\n")]
+    assert chunking.average_header(e).first()[0] == sum(len(r["context_header"]) for r in e.collect()) // 2
+    assert chunking.average_header(e.limit(0)).first()[0] == 0
+    lit, none = F.lit, F.lit(None).cast("string")
+    assert spark.range(1).select(chunking.chunk_key(lit("id"), lit("d"), none, lit(1), lit(2)), chunking.chunk_key(none, lit(""), lit("s"), none, lit(2))).first()[:] == ("id", "s::None::2")
 
 
 @settings(max_examples=60, deadline=None)
@@ -76,6 +154,132 @@ def test_whole_documents_are_chunked(spark):
         assert not {w for w in re.findall(r"\w+", plain) if len(w) < 500} - words, d
 
 
+def plain_route(page):
+    """The best candidate of one page, in plain Python: (method, reason, chain)."""
+    text, kind, vlm, ocr = page["text"] or "", page["kind"], page["vlm_text"], page["ocr_text"]
+    real = lambda t: len(re.sub(r"\s+", "", t))
+
+    def garble(t):
+        t = re.sub(r"\s+", "", t)
+        return 1.0 if not t else max(0.0, 1 - len(re.findall(r"[A-Za-z0-9.,:;!?()\[\]{}%/\-_=+\'\"@#&*]", t)) / len(t))
+
+    def confidence(method, t):
+        g = garble(t)
+        base = {"text": 0.92, "vlm": 0.78, "ocr": 0.72}[method] - (0.08 if real(t) < 120 else 0) - (0.15 if real(t) < 40 else 0) - min(g, 0.5) * 0.6
+        return round(max(0.05, min(0.99, base)), 2)
+
+    def score(method, t):
+        bonus = {"text": 45 if kind == "digital" else 25, "vlm": 20 if kind in ("scanned", "hybrid") else 0, "ocr": 10 if kind == "scanned" else 0}[method]
+        return real(t) * max(0.2, 1 - min(garble(t), 0.7)) + 120 * confidence(method, t) + bonus
+
+    g = round(garble(text), 3)
+    more = kind == "scanned" or g > 0.35 or (real(text) < 150 if kind == "hybrid" else real(text) < 80)
+    found = [("text", text, "fast_text_layer", "pymupdf")] if text.strip() else []
+    if more:
+        why = "+".join([kind] * (kind != "digital") + ["low_text_yield"] * (real(text) < 80) + ["garbled_text"] * (g > 0.35)) or "quality_gate"
+        chain = "pymupdf"
+        if len((vlm or "").strip()) >= 10:
+            chain += ">qwen2.5vl"
+            found.append(("vlm", vlm, why, chain))
+        if len((ocr or "").strip()) >= 10:
+            found.append(("ocr", ocr, why, chain + ">tesseract"))
+    if not found:
+        return None
+    best = max(found, key=lambda c: round(score(c[0], c[1]), 2))
+    first = found[0]
+    if first[0] == "text" and kind == "digital" and g <= 0.35 and round(score("text", text), 2) >= round(score(best[0], best[1]), 2) - 18:
+        best = first
+    return best[0], best[2], best[3]
+
+
+def test_page_routing(spark):
+    r = random.Random(6)
+    texts = ["", None, "short", "plain words of a page " * 5, "plain words of a page " * 12, "\u00e9\u00df\u4e2d" * 40, "\u4e2d\u6587" * 5 + "words " * 30, "ten chars.", "x" * 79, "y" * 80]
+    rows = [(f"d{i // 7}", i % 7 + 1, r.choice(texts), r.choice(["digital", "hybrid", "scanned"]), r.choice([[], ["Head"], None]), r.choice(texts), r.choice(texts)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, text string, kind string, headings array<string>, vlm_text string, ocr_text string").repartition(3)
+    got = {(x["doc_id"], x["page"]): (x["method"], x["reason"], x["chain"]) for x in layout.route(df).collect()}
+    for row in df.collect():
+        assert got.get((row["doc_id"], row["page"])) == plain_route(row), row
+    assert len({g[0] for g in got.values()}) == 3
+    one = layout.route(spark.createDataFrame([("a", 1, "", "scanned", None, None, "Title line\nread by  machine.")], df.schema)).first()
+    assert (one["heading"], one["kind"], one["extractor"], one["text"], one["language"]) == ("Title line", "scanned", "tesseract", "Title line\nread by machine.", "unknown")
+
+
+def test_document_fallback(spark):
+    page = lambda d, n, text: (d, n, text, "digital", None, None, None)
+    bad = "\u4e2d\u6587\u5b57" * 40
+    rows = [page("keep", 1, "good words " * 30), page("swap", 1, bad), page("swap", 2, "good words " * 10), page("few", 1, bad), page("few", 2, "good words " * 30)] + [page("few", n, "good words " * 30) for n in range(3, 10)]
+    routed = layout.route(spark.createDataFrame(rows, "doc_id string, page int, text string, kind string, headings array<string>, vlm_text string, ocr_text string"))
+    files = spark.createDataFrame([("keep", 1, "# T " + "w" * 9999), ("swap", 2, "# T\n\n\n\n![i](j)" + "w" * 999), ("few", 9, "w" * 99999), ("new", 3, "only converted"), ("none", 3, "")], "doc_id string, page_total int, converted string")
+    got = {}
+    for r in layout.with_document_fallback(routed, files).collect():
+        got.setdefault(r["doc_id"], []).append((r["page"], r["method"], r["reason"]))
+    assert got["keep"][0][1] == "text" and len(got["few"]) == 9 and "none" not in got
+    assert got["swap"] == [(1, "marker_pdf", "marker_structure_fallback")] and got["new"] == [(1, "marker_pdf", "marker_only_result")]
+
+
+def test_registry(spark):
+    pages = [("d1", 2, "a.pdf", "ko", 10, "digital", "text", ""), ("d1", 1, "a.pdf", "unknown", 20, None, "ocr", "x,garbled_text"), ("d1", 3, "a.pdf", "en", None, "digital", "text", None), (None, 1, "b", "en", 1, "digital", "text", ""), ("", 1, "b", "en", 1, "digital", "text", "")]
+    p = G.annotated(spark.createDataFrame(pages, "doc_id string, page int, source string, language string, n_chars long, page_kind string, extraction_method string, quality_flags string"), F.lit("library"))
+    r = G.rollup(p).collect()
+    assert len(r) == 1
+    r = r[0]
+    assert (r["source"], r["page_total"], r["extractors_used"], r["languages"], r["chars"], r["garbled_pages"], r["page_kind_counts"], r["doc_scope"]) == ("a.pdf", 3, ["ocr", "text"], ["en", "ko"], 30, 1, {"digital": 2, "unknown": 1}, "persistent")
+    first = G.upsert(spark.createDataFrame([], "doc_id string, source string"), G.entries(p, spark.createDataFrame([("d1", 4)], "doc_id string, chunk_count long"), F.lit("t1")))
+    assert [(x["doc_id"], x["chunk_count"], x["created_at"], x["uploaded_at"], x["updated_at"], x["status"]) for x in first.collect()] == [("d1", 4, "t1", "t1", "t1", "ingested")]
+    new = spark.createDataFrame([("d1", None, "t2"), ("d2", "b.pdf", "t2")], "doc_id string, source string, updated_at string")
+    second = {x["doc_id"]: x for x in G.upsert(first, new).collect()}
+    assert (second["d1"]["source"], second["d1"]["updated_at"], second["d1"]["created_at"], second["d1"]["chunk_count"]) == (None, "t2", "t1", 4)
+    assert (second["d2"]["source"], second["d2"]["created_at"]) == ("b.pdf", "t2")
+    assert G.upload_total(spark.createDataFrame([(3,), (None,)], "chunks long")).first()[0] == 3 and G.upload_total(spark.createDataFrame([], "chunks long")).first()[0] == 0
+
+
+def test_scope_resolution(spark):
+    reg = spark.createDataFrame([("d1", "a", "upload", "2024-01-01", None), ("d2", "a", "library", "2024-03-01", None), ("d3", "a", "library", None, "2024-02-01"), ("d4", "b", "external", None, None)], "doc_id string, source string, source_type string, updated_at string, created_at string")
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, document_source string")
+    got = {r["id"]: (r["doc_id"], r["source_type"], r["resolved"], r["resolution_note"]) for r in G.resolve(items, reg).collect()}
+    assert got == {1: ("d3", "library", True, "matched 3 documents; selected preferred scope"), 2: ("d4", "external", True, "matched exact source"), 3: (None, None, False, "document source not found in registry"), 4: (None, None, False, "document source not found in registry")}
+
+
+def test_benchmark_problems(spark):
+    good = '{"id":"a","category":"c","language":"en","document_source":"s","question":"q","should_answer_from_docs":true,"expected_answer_points":[],"expected_sources":[{"source":"s","page":1}]}'
+    lines = [good, "", good, "{broken", "[1]", '{"id":" ","question":"  ","should_answer_from_docs":1,"expected_answer_points":{"a":1},"expected_sources":"x"}', good.replace('"a"', "null"), good.replace('"a"', "7")]
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "_line_no int, line string")
+    got = sorted((r["_line_no"], r["error"]) for r in evaluation.problems(df).collect())
+    assert got == sorted([(3, "duplicate id 'a'"), (4, "invalid JSON"), (5, "invalid JSON"), (6, "missing required fields: category, document_source, language"), (6, "expected_answer_points must be a list"), (6, "expected_sources must be a list"), (6, "should_answer_from_docs must be true/false"), (6, "id must be non-empty"), (6, "question must be non-empty")])
+    assert {r["value"]: r["n"] for r in evaluation.value_counts(spark.createDataFrame([(" en ",), ("",), (None,), ("ko",)], "l string"), "l").collect()} == {"en": 1, "unknown": 2, "ko": 1}
+
+
+def test_evaluation(spark):
+    chunks = spark.createDataFrame([(1, "d1", "a.pdf", "library", 1, 0, "", "en", "the valve E-401 opens"), (2, "d1", "a.pdf", "library", 2, 1, "", "en", "second page"), (3, "d2", "b.pdf", "library", 1, 0, "", "en", "other text")], "chunk_key long, doc_id string, source string, source_type string, page int, chunk_index int, section string, lang string, text string")
+    vectors = chunks.select("chunk_key", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), "source", "doc_id")
+    items = spark.createDataFrame([("q1", "exact_lookup", "a.pdf", "where is E-401", True, [("a.pdf", 1), ("b.pdf", None)], ["valve opens", "e-401"], None), ("q2", "summary", "a.pdf", "all of it", True, [("a.pdf", None)], [], None), ("q3", "not_found", "gone.pdf", "refund", False, [], ["x"], False), ("q4", "exact_lookup", "b.pdf", "whole", False, None, None, True)],
+        "id string, category string, document_source string, question string, should_answer_from_docs boolean, expected_sources array<struct<source:string,page:int>>, expected_answer_points array<string>, full_document boolean")
+    items = items.withColumn("_line_no", F.monotonically_increasing_id())
+    reg = spark.createDataFrame([("d1", "a.pdf", "library", "1", "1"), ("d2", "b.pdf", "library", "1", "1")], "doc_id string, source string, source_type string, updated_at string, created_at string")
+    q = items.select(F.col("id").alias("query_id"), F.array(F.lit(0.0), F.lit(1.0)).alias("query_embedding"))
+    resolved = G.resolve(items, reg)
+    scored = evaluation.retrieval(resolved, chunks, vectors, q).cache()
+    got = {r["id"]: r for r in scored.collect()}
+    assert got["q1"]["strong_keyword_hit"] and got["q1"]["confidence"] == 0.75 and got["q1"]["source_scoring"]["recall"] == 0.5
+    assert got["q2"]["used_full_document"] and got["q2"]["confidence"] == 1.0 and [s["page"] for s in got["q2"]["retrieved_sources"]] == [1, 2]
+    assert (got["q3"]["confidence"], got["q3"]["retrieved_sources"], got["q3"]["source_scoring"]["recall"]) == (0.0, [], 1.0) and got["q4"]["used_full_document"]
+    replies = spark.createDataFrame([("q1", "The valve opens.", "document_qa"), ("q4", "I couldn't find relevant information in it", "document_qa")], "query_id string, answer string, mode string")
+    said = evaluation.answers(resolved, replies).cache()
+    out = {r["id"]: (r["mode"], r["answer_scoring"]["recall"], r["answer_refusal_detected"]) for r in said.collect()}
+    assert out == {"q1": ("document_qa", 0.5, False), "q2": (None, 1.0, False), "q3": ("unresolved", 0.0, False), "q4": ("document_qa", 1.0, True)}
+    s = evaluation.summary(resolved, scored, said).first()
+    assert (s["total_rows"], s["unresolved_document_scope_rows"], s["categories"], s["avg_source_recall"], s["avg_answer_point_recall"], s["negative_case_count"], s["negative_case_refusal_pass"]) == (4, 1, {"exact_lookup": 2, "summary": 1, "not_found": 1}, 0.875, 0.625, 2, 1)
+    assert evaluation.summary(resolved, scored).first()["avg_answer_point_recall"] is None
+    assert [r["id"] for r in evaluation.chosen(items, ["q2", "q3"], 1).collect()] == ["q2"] and evaluation.chosen(items).count() == 4
+
+
+def test_last_turns_of_tied_and_null_messages(spark):
+    rows = [(1, 1, "user", None), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (2, None, None, "x")] + [(3, k // 3, "user", str(k)) for k in range(20)]
+    got = {r["conv_id"]: r["history"] for r in G.last_turns(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(4)).collect()}
+    assert got[1] == "[assistant]\na\n\n[assistant]\nb\n\n[user]\n" and got[2] == "[]\nx" and re.findall(r"\d+", got[3]) == [str(k) for k in (12, 13, 14, 15, 16, 17, 18, 19)]
+
+
 def test_layout(spark):
     def block(text, size, kind=0):
         return (kind, [0.0, 0.0, 1.0, 1.0], [([(text, size)],)])
