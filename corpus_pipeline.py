@@ -15,7 +15,7 @@ from quillspark.llm import mixing, neardup, packing, pii, quality
 from quillspark.llm.common import small, written
 
 #: Ids up to which a decision is broadcast (16 bytes a row); beyond, texts are shuffled to it.
-IDS = 1_000_000
+IDS = 100_000
 
 #: The rows that run() gives can't be said in SQL (near-dedup, mixing); the tests hold each stage against a brute-force version.
 ORACLE_SQL = None

@@ -6,20 +6,21 @@ removed and comes back under its name is not read again.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.sources.files import EXTENSIONS, FILE, named
+from quillspark.operators.sizes import small
+from quillspark.sources.files import EXTENSIONS, FILE, GLOB, folder, named
 
 
-def new_files(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
-    """Files of the folder modified after ``since`` (all, if None)."""
-    x = named(spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", "*.*").load(path)).where(F.col("extension").isin(*EXTENSIONS))
-    return x if since is None else x.where(F.col("modificationTime") > F.lit(since))
+def new_files(spark: SparkSession, path: str) -> DataFrame:
+    return named(spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", GLOB).load(path)).where(F.col("extension").isin(*EXTENSIONS))
 
 
 def wanted(files: DataFrame, known: DataFrame, suppressed: DataFrame, now: datetime) -> DataFrame:
@@ -28,11 +29,25 @@ def wanted(files: DataFrame, known: DataFrame, suppressed: DataFrame, now: datet
     return files.join(known.select("name"), "name", "left_anti").join(active, "name", "left_anti")
 
 
-def watch(spark: SparkSession, path: str, checkpoint: str, ingest: Callable[[DataFrame, int], None], known: Callable[[], DataFrame], suppressed: Callable[[], DataFrame], since: datetime | None = None, every: str | None = "5 seconds") -> StreamingQuery:
-    """Starts the stream; ``known`` and ``suppressed`` are asked anew at each batch. ``every`` None takes what is there and ends."""
+def there_at_first(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """(path) of the files that were there when the watch first started; kept beside the checkpoint, so that a restart goes on with what came since."""
+    at = f"{checkpoint.rstrip('/')}-present"
+    try:
+        return spark.read.parquet(at)
+    except AnalysisException:
+        folder(spark, path, content=False).select("path").write.parquet(at)
+        return spark.read.parquet(at)
+
+
+def watch(spark: SparkSession, path: str, checkpoint: str, ingest: Callable[[DataFrame, int], None], known: Callable[[], DataFrame], suppressed: Callable[[], DataFrame], present: bool = False, settle: float = 1.0, every: str | None = "5 seconds") -> StreamingQuery:
+    """Starts the stream; ``known`` and ``suppressed`` are asked anew at each batch. Files there at the first start are left out unless ``present``, whatever their times (one more than a week older than the newest is never seen: Spark's maxFileAge); each batch waits ``settle`` seconds before
+    files are read, so that they are written to the end. ``every`` None takes what is there and ends."""
+    old = None if present else there_at_first(spark, path, checkpoint)
 
     def batch(files: DataFrame, number: int) -> None:
+        time.sleep(settle)
+        files = files if old is None else files.join(small(old), "path", "left_anti")
         ingest(wanted(files, known(), suppressed(), datetime.now()), number)
 
-    writer = new_files(spark, path, since).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = new_files(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

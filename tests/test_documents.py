@@ -1,7 +1,9 @@
 """Chunking, layout, chat, evaluation, files and the watched folder."""
 
+import os
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 from hypothesis import given, settings
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import intents as I
 from quillspark.operators import chat, chunking, evaluation, layout
 from quillspark.operators import registry as G
-from quillspark.sources import files
+from quillspark.sources import files, store
 from quillspark.streaming import watcher
 
 BLOCKS = "doc_id string, page int, blocks array<struct<type:int,bbox:array<double>,lines:array<struct<spans:array<struct<text:string,size:double>>>>>>"
@@ -354,10 +356,58 @@ def test_watched_folder(spark, tmp_path):
     quiet = lambda: spark.createDataFrame([("hidden.pdf", now + timedelta(hours=1)), ("late.png", now - timedelta(hours=1))], "name string, expires_at timestamp")
 
     def run():
-        watcher.watch(spark, str(inbox), str(tmp_path / "log"), lambda d, _: seen.extend(r["name"] for r in d.collect()), known, quiet, every=None).awaitTermination(120)
+        watcher.watch(spark, str(inbox), str(tmp_path / "log"), lambda d, _: seen.extend(r["name"] for r in d.collect()), known, quiet, present=True, settle=0, every=None).awaitTermination(120)
 
     run()
     assert sorted(seen) == ["late.png", "new.pdf"]
     (inbox / "more.webp").write_bytes(b"y")
     run()
     assert sorted(seen) == ["late.png", "more.webp", "new.pdf"]
+
+
+def test_watch_leaves_out_what_was_there(spark, tmp_path):
+    inbox, seen = tmp_path / "in", []
+    inbox.mkdir()
+    (inbox / "there.pdf").write_bytes(b"x")
+    none = lambda: spark.createDataFrame([], "name string, expires_at timestamp")
+
+    def run():
+        watcher.watch(spark, str(inbox), str(tmp_path / "log"), lambda d, _: seen.extend(r["name"] for r in d.collect()), none, none, settle=0, every=None).awaitTermination(120)
+
+    run()
+    (inbox / "moved.PDF").write_bytes(b"y")
+    os.utime(inbox / "moved.PDF", (time.time() - 86400,) * 2)
+    run()
+    assert seen == ["moved.PDF"]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = [f'{{"id": "{i}"}}' if i % 5 else "" for i in range(5000)]
+    for n in ("a", "b"):
+        (tmp_path / f"{n}.jsonl").write_text("\r\n".join(lines) + "\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        got = files.json_lines(spark, str(tmp_path), "id string")
+        assert got.rdd.getNumPartitions() > 4
+        assert sorted((r["_line_no"], r["id"]) for r in got.collect()) == sorted([(i + 1, str(i)) for i in range(5000) if i % 5] * 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_pages_into_the_stored_tables(spark, tmp_path):
+    pages = spark.createDataFrame([("d1", 1, "a.pdf", "# T\nfirst page", "en"), ("d1", 2, "a.pdf", "second page", "unknown"), ("d2", 1, "b.pdf", " ", "en")], "doc_id string, page int, source string, text string, language string")
+    chunks, entries = store.ingest(pages, F.when(F.col("source") == "a.pdf", "upload").otherwise("library"), F.lit("now"))
+    got = chunks.orderBy("chunk_index").collect()
+    assert [(r["doc_id"], r["chunk_index"], r["text"]) for r in got] == [("d1", 0, "[Document: a.pdf | Section: T | Page: 1 | Lang: en]\nfirst page"), ("d1", 1, "[Document: a.pdf | Section:  | Page: 2]\nsecond page".replace(" | Section: ", "", 1))]
+    assert [(r["doc_id"], r["chunk_count"], r["page_total"], r["doc_scope"]) for r in entries.collect()] == [("d1", 2, 2, "chat_upload")]
+    path = str(tmp_path / "chunks")
+    assert store.load(spark, path, "doc_id string").count() == 0
+    store.add_chunks(chunks, path)
+    store.add_chunks(chunks.withColumn("source_type", F.lit("library")), path)
+    assert store.load(spark, path, "doc_id string").count() == 4 and len(store.by_place(store.load(spark, path, "")).collect()) == 4
+    assert store.full_text(pages).where("doc_id = 'd1'").first()["text"] == "# T\nfirst page\nsecond page" and store.entry(entries, "d1").count() == 1
+    store.write_summary(chat.summary(spark.createDataFrame([], "category string, resolved boolean, should_answer boolean, answer_recall double, source_recall double, refused boolean")), str(tmp_path / "s"), "both", "b", "r")
+    assert spark.read.json(str(tmp_path / "s")).first()["mode"] == "both"
+    assert spark.range(1).select(files.source_type(F.lit("/lib/a"), "/lib", "/up"), files.source_type(F.lit("/up/a"), "/lib/", "/up/"), files.source_type(F.lit("/upper/a"), "/lib", "/up"), chat.whole_document(F.lit("summary"), F.lit(None)), chat.whole_document(F.lit("x"), F.lit(True)), chat.whole_document(F.lit("x"), F.lit(None))).first()[:] == ("library", "upload", "external", True, True, False)
