@@ -33,10 +33,15 @@ def requests(messages: DataFrame) -> DataFrame:
     return x.select("conv_id", F.coalesce("system", F.lit("")).alias("system"), question.alias("question"), F.array_join(said, "\n\n").alias("history"))
 
 
+def context_line(source: Column, page: Column, section: Column, lang: Column, text: Column) -> Column:
+    """A chunk's text under a line of where it is from."""
+    or_ = lambda c, d: F.coalesce(I.some(c.cast("string")), F.lit(d))
+    return F.concat(F.lit("[Doc: "), or_(source, "unknown"), F.lit(" | Page: "), or_(page, "?"), F.lit(" | Section: "), or_(section, ""), F.lit(" | Lang: "), or_(lang, "unknown"), F.lit("]\n"), T.without_header(F.coalesce(text, F.lit(""))))
+
+
 def context(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, context): the ranked chunks, each under a line of where it is from; chunks have chunk_key, source, page, section, lang, text."""
-    or_ = lambda c, d: F.coalesce(I.some(F.col(c).cast("string")), F.lit(d))
-    line = F.concat(F.lit("[Doc: "), or_("source", "unknown"), F.lit(" | Page: "), or_("page", "?"), F.lit(" | Section: "), or_("section", ""), F.lit(" | Lang: "), or_("lang", "unknown"), F.lit("]\n"), T.without_header(F.coalesce("text", F.lit(""))))
+    line = context_line(*(F.col(c) for c in ("source", "page", "section", "lang", "text")))
     x = found.select("query_id", "chunk_key", "rank").join(chunks, "chunk_key").select("query_id", "rank", line.alias("line"))
     return x.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda c: c["line"]), "\n\n").alias("context"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import intents as I
 from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
+from quillspark.operators.chat import context_line
 from quillspark.operators.sizes import small
 
 SOURCE = ("doc_id", "source", "source_type", "source_path", "page", "section", "chunk_index", "chunk_type", "extraction_method")
@@ -58,7 +59,7 @@ def retrieve(requests: DataFrame, chunks: DataFrame, vectors: DataFrame, query_v
     best = R.vector_top_k(vectors, asked, k)
     free = rest.select("query_id", scoped(rest).alias("__scoped"))
     best = best.join(free, "query_id").where(F.col("__scoped") | (F.col("score") >= min_score)).drop("__scoped")
-    fused = R.fuse(best, R.top_k(R.bm25(chunks, rest), k), k)
+    fused = R.fuse(best, R.top_k(R.bm25(chunks, rest), k), k).persist()  # k rows a request, which several joins below read
     top = fused.where("rank = 1 and top_keyword is not null").select("query_id", F.col("top_keyword").alias("chunk_key"))
     sure = R.confidence(fused, R.strong_hit(rest, top, chunks)).withColumn("used", F.lit(False))
     all_ = whole_document(whole, chunks)
@@ -72,13 +73,27 @@ def retrieve(requests: DataFrame, chunks: DataFrame, vectors: DataFrame, query_v
     return docs, x.select("query_id", sure_.alias("confidence"), hit.alias("strong"), "used_full_document", "n_docs")
 
 
-def sources(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, sources): where each chunk found is from, in order, as an array of structs; fields that chunks lack are null."""
+def source_of(chunks: DataFrame) -> Column:
+    """Where a chunk is from, as a struct; fields that chunks lack are null."""
     field = lambda c: (F.coalesce(R.some(F.col("section")), F.lit("")) if c == "section" else F.col(c).cast("string")) if c in chunks.columns else F.lit(None).cast("string")
-    x = found.join(chunks, "chunk_key").select("query_id", "rank", F.struct(F.col("chunk_key"), *[field(c).alias(c) for c in SOURCE]).alias("s"))
+    return F.struct(F.col("chunk_key"), *[field(c).alias(c) for c in SOURCE])
+
+
+def sources(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, sources): where each chunk found is from, in order, as an array of structs."""
+    x = found.join(chunks, "chunk_key").select("query_id", "rank", source_of(chunks).alias("s"))
     return x.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "s"))), lambda r: r["s"]).alias("sources"))
 
 
+def told(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, context, all_text, sources, first_type) of what was found for each request, in order, from one join with the chunks."""
+    said = T.without_header(F.coalesce("text", F.lit("")))
+    x = found.join(chunks, "chunk_key").select("query_id", "rank", source_of(chunks).alias("s"), context_line(F.col("source"), F.col("page"), F.col("section"), F.col("lang"), F.col("text")).alias("line"), said.alias("said"))
+    per = x.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "s", "line", "said"))).alias("r"))
+    each = lambda name: F.transform("r", lambda c: c[name])
+    return per.select("query_id", F.array_join(each("line"), "\n\n").alias("context"), F.array_join(F.filter(each("said"), lambda t: t != ""), "\n\n").alias("all_text"), each("s").alias("sources"), F.get("r", F.lit(0))["s"]["source_type"].alias("first_type"))
+
+
 def chat_flow(requests: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, web: DataFrame | None = None, k: int = R.TOP_K) -> DataFrame:
     """(query_id, mode, answer, prompt, sources, confidence, active_source, active_doc_id) for each request (query_id, text, source, doc_id, history, system).
 
@@ -86,8 +101,6 @@ def chat_flow(requests: DataFrame, chunks: DataFrame, vectors: DataFrame, query_
     other scoped questions are refused where retrieval is not sure enough. What is left gets a prompt for a generator, and no answer here.
     ``web`` (query_id, results) holds search results for requests that may need them. A null text is empty.
     """
-    from quillspark.operators import chat
-
     r = requests.withColumn("text", F.coalesce("text", F.lit(""))).withColumnsRenamed({"source": "active_source", "doc_id": "active_doc_id"})
     talk = I.mentions(F.col("text"), I.SMALL_TALK)
     for c in ("source", "doc_id"):
@@ -98,11 +111,7 @@ def chat_flow(requests: DataFrame, chunks: DataFrame, vectors: DataFrame, query_
     r = r.withColumn("full_document", F.col("extract") | (F.col("scoped") & (I.mentions(F.col("text"), I.WHOLE_DOCUMENT) | I.small_document(F.col("n_chunks")))))
     found, results = retrieve(r, chunks, vectors, query_vectors, k)
     x = r.join(results.drop("used_full_document"), "query_id")
-    told = found.join(chunks.select("chunk_key", T.without_header(F.coalesce("text", F.lit(""))).alias("said"), "source_type"), "chunk_key")
-    said = told.groupBy("query_id").agg(
-        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("rank", "said"))), lambda c: c["said"]), lambda s: s != ""), "\n\n").alias("all_text"),
-        F.min(F.struct("rank", "source_type"))["source_type"].alias("first_type"))
-    x = x.join(said, "query_id", "left").join(chat.context(found, chunks), "query_id", "left").join(sources(found, chunks), "query_id", "left")
+    x = x.join(told(found, chunks), "query_id", "left")
     x = x.join(web.select("query_id", F.col("results").alias("__web")), "query_id", "left") if web is not None else x.withColumn("__web", F.lit(None).cast("string"))
     searched = F.when(R.some(F.col("source")).isNull() & I.mentions(F.col("text"), I.WEB), F.col("__web"))
     no = F.col("scoped") & ~F.col("full_document") & I.rejected(F.col("n_docs"), F.col("confidence"), F.col("strong"), I.threshold(F.col("n_docs"), F.col("first_type")))
