@@ -79,6 +79,13 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", h
     return most.join(F.broadcast(hot), key, "left_semi").unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
 
 
+def fetched(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", limit: int = 100_000) -> DataFrame:
+    """rows joined on key with a written table of one short row a key: broadcast where it has at most ``limit`` rows, else ``looked_up``."""
+    if table.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(table), key, how)
+    return looked_up(rows, table, key, how)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once however often the body names it, whatever the optimizer merges."""
     return F.transform(F.array(value), body)[0]

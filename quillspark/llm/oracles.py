@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import mixing, quality
+from quillspark.llm import mixing, quality, urls
 from quillspark.llm.common import PRIME
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x != '')"
@@ -78,4 +78,62 @@ m as (select *, max(page_id) over (partition by payload_digest) as last from p)
 select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type, case when payload_bytes >= 1000 and page_id < last then last end as refers_to from m
 """
 
-ORACLES: dict[str, str] = {"op2_neardup": _near(2), "op6_substrings": _SUBSTRINGS, "op7_mixing": _MIXING, "op9_quality": _QUALITY, "op10_warc": _WARC}
+def _shrunk(source: str, mean: str, name: str) -> str:
+    """The groups of a table (n, bad, the prior's mean), with the posterior mean and the prior's weight."""
+    share = f"sum((bad - n * {mean}) * (bad - n * {mean}) - n * {mean} * (1 - {mean})) / nullif(sum(n * (n - 1) * {mean} * (1 - {mean})), 0)"
+    weight = f"select round(coalesce(case when s is null then {urls.UNKNOWN} when s <= {1 / (1 + urls.MOST)!r} then {urls.MOST} else greatest({urls.LEAST}, 1 / s - 1) end, {urls.UNKNOWN}), 6) as k from (select {share} as s from {source})"
+    return f"select g.*, k as {name}_weight, round((bad + k * {mean}) / (n + k), 9) as {name} from {source} g, ({weight})"
+
+
+def _urls() -> str:
+    fits = [(v, r, *r.partition("/")) for v, r in urls.RULES]
+    rules = ", ".join(f"('{v}', '{r}', '{h}', '{s}{p}', {len(r)})" for v, r, h, s, p in fits)
+    two = ", ".join(f"'{s}'" for s in urls.SUFFIXES)
+    return rf"""
+with u as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{urls.LOWER[0]}', '{urls.LOWER[1]}') as host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+l as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 when quality is not null and toxic is not null then 0 end) as bad from labels group by doc_id),
+p as (select u.*, l.bad from u left join l on page_id = doc_id),
+c as (select host, cast(count(bad) as bigint) as n, cast(coalesce(sum(bad), 0) as bigint) as bad from p group by host),
+b as (select *, regexp_replace(host, '^.*@|:[0-9]*$|\.+$', '', 'g') as bare, string_split(regexp_replace(host, '^.*@|:[0-9]*$|\.+$', '', 'g'), '.') as a from c),
+h0 as (select host, n, bad, case when regexp_full_match(bare, '[0-9.]+') then bare when array_to_string(a[-2:], '.') in ({two}) then array_to_string(a[-3:], '.') else array_to_string(a[-2:], '.') end as domain,
+  case when regexp_full_match(bare, '[0-9.]+') then bare when array_to_string(a[-2:], '.') in ({two}) then array_to_string(a[-2:], '.') else a[-1] end as suffix from b),
+d0 as (select domain, suffix, sum(n) as n, sum(bad) as bad from h0 group by all),
+s0 as (select suffix, sum(n) as n, sum(bad) as bad from d0 group by all),
+s1 as (select s0.*, (select round((coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2), 9) from s0) as all_rate from s0),
+s2 as ({_shrunk("s1", "all_rate", "suffix_rate")}),
+d1 as (select d0.*, suffix_rate from d0 join (select suffix, suffix_rate from s2) using (suffix)),
+d2 as ({_shrunk("d1", "suffix_rate", "domain_rate")}),
+h1 as (select h0.*, domain_rate from h0 join (select domain, domain_rate from d2) using (domain)),
+h2 as ({_shrunk("h1", "domain_rate", "bad_rate")}),
+h3 as (select host, n as n_labelled, bad as n_bad, round(bad_rate, 6) as bad_rate, round(bad_rate - {urls.Z} * sqrt(bad_rate * (1 - bad_rate) / (n + bad_rate_weight + 1)), 6) as bound from h2),
+r(verdict, rule, host, path, size) as (values {rules}),
+f as (select k.host, k.path, arg_max(r.rule, size) as rule, arg_max(r.verdict, size) as verdict from (select distinct host, path from p) k join r on (k.host = r.host or ends_with(k.host, '.' || r.host)) and starts_with(k.path, r.path) group by all)
+select page_id, p.host, p.path, f.rule, coalesce(f.verdict, case when bound > {urls.MAX_BAD} then 'block' else 'allow' end) as verdict, n_labelled, n_bad, h3.bad_rate, bound
+from p join h3 using (host) left join f on p.host = f.host and p.path = f.path
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    step = "xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end)"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: cast(ascii(x) as bigint)), lambda c, x: list_reduce(range(8), lambda a, i: {step}, xor(c, x)), 4294967295::bigint), 4294967295)"
+
+
+_TRIE = f"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as base, {_crc32("cast(conv_id as varchar)")} % 9 as h from (select distinct conv_id from t)),
+r as (select c.conv_id, 0 as own, i, role, text from c join t on t.conv_id = c.base and i <= h union all select c.conv_id, 1, i, role, text from c join t using (conv_id) where i > h),
+p as (select conv_id, row_number() over (partition by conv_id order by own, i) as d, md5(length(role) || ':' || role || text) as k, octet_length(encode(text)) as bytes from r),
+w as (select conv_id, d, bytes, string_agg(k, '') over (partition by conv_id order by d) as path from p union all select conv_id, 0, 0, '' from c),
+l as (select conv_id, max(d) as len from w group by conv_id),
+n as (select path, d as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes from w group by all),
+e as (select path, sha256(string_agg(cast(w.conv_id as varchar), ',' order by w.conv_id)) as ends from w join l on w.conv_id = l.conv_id and d = len group by path),
+k as (select path[:32 * (depth - 1)] as up, count(*) as n_children from n where depth > 0 group by up),
+z as (select n.*, coalesce(n_children, 0) as n_children from n left join k on n.path = k.up),
+s as (select a, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * bytes) as saved from (select z.*, unnest(list_transform(range(0, depth + 1), lambda j: path[:32 * j])) as a from z) group by a)
+select z.conv_id, cast(z.depth as bigint) as depth, q.conv_id as parent_conv_id, n_convs, cast(z.n_children as bigint) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+from z join s on z.path = s.a left join e on z.path = e.path left join (select path as up, depth + 1 as depth, conv_id from n) q on q.depth = z.depth and q.up = z.path[:32 * (z.depth - 1)]
+"""
+
+
+ORACLES: dict[str, str] = {"op2_neardup": _near(2), "op6_substrings": _SUBSTRINGS, "op7_mixing": _MIXING, "op9_quality": _QUALITY, "op10_warc": _WARC, "op11_urls": _urls(), "op12_trie": _TRIE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat, fingerprints, licenses, mixing, neardup, packing, pii, quality, substrings, warc
+from quillspark.llm import chat, fingerprints, licenses, mixing, neardup, packing, pii, quality, structure, substrings, trie, urls, warc
 from quillspark.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -16,6 +16,10 @@ def over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
     return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), urls.outcomes(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     return quality.judge(docs)
 
@@ -31,4 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": over("documents", licenses.report),
     "op9_quality": over("documents", quality_rules),
     "op10_warc": over("pages", warc.report),
+    "op11_urls": url_filters,
+    "op12_trie": over("conversations", trie.report),
+    "op13_structure": over("conversations", structure.report),
 }
