@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import chunking, registry
 from quillspark.operators.flow import place
+from quillspark.sources import keyword_index, snapshots
 
 
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -23,6 +24,28 @@ def add_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("append").partitionBy("source_type").parquet(path)
 
 
+def register(spark: SparkSession, root: str, entries: DataFrame) -> int:
+    """Upserts entries into the stored registry at root as its next version, again on top of another writer's if that came first. Sent twice, entries change nothing but the version."""
+    kind = {f.name: f.dataType.simpleString() for f in entries.schema}
+    schema = ", ".join(f"{c} {k}" for c, k in (kind | {"created_at": kind["updated_at"], "uploaded_at": kind["updated_at"]}).items())
+    return snapshots.save(spark, root, lambda old: registry.upsert(old, entries), schema)
+
+
+def registered(spark: SparkSession, root: str, schema: str = "doc_id string") -> DataFrame:
+    """The newest version of the stored registry, or an empty table."""
+    return snapshots.load(spark, root, schema)
+
+
+def ingest_batch(chunks: DataFrame, entries: DataFrame, root: str, batch: str) -> bool:
+    """Adds a batch's chunks (with ``chunk_key``) to the index and its entries to the registry, both below root; false if the store had the batch.
+
+    The chunks' version names the batch, so that a repeated one adds nothing; the registry comes second and is upserted also then, as the run before may have died between the two.
+    """
+    added = keyword_index.append(chunks, f"{root}/chunks", batch)
+    register(chunks.sparkSession, f"{root}/registry", entries)
+    return added
+
+
 def entry(entries: DataFrame, doc_id: str) -> DataFrame:
     return entries.where(F.col("doc_id") == doc_id)
 
