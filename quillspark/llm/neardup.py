@@ -81,8 +81,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         return mix((least.reshape(-1, BANDS, ROWS) * FACTORS).sum(2, dtype=np.uint64))
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), bands (packed keys)."""
+def signatures(docs: DataFrame, n: int, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if empty), bands (packed keys), and ``__row`` from a column of longs, if one is named."""
+    names, kinds = ["doc_id", "n_shingles", "digest", "bands"], "doc_id long, n_shingles long, digest binary, bands binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,9 +93,11 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys = dict(zip(some, (k.tobytes() for k in sketch([sets[i] for i in some])), strict=True)) if some else {}
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([keys.get(i) for i in range(len(sets))], pa.binary())], ["doc_id", "n_shingles", "digest", "bands"])
+                rows = [c.slice(first, last - first) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([keys.get(i) for i in range(len(sets))], pa.binary()), *rows], [*names, *["__row"] * len(rows)])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("__text")).mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands binary")
+    along = [docs[row].cast("long").alias("__row")] if row else []
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("__text"), *along).mapInArrow(work, kinds + ", __row long" * len(along))
 
 
 def unpacked(column: pa.Array, kind: type) -> np.ndarray:
@@ -249,12 +252,13 @@ def unsettled(met: DataFrame, comps: DataFrame) -> DataFrame:
     """(node, comp) of all members of buckets that hold several components, and some more.
 
     The star edges of a bucket connect its members by way of the centres of the tasks' own stars. If the bucket holds several components, one
-    of these edges joins two; all its members are within two further edges of that one's ends.
+    of these edges joins two. From the ends of one, (centre of a task, member) say, the way to any other member is at longest by the bucket's first centre, another
+    task's centre and to the member: three further edges.
     """
     ends = lambda e: e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     both = written(met.select("a", "b").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     near = written(ends(apart(met.select("a", "b"), comps)))
-    for _ in range(2):
+    for _ in range(3):
         near = written(near.unionByName(both.join(small(near.withColumnRenamed("node", "a"), BROADCAST_ROWS), "a", "left_semi").select(F.col("b").alias("node"))).distinct())
     return written(near.join(small(comps, BROADCAST_ROWS), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
 
@@ -301,9 +305,9 @@ def repeated(signed: DataFrame, first: DataFrame) -> DataFrame:
     return rows.where(F.col("doc_id") != F.col("__rep")).select(F.col("__rep").alias("a"), F.col("doc_id").alias("b"))
 
 
-def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest, component_id, kept for every row of docs."""
-    signed = written(signatures(docs, n))
+def link(docs: DataFrame, n: int, percent: int = PERCENT, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, digest, component_id, kept for every row of docs, and ``__row`` from the column ``row``."""
+    signed = written(signatures(docs, n, row))
     first = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("__rep"), F.count(F.lit(1)).alias("__times"))
     first = written(first)
     nodes = signed.join(first.select("digest", F.col("__rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "bands")
@@ -329,7 +333,7 @@ def link(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     blank = blank.join(small(comps, BROADCAST_ROWS), blank["doc_id"] == F.col("__node"), "left").select(*signed.columns, F.col("comp").alias("__comp"))
     x = x.select(*blank.columns).unionByName(blank)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("__comp", "doc_id"))
-    return x.select("doc_id", "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return x.select("doc_id", "n_shingles", "digest", *(["__row"] if row else []), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def report(docs: DataFrame, n: int = 2) -> DataFrame:

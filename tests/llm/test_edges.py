@@ -394,3 +394,32 @@ def test_quality_of_a_very_long_text(spark):
     text = " ".join(f"w{i}" for i in range(300_000))
     got = quality.judge(spark.createDataFrame([(1, text), (2, text + " w0 w1 w2")], "doc_id long, text string").withColumn("lang", F.lit("en"))).collect()
     assert {r["doc_id"]: r["n_repeat_words"] for r in got} == {1: 0, 2: 6}
+
+
+def test_neardup_is_the_same_however_the_rows_are_split(spark):
+    """900 is linked with 901 alone, and stands in another part than it and the bucket's first members: three edges away from where components meet."""
+    r = random.Random(77)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(words, places, tag):
+        w = list(words)
+        for k in places:
+            w[k] = f"{tag}{k}"
+        return w
+
+    parts = [[(100 * p + i, changed(base, [r.randrange(100, 200)], f"v{p}-{i}-")) for i in range(25)] for p in range(3)]
+    near = changed(base, range(5, 45, 5), "y")  # 901: eight words apart from all
+    far = changed(near, range(50, 150, 10), "z")  # 900: ten more
+    parts[1].append((900, far))
+    parts[2].append((901, near))
+    rows = [x for p in parts for x in p]
+    sets = {i: {" ".join(w[k : k + 2]) for k in range(len(w) - 1)} for i, w in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert alike(900, 901) and alike(0, 901) and sum(alike(900, i) for i in sets) == 2
+    for split in ([rows], [parts[0] + parts[1], parts[2]], parts, [rows[k::8] for k in range(8)], [parts[2], parts[1], parts[0]]):
+        docs = None
+        for some in split:
+            one = spark.createDataFrame([(i, " ".join(w)) for i, w in some], "doc_id long, text string").coalesce(1)
+            docs = one if docs is None else docs.unionByName(one)
+        assert docs.rdd.getNumPartitions() == len(split)
+        assert {x["component_id"] for x in neardup.report(docs).collect()} == {0}
