@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quillspark.llm import mixing, neardup, packing, pii, quality
 from quillspark.llm.common import small, written
@@ -21,11 +20,6 @@ IDS = 100_000
 ORACLE_SQL = None
 
 
-def matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among ids (one column, ``__id``); null is an id too."""
-    return docs.join(small(ids, IDS), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence from their language's reference let pass."""
     return quality.judge(docs, whole=True).where("kept").select("__row.*")
@@ -33,13 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at five-word shingles and 0.8 the document with the least doc_id."""
-    linked = neardup.link(docs, 5)
-    ids = written(linked.where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__id")))
-    kept = matching(docs, ids.distinct())
-    if ids.where(F.col("__id").isNotNull()).groupBy("__id").count().where("count > 1").limit(1).count():
-        again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        kept = kept.where(F.col("doc_id").isNull()).unionByName(kept.where(F.col("doc_id").isNotNull()).withColumn("__again", again).where("__again = 1").drop("__again"))
-    return kept
+    x = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    linked = neardup.link(x, 5, row="__row").where(F.col("kept") | F.col("doc_id").isNull())
+    rows = written(linked.select(F.col("doc_id").alias("__id"), "__row"))
+    again = written(rows.where(F.col("__id").isNotNull()).groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"))
+    rows = small(rows.join(small(again, IDS), "__id", "left_anti").select("__row"), IDS)
+    kept = x.join(rows, "__row", "left_semi")
+    if again.limit(1).count():
+        least = x.join(small(again, IDS), x["doc_id"] == F.col("__id")).groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "text", "__row"))["__row"].alias("__row"))
+        kept = kept.unionByName(x.join(small(written(least.select("__row")), IDS), "__row", "left_semi"))
+    return kept.select(*docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
