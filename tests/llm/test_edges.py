@@ -417,9 +417,12 @@ def test_neardup_is_the_same_however_the_rows_are_split(spark):
     alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     assert alike(900, 901) and alike(0, 901) and sum(alike(900, i) for i in sets) == 2
     for split in ([rows], [parts[0] + parts[1], parts[2]], parts, [rows[k::8] for k in range(8)], [parts[2], parts[1], parts[0]]):
-        docs = None
-        for some in split:
-            one = spark.createDataFrame([(i, " ".join(w)) for i, w in some], "doc_id long, text string").coalesce(1)
-            docs = one if docs is None else docs.unionByName(one)
-        assert docs.rdd.getNumPartitions() == len(split)
+        rows_of = [(p, i, " ".join(w)) for p, some in enumerate(split) for i, w in some]
+        docs = common.written(spark.createDataFrame(rows_of, "part int, doc_id long, text string").repartitionById(len(split), F.col("part")))
         assert {x["component_id"] for x in neardup.report(docs).collect()} == {0}
+
+
+def test_all_members_of_a_mixed_bucket_are_unsettled(spark):
+    met = spark.createDataFrame([(0, 1), (0, 2), (1, 10), (2, 20)], "a long, b long")
+    comps = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (20, 0)], "node long, comp long")
+    assert {(x["node"], x["comp"]) for x in neardup.unsettled(met, comps).collect()} == {(0, 0), (1, 0), (2, 0), (10, 10), (20, 0)}
