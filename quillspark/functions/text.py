@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 TOKEN = r"[A-Za-z0-9._-]+|[가-힣]+"
 #: Fixed value: characters that count as readable.
 READABLE = r"A-Za-z0-9\uAC00-\uD7AF\u1100-\u11FF\u3130-\u318F.,:;!?()\[\]{}%/\-_=+\'\"@#&*"
+#: White space as texts have it, no-break and wide spaces among it: the characters, and as a class of Java's and RE2's patterns.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACES = r"[\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 MIN_CHARS, HYBRID_CHARS, GARBLED = 80, 150, 0.35
 #: Confidence by extraction method, and for any other.
 METHOD_CONFIDENCE, OTHER_CONFIDENCE = {"marker_pdf": 0.95, "text": 0.92, "vlm": 0.78, "ocr": 0.72, "ocr_image": 0.72}, 0.70
@@ -19,16 +22,16 @@ def tokens(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.btrim(text, F.lit(WHITE))
 
 
 def real_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s+", ""))
+    return F.length(F.regexp_replace(text, SPACES + "+", ""))
 
 
 def garble(text: Column) -> Column:
     """Share of non-space characters that are not readable; 1 for blank text."""
-    bare = F.regexp_replace(text, r"\s+", "")
+    bare = F.regexp_replace(text, SPACES + "+", "")
     readable = F.length(F.regexp_replace(bare, f"[^{READABLE}]+", ""))
     return F.when(F.length(bare) == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - readable / F.length(bare)))
 
@@ -70,7 +73,7 @@ def candidate_score(method: Column, hint: Column, chars: Column, gibberish: Colu
 
 
 def normalized(text: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return strip(F.regexp_replace(F.lower(text), SPACES + "+", " "))
 
 
 def keyword_count(text: Column, keyword: Column) -> Column:

@@ -59,7 +59,7 @@ def point_recall(answer: Column, points: Column) -> Column:
 
 def source_recall(found: Column, expected: Column) -> Column:
     """As point_recall, of expected (source, page) among those found; a null page is any page."""
-    hit = lambda e: F.exists(F.coalesce(found, F.array().cast("array<struct<source:string,page:int>>")), lambda f: F.coalesce((f["source"] == e["source"]) & (e["page"].isNull() | (f["page"] == e["page"])), F.lit(False)))
+    hit = lambda e: F.exists(F.coalesce(found, F.array().cast("array<struct<source:string,page:int>>")), lambda f: F.coalesce(f["source"].eqNullSafe(e["source"]) & (e["page"].isNull() | (f["page"] == e["page"])), F.lit(False)))
     expected = F.coalesce(expected, F.array().cast("array<struct<source:string,page:int>>"))
     return _recall(expected, F.filter(expected, hit), F.filter(expected, lambda e: ~hit(e)))
 

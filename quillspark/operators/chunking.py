@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import context_header, strip
+from quillspark.functions.text import SPACES, context_header, strip
 
 SIZE, OVERLAP, TABLE_CHARS = 1200, 150, 50
 #: Fixed values.
-HEADING = r"(?md)^(#{1,4})\s+(.+)$"
-TABLE_ROW = r"(?md)^[|].*[|]\s*\n?"
+HEADING = rf"(?md)^(#{{1,4}}){SPACES}+(.+)$"
+TABLE_ROW = rf"(?md)^[|].*[|]{SPACES}*\n?"
 SEPARATORS = ["\n\n", "\n", "다. ", "요. ", "다.\n", "요.\n", ". ", "? ", "! ", " ", ""]
 LEVELS = 4
 MARKS = "\x01\x02\x03\x04\x05\x06"
@@ -53,7 +53,7 @@ def tables(text: Column) -> Column:
 
 def grouped(text: Column, size: int = SIZE) -> Column:
     """Paragraphs joined while their lengths together stay within size."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, rf"\n{SPACES}*\n"), strip), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -98,7 +98,8 @@ def split(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: list[
 
 
 def pieces(pages: DataFrame, text: str = "text") -> DataFrame:
-    """The pages with ``section``, ``breadcrumb``, ``chunk_type``, ``piece`` and its ``place``, before long pieces are split; a section without text gives none."""
+    """The pages with ``section``, ``breadcrumb``, ``chunk_type``, ``piece`` and its ``place``, before long pieces are split; a section without text gives none. Pages without headings have their ``section_title``, if pages have that column, as section."""
+    given = F.coalesce(F.col("section_title").cast("string"), F.lit("")) if "section_title" in pages.columns else F.lit("")
     x = pages.withColumn("__t", F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), MARKS, ""))
     x = x.withColumn("__headed", F.col("__t").rlike(HEADING)).select("*", F.posexplode(F.when(F.col("__headed"), F.transform(sections(F.col("__t")), lambda s: F.struct(s["title"].alias("title"), s["breadcrumb"].alias("breadcrumb"), strip(s["body"]).alias("body")))).otherwise(sections(F.col("__t")))).alias("__s", "__section"))
     x = x.where(strip(F.col("__section.body")) != "").withColumn("__tables", tables(F.col("__section.body")))
@@ -107,24 +108,29 @@ def pieces(pages: DataFrame, text: str = "text") -> DataFrame:
     whole = F.when(F.col("__headed"), "section").otherwise("page")
     rest = F.when(strip(left) == "", F.array().cast("array<struct<chunk_type:string,piece:string>>")).when(F.length(left) <= SIZE, typed(F.array(left), whole)).otherwise(typed(grouped(left), F.lit("paragraph")))
     x = x.select("*", F.posexplode(F.concat(typed(F.col("__tables.found"), F.lit("table")), rest)).alias("__k", "__piece"))
-    return x.select(*pages.columns, F.col("__section.title").alias("section"), F.col("__section.breadcrumb").alias("breadcrumb"), "__piece.chunk_type", "__piece.piece", F.struct("__s", "__k").alias("place"))
+    return x.select(*pages.columns, F.when(F.col("__headed"), F.col("__section.title")).otherwise(given).alias("section"), F.col("__section.breadcrumb").alias("breadcrumb"), "__piece.chunk_type", "__piece.piece", F.struct("__s", "__k").alias("place"))
 
 
-def chunk(pages: DataFrame, page: str | None = None) -> DataFrame:
-    """doc_id, page, chunk_index (from 0, running on over a document's pages), chunk_id, chunk_chars, section, breadcrumb, chunk_type, text. Null text is empty and gives no chunks; without a page column each row is page 1. Ids follow from document, page and number, so that reruns agree."""
+#: Columns that a chunk has of its own; all others of its page may go along.
+OWN = ("doc_id", "page", "chunk_index", "chunk_id", "chunk_chars", "section", "breadcrumb", "chunk_type", "text")
+
+
+def chunk(pages: DataFrame, page: str | None = None, along: list[str] = ()) -> DataFrame:
+    """doc_id, page, chunk_index (from 0, running on over a document's pages), chunk_id, chunk_chars, section, breadcrumb, chunk_type, text, and the page's columns ``along``. Ids of documents keep their type. Null text is empty and gives no chunks; without a page column each row is page 1. Ids follow from document, page and number, so that reruns agree."""
 
     @F.pandas_udf("array<string>")
     def shorter(long: pd.Series) -> pd.Series:
         return long.map(lambda t: None if t is None else split(t))
 
     number = pages[page].cast("long") if page else F.lit(1).cast("long")
-    x = pieces(pages.select(pages["doc_id"].cast("long").alias("doc_id"), number.alias("page"), pages["text"].alias("text")))
+    kept = [pages[c] for c in dict.fromkeys((*along, *[c for c in ("section_title",) if c in pages.columns]))]
+    x = pieces(pages.select(pages["doc_id"], number.alias("page"), pages["text"].alias("text"), *kept))
     long = F.when(F.length("piece") > SIZE, F.col("piece"))
-    x = x.select("doc_id", "page", "section", "breadcrumb", "chunk_type", "place", F.posexplode(F.coalesce(shorter(long), F.array("piece"))).alias("__part", "text"))
+    x = x.select("doc_id", "page", "section", "breadcrumb", "chunk_type", "place", *along, F.posexplode(F.coalesce(shorter(long), F.array("piece"))).alias("__part", "text"))
     w = Window.partitionBy("doc_id").orderBy("page", "place", "__part", "text")
     x = x.withColumn("chunk_index", F.row_number().over(w) - 1)
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("page").cast("string"), F.lit("-")), "chunk_index"), 256)
-    return x.select("doc_id", "page", "chunk_index", F.substring(key, 1, 32).alias("chunk_id"), F.length("text").alias("chunk_chars"), "section", "breadcrumb", "chunk_type", "text")
+    return x.select("doc_id", "page", "chunk_index", F.substring(key, 1, 32).alias("chunk_id"), F.length("text").alias("chunk_chars"), "section", "breadcrumb", "chunk_type", "text", *along)
 
 
 def enriched(chunks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import intents as I
+from quillspark.functions.text import strip
 from quillspark.operators import chat, flow, registry
 
 #: Fixed value: fields that each row has.
@@ -20,7 +21,7 @@ def chosen(items: DataFrame, ids: list[str] | None = None, limit: int = 0) -> Da
 
 def parsed(lines: DataFrame) -> DataFrame:
     """(_line_no, fields): raw JSON text of each field of each line (_line_no, line) that is not blank; null where the line is no JSON object."""
-    x = lines.where(F.trim("line") != "")
+    x = lines.where(strip(F.col("line")) != "")
     good = F.expr("try_parse_json(line)").isNotNull() & F.col("line").rlike(r"(?s)^\s*\{")
     names = F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>"))
     return x.select("_line_no", "line", F.when(good, names).alias("names"))
@@ -32,7 +33,7 @@ def problems(lines: DataFrame) -> DataFrame:
     raw = lambda f: F.get_json_object("line", f"$.{f}")
     kind = lambda f: F.expr(f"schema_of_variant(try_variant_get(try_parse_json(line), '$.{f}', 'variant'))")
     has = lambda f: F.array_contains("names", f)
-    text = lambda f: F.trim(F.coalesce(raw(f), F.lit("None")))
+    text = lambda f: strip(F.coalesce(raw(f), F.lit("None")))
     say = lambda when, what: F.when(when, what)
     missing = F.array_except(F.array(*map(F.lit, REQUIRED)), F.col("names"))
     ident = F.when(has("id"), text("id"))
@@ -50,7 +51,7 @@ def problems(lines: DataFrame) -> DataFrame:
 
 def value_counts(items: DataFrame, name: str) -> DataFrame:
     """(value, n): rows for each value, stripped; null and blank ones are ``unknown``."""
-    v = F.trim(F.coalesce(F.col(name).cast("string"), F.lit("unknown")))
+    v = strip(F.coalesce(F.col(name).cast("string"), F.lit("unknown")))
     return items.groupBy(F.when(v == "", "unknown").otherwise(v).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 

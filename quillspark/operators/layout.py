@@ -20,7 +20,7 @@ TEXT_MARGIN = 18.0
 
 def squeezed(text: Column) -> Column:
     """Spaces inside lines become one, lines are stripped, at most one blank line in a row stays."""
-    lines = F.transform(F.split(text, LINE_END), lambda s: T.strip(F.regexp_replace(s, r"\s+", " ")))
+    lines = F.transform(F.split(text, LINE_END), lambda s: T.strip(F.regexp_replace(s, T.SPACES + "+", " ")))
     return T.strip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
@@ -35,7 +35,7 @@ def is_heading(text: Column, n_lines: Column, top: Column, page_average: Column,
 
 def block_type(text: Column, heading: Column) -> Column:
     t = T.strip(text)
-    return F.when(t == "", "empty").when(heading, "heading").when(t.rlike(r"\A([-*•]|[0-9]+[.)])\s+"), "list").when((F.length(t) - F.length(F.replace(t, F.lit("\n"))) >= 3) & t.rlike(r"\S\s{3,}\S"), "table").otherwise("paragraph")
+    return F.when(t == "", "empty").when(heading, "heading").when(t.rlike(rf"\A([-*•]|[0-9]+[.)]){T.SPACES}+"), "list").when((F.length(t) - F.length(F.replace(t, F.lit("\n"))) >= 3) & t.rlike(rf"[^{T.SPACES[1:-1]}]{T.SPACES}{{3,}}[^{T.SPACES[1:-1]}]"), "table").otherwise("paragraph")
 
 
 def heading_guesses(text: Column) -> Column:
@@ -47,12 +47,13 @@ def heading_guesses(text: Column) -> Column:
 def analyse(pages: DataFrame) -> DataFrame:
     """Adds n_images, n_texts, n_tables, headings, heading_box (of the first), block_types (sorted, comma-joined), font_average, font_top, kind and text to (doc_id, page, blocks). Blocks are in reading order."""
     spans = lambda b: F.flatten(F.transform(F.coalesce(b["lines"], F.array()), lambda x: x["spans"]))
-    sizes = lambda s: F.transform(s, lambda x: x["size"])
+    sizes = lambda s: F.filter(F.transform(s, lambda x: x["size"]), lambda v: v != 0)  # noqa: E731 - null and 0 say nothing
+    said = lambda b: F.filter(F.transform(b["lines"], lambda line: T.strip(F.array_join(F.transform(line["spans"], lambda s: s["text"]), ""))), lambda s: s != "")
     blocks = F.coalesce("blocks", F.array())
     x = pages.withColumn("n_images", F.size(F.filter(blocks, lambda b: b["type"] == 1)))
     x = x.withColumn("__text", F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == 0), lambda b: F.struct(
-        squeezed(F.array_join(F.transform(b["lines"], lambda line: F.array_join(F.transform(line["spans"], lambda s: s["text"]), "")), "\n")).alias("text"),
-        F.size(b["lines"]).alias("lines"),
+        squeezed(F.array_join(said(b), "\n")).alias("text"),
+        F.greatest(F.size(said(b)), F.lit(1)).alias("lines"),
         F.coalesce(F.array_max(sizes(spans(b))), F.lit(0.0)).alias("top"),
         T.box(b["bbox"]).alias("box"),
         sizes(spans(b)).alias("sizes"))), lambda b: b["text"] != ""))
@@ -64,7 +65,7 @@ def analyse(pages: DataFrame) -> DataFrame:
     few = F.transform("__is", lambda h, i: h & (i == first))
     x = x.withColumn("__is", F.when((n >= 3) & (many >= F.greatest(F.lit(3), F.floor(0.6 * n))), few).otherwise(F.col("__is")))
     marked = F.transform(F.arrays_zip("__text", "__is"), lambda z: F.concat(F.when(z["__is"], "## ").otherwise(""), z["__text"]["text"]))
-    chars = T.real_chars(F.array_join(F.transform("__text", lambda b: b["text"]), ""))
+    chars = T.real_chars(F.array_join(marked, ""))
     kind = F.when((chars == 0) & (F.col("n_images") > 0), "scanned").when((F.col("n_images") > 0) & (chars < T.HYBRID_CHARS), "hybrid").otherwise("digital")
     headings = F.transform(F.filter(F.arrays_zip("__text", "__is"), lambda z: z["__is"]), lambda z: z["__text"]["text"])
     types = F.transform(F.arrays_zip("__text", "__is"), lambda z: block_type(z["__text"]["text"], z["__is"]))

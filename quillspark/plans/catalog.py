@@ -131,7 +131,7 @@ def confidence(spark, sf_dir):
     return R.confidence(f, R.strong_hit(q, top, chunks(spark, sf_dir))).drop("strong")
 
 
-_BARE = r"regexp_replace(coalesce(text, ''), '\s+', '', 'g')"
+_BARE = f"regexp_replace(coalesce(text, ''), '{T.SPACES}+', '', 'g')"
 _READABLE = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", T.READABLE).replace("'", "''")
 _QUAL = rf"""q as (select doc_id, length({_BARE}) as chars, case when length({_BARE}) = 0 then 1.0::double else round(greatest(0, 1 - length(regexp_replace({_BARE}, '[^{_READABLE}]+', '', 'g')) / length({_BARE})), 3) end as gibberish, 'unknown' as lang from documents)"""
 
@@ -313,7 +313,7 @@ def confidence_gate(spark, sf_dir):
     return x.select("query_id", "confidence", no.alias("rejected"), F.when(no, I.not_found(F.coalesce("text", F.lit("")), nobody, nobody)).alias("answer"))
 
 
-_NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(lower({}), '" + T.SPACES.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g'))"
 
 
 @query(f"""with {_BM25}, x as (select query_id, {_NORM.format("coalesce(d.text, '')")} as said, string_split(b.text, '. ') as points from kw join documents d on doc_id = chunk_key join benchmark b on item_id = query_id where rank = 1),
@@ -407,7 +407,7 @@ a1 as (select *, case when not {_says(I.SMALL_TALK)} then active_source end as s
 a2 as (select a1.*, a1.source is not null or a1.doc_id is not null as scoped, (select count(*) from documents d where (a1.source is not null or a1.doc_id is not null) and (a1.source is null or a1.source = d.source) and (a1.doc_id is null or a1.doc_id = d.doc_id)) as n_chunks from a1),
 a3 as (select *, scoped and n_chunks > 0 and {_says(I.EXTRACTION)} as extract from a2), rq as (select *, extract or (scoped and ({_says(I.WHOLE_DOCUMENT)} or n_chunks between 1 and 3)) as whole from a3)"""
 _MISSING = lambda said, name: f"replace(case when regexp_matches({said}, '[가-힣]') then '{I.NOT_FOUND_KO.replace(chr(39), chr(39) * 2)}' else '{I.NOT_FOUND_EN.replace(chr(39), chr(39) * 2)}' end, '%s', {name})"
-_STRIPPED = "regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')".replace("\\\\", "\\")
+_STRIPPED = f"regexp_replace(coalesce(d.text, ''), '^{T.SPACES}+|{T.SPACES}+$', '', 'g')"
 _CHAT = rf"""{_retrieval(_ASK)},
 cx as (select query_id, string_agg('[Doc: ' || coalesce(nullif(d.source, ''), 'unknown') || ' | Page: 1 | Section:  | Lang: ' || coalesce(nullif(d.lang, ''), 'unknown') || ']' || chr(10) || {_STRIPPED}, chr(10) || chr(10) order by rank) as context, string_agg({_STRIPPED}, chr(10) || chr(10) order by rank) filter ({_STRIPPED} <> '') as said, string_agg(cast(chunk_key as varchar), ',' order by rank) as sources, arg_min(case when d.doc_id % 2 = 1 then 'upload' else 'library' end, rank) as first_type from found join documents d on d.doc_id = chunk_key group by query_id),
 z0 as (select rq.*, res.confidence, res.strong, res.n_docs, context, said, cx.sources, case when rq.source is null and {_says(I.WEB).replace("lower(text)", "lower(rq.text)")} then '- hit: ' || query_id end as web, first_type from rq join res using (query_id) left join cx using (query_id)),

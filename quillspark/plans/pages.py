@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import intents as I
+from quillspark.functions import text as T
 from quillspark.operators import chat, evaluation, flow, layout
 from quillspark.operators import registry as G
 from quillspark.plans.catalog import _BARE, _BM25, _NORM, _READABLE, _RQ, bm25_topk, chunks, passages, query, requests, table
 from quillspark.sources import store
 
-_SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+_SPACE = f"^{T.SPACES}+|{T.SPACES}+$"
 _LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 _END = "다|요)$"
 
@@ -21,7 +22,7 @@ def _strip(x: str) -> str:
 
 
 def _squeezed(x: str) -> str:
-    lines = f"list_transform(string_split_regex({x}, '{_LINE_END}'), lambda s: {_strip(r"regexp_replace(s, '\s+', ' ', 'g')")})"
+    lines = f"list_transform(string_split_regex({x}, '{_LINE_END}'), lambda s: {_strip(f"regexp_replace(s, '{T.SPACES}+', ' ', 'g')")})"
     return _strip(rf"regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
@@ -36,20 +37,23 @@ def _garble(x: str) -> str:
 
 
 def laid_out(spark, sf_dir) -> DataFrame:
-    """Documents as pages: each line a block in a font of its own size, every seventh one an image."""
-    size = lambda s: (10 + F.length(s) % 9).cast("double")
-    block = lambda s, i: F.struct(F.when((F.col("doc_id") + i) % 7 == 6, 1).otherwise(0).alias("type"), F.array(F.lit(0.0)).alias("bbox"), F.array(F.struct(F.array(F.struct(s.alias("text"), size(s).alias("size"))).alias("spans"))).alias("lines"))
+    """Documents as pages: each line a block in a font of its own size (every eleventh unknown, or 0), every seventh one an image, some with blank lines inside."""
+    n = F.col("doc_id")
+    size = lambda s, i: F.when((n + i) % 11 == 3, F.lit(None)).when((n + i) % 11 == 5, 0.0).otherwise((10 + F.length(s) % 9).cast("double"))
+    line = lambda s, z: F.struct(F.array(F.struct(s.alias("text"), z.alias("size"))).alias("spans"))
+    blank = lambda i: F.when((n + i) % 5 == 2, F.array(*[line(F.lit(t), F.lit(None).cast("double")) for t in ("", " ", "\u3000")])).otherwise(F.array())
+    block = lambda s, i: F.struct(F.when((n + i) % 7 == 6, 1).otherwise(0).alias("type"), F.array(F.lit(0.0)).alias("bbox"), F.concat(F.array(line(s, size(s, i))), blank(i)).alias("lines"))
     return table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), block).alias("blocks"))
 
 
-@query(rf"""with s as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda s, i: struct_pack(t := {_strip(r"regexp_replace(s, '\s+', ' ', 'g')")}, size := cast(10 + length(s) % 9 as double), image := (doc_id + i) % 7 = 0)) as s from documents),
+@query(rf"""with s as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda s, i: struct_pack(t := {_strip(f"regexp_replace(s, '{T.SPACES}+', ' ', 'g')")}, size := case (doc_id + i - 1) % 11 when 3 then null when 5 then null else cast(10 + length(s) % 9 as double) end, image := (doc_id + i) % 7 = 0)) as s from documents),
 b as (select doc_id, len(list_filter(s, lambda x: x.image)) as n_images, list_filter(s, lambda x: not x.image and x.t <> '') as b from s),
-f as (select *, coalesce(list_max(list_transform(b, lambda x: x.size)), 0) as top, coalesce(list_sum(list_transform(b, lambda x: x.size)) / nullif(len(b), 0), 0) as avg from b),
+f as (select *, coalesce(list_max(list_transform(b, lambda x: x.size)), 0) as top, coalesce(list_sum(list_transform(b, lambda x: x.size)) / nullif(len(list_filter(b, lambda x: x.size is not null)), 0), 0) as avg from b),
 g as (select *, greatest(avg, 1) as a, greatest(top - greatest(avg, 1), 0) as gap from f),
-h as (select *, list_transform(b, lambda x: length(x.t) <= 120 and not regexp_matches(x.t, '([.?!;:]|{_END}') and not (gap < 0.5 and x.size < 16) and (x.size >= 16 or x.size >= 1.4::double * a or (gap >= 0.8 and x.size >= 1.18::double * a))) as h from g),
+h as (select *, list_transform(b, lambda x: length(x.t) <= 120 and not regexp_matches(x.t, '([.?!;:]|{_END}') and not (gap < 0.5 and coalesce(x.size, 0) < 16) and (coalesce(x.size, 0) >= 16 or coalesce(x.size, 0) >= 1.4::double * a or (gap >= 0.8 and coalesce(x.size, 0) >= 1.18::double * a))) as h from g),
 i as (select *, list_transform(h, lambda y, k: y and (not (len(b) >= 3 and len(list_filter(h, lambda z: z)) >= greatest(3, floor(0.6::double * len(b)))) or k = list_position(h, true))) as one from h),
-j as (select *, list_transform(list_zip(b, one), lambda z: struct_pack(t := z[1].t, h := z[2])) as z, length(regexp_replace(array_to_string(list_transform(b, lambda x: x.t), ''), '\s+', '', 'g')) as chars from i)
-select doc_id, cast(n_images as integer) as n_images, cast(len(b) as integer) as n_texts, array_to_string(list_transform(list_filter(z, lambda x: x.h), lambda x: x.t), ' / ') as headings, array_to_string(list_sort(list_distinct(list_transform(z, lambda x: case when x.h then 'heading' when regexp_matches(x.t, '^([-*•]|[0-9]+[.)])\s+') then 'list' else 'paragraph' end))), ',') as block_types,
+j as (select *, list_transform(list_zip(b, one), lambda z: struct_pack(t := z[1].t, h := z[2])) as z, length(regexp_replace(array_to_string(list_transform(list_zip(b, one), lambda z: case when z[2] then '##' else '' end || z[1].t), ''), '{T.SPACES}+', '', 'g')) as chars from i)
+select doc_id, cast(n_images as integer) as n_images, cast(len(b) as integer) as n_texts, array_to_string(list_transform(list_filter(z, lambda x: x.h), lambda x: x.t), ' / ') as headings, array_to_string(list_sort(list_distinct(list_transform(z, lambda x: case when x.h then 'heading' when regexp_matches(x.t, '^([-*•]|[0-9]+[.)]){T.SPACES}+') then 'list' else 'paragraph' end))), ',') as block_types,
 {_rounded("avg", 2)} as font_average, top as font_top, case when n_images > 0 and chars = 0 then 'scanned' when n_images > 0 and chars < 150 then 'hybrid' else 'digital' end as kind, sha256(array_to_string(list_transform(z, lambda x: case when x.h then '## ' else '' end || x.t), chr(10) || chr(10))) as text_sha256 from j""")
 def page_layout(spark, sf_dir):
     x = layout.analyse(laid_out(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillspark.functions.text import strip
 from quillspark.operators.sizes import small
 
 IMAGES = ("png", "jpg", "jpeg", "webp")
@@ -59,7 +60,7 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     """The rows of JSON-lines files with ``_line_no`` (from 1 in each file, blank lines counted but left out) and ``_corrupt`` (the text of a line that is not JSON of this schema)."""
     fields = spark.createDataFrame([], schema).schema
     parsed = F.from_json("line", fields.add("_corrupt", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return numbered_lines(spark, path).where(F.trim("line") != "").select("_line_no", parsed.alias("r")).select("_line_no", "r.*")
+    return numbered_lines(spark, path).where(strip(F.col("line")) != "").select("_line_no", parsed.alias("r")).select("_line_no", "r.*")
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:

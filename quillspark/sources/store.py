@@ -62,15 +62,13 @@ def by_place(chunks: DataFrame) -> DataFrame:
 
 
 def ingest(pages: DataFrame, source_type: Column, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(chunks, entries) of pages (doc_id, page, source, text, language, ...): annotated, chunked, enriched and counted. Pages without text give no chunks, and a document without chunks no entry."""
+    """(chunks, entries) of pages (doc_id, page, source, text, language, ...): annotated, chunked, enriched and counted. What else a page says of itself (source_path, page_total, extraction_method, page_kind, headings, layout, ...) its chunks have too. Pages without text give no chunks, and a document without chunks no entry."""
     p = registry.annotated(pages, source_type)
-    about = p.groupBy("doc_id").agg(F.min(F.struct("page", "source", "source_type", "doc_scope")).alias("f")).select("doc_id", "f.source", "f.source_type", "f.doc_scope")
-    lang = p.select("doc_id", F.col("page").cast("long").alias("page"), F.col("language").alias("lang")).dropDuplicates(["doc_id", "page"])
-    key = F.xxhash64("doc_id")
-    pieces = chunking.chunk(p.select(key.alias("doc_id"), "page", "text"), "page").withColumnRenamed("doc_id", "__key")
-    chunks = pieces.join(about.withColumn("__key", key), "__key").drop("__key").join(lang, ["doc_id", "page"], "left")
+    p = p.withColumn("lang", F.col("language")) if "lang" not in p.columns else p
+    along = [c for c in p.columns if c not in chunking.OWN]
+    chunks = chunking.chunk(p, "page", along)
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    return chunking.enriched(chunks), registry.entries(p, counts, now).where("chunk_count > 0")
+    return chunking.enriched(chunks.withColumn("chunk_key", F.col("chunk_id"))), registry.entries(p, counts, now).where("chunk_count > 0")
 
 
 def write_summary(summary: DataFrame, path: str, mode: str, benchmark: str, results: str) -> None:

@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import intents as I
-from quillspark.operators import chat, chunking, evaluation, layout
+from quillspark.functions import text as T
+from quillspark.operators import chat, chunking, evaluation, flow, layout
 from quillspark.operators import registry as G
 from quillspark.sources import files, store
 from quillspark.streaming import watcher
@@ -411,3 +412,48 @@ def test_pages_into_the_stored_tables(spark, tmp_path):
     store.write_summary(chat.summary(spark.createDataFrame([], "category string, resolved boolean, should_answer boolean, answer_recall double, source_recall double, refused boolean")), str(tmp_path / "s"), "both", "b", "r")
     assert spark.read.json(str(tmp_path / "s")).first()["mode"] == "both"
     assert spark.range(1).select(files.source_type(F.lit("/lib/a"), "/lib", "/up"), files.source_type(F.lit("/up/a"), "/lib/", "/up/"), files.source_type(F.lit("/upper/a"), "/lib", "/up"), chat.whole_document(F.lit("summary"), F.lit(None)), chat.whole_document(F.lit("x"), F.lit(True)), chat.whole_document(F.lit("x"), F.lit(None))).first()[:] == ("library", "upload", "external", True, True, False)
+
+
+def test_white_space_beyond_ascii(spark):
+    """No-break and wide spaces, separators: white space for all text rules."""
+    t = "a\u00a0b\u3000\u001c\u2003c\u0085"
+    rows = spark.createDataFrame([(t,)], "t string")
+    c = rows["t"]
+    assert rows.select(T.real_chars(c), T.gibberish_ratio(c), T.normalized(c), T.strip(F.lit("\u3000\u00a0 x \u2028")), layout.squeezed(c)).first()[:] == (3, 0.0, "a b c", "x", "a b\nc")
+    lines = spark.createDataFrame([(1, "\t"), (2, "\u3000"), (3, "{")], "_line_no int, line string")
+    assert [(r["_line_no"], r["error"]) for r in evaluation.problems(lines).collect()] == [(3, "invalid JSON")]
+
+
+def test_layout_counts_lines_with_text_and_known_sizes(spark):
+    """Blank lines are no lines, sizes that are null or 0 say nothing, and heading marks count as characters of the page."""
+    line = lambda *spans: {"spans": [{"text": t, "size": s} for t, s in spans]}
+    block = lambda *lines, type=0: {"type": type, "bbox": [0.0], "lines": list(lines)}
+    big = block(line(("Big", 20.0)), line((" ", 20.0)), line(("Title", 20.0)), line(("Here", None)))
+    pages = [
+        (1, [big, block(line(("body text of the page.", 10.0)), line(("", 0.0)), line(("more", None)))]),
+        (2, [block(type=1), block(line(("Heading A", 30.0))), block(line(("x" * 140 + ".", 0.0)))]),
+        (3, [block(line(("a", 10.0)), line(("\u3000", 10.0)), line(("b.", 20.0)))]),
+    ]
+    kind = "doc_id int, blocks array<struct<type:int,bbox:array<double>,lines:array<struct<spans:array<struct<text:string,size:double>>>>>>"
+    got = {r["doc_id"]: r for r in layout.analyse(spark.createDataFrame(pages, kind)).collect()}
+    assert got[1]["text"] == "## Big\nTitle\nHere\n\nbody text of the page.\nmore" and got[1]["font_average"] == 17.5
+    assert got[2]["font_average"] == 30.0 and got[2]["kind"] == "digital"  # 2 + 8 + 141 characters
+    assert got[3]["text"] == "a\nb." and got[3]["font_average"] == 13.33
+
+
+def test_page_metadata_reaches_the_sources(spark):
+    pages = spark.createDataFrame([("stem-0123456789ab", 1, "a.pdf", "/lib/a.pdf", 2, "text", "digital", "", "# T\nfirst page", "en"), ("stem-0123456789ab", 2, "a.pdf", "/lib/a.pdf", 2, "ocr", "scanned", "Guessed", "second page", "en")],
+        "doc_id string, page int, source string, source_path string, page_total int, extraction_method string, page_kind string, section_title string, text string, language string")
+    chunks, entries = store.ingest(pages, F.lit("library"), F.lit("now"))
+    rows = chunks.orderBy("chunk_index").collect()
+    assert [(r["section"], r["page_total"], r["page_kind"]) for r in rows] == [("T", 2, "digital"), ("Guessed", 2, "scanned")] and "Section: Guessed" in rows[1]["text"]
+    found = chunks.select(F.lit(1).alias("query_id"), "chunk_key", (F.col("chunk_index") + 1).alias("rank"))
+    said = flow.sources(found, chunks).first()["sources"]
+    assert [tuple(s)[1:] for s in said] == [("stem-0123456789ab", "a.pdf", "library", "/lib/a.pdf", "1", "T", "0", "section", "text"), ("stem-0123456789ab", "a.pdf", "library", "/lib/a.pdf", "2", "Guessed", "1", "page", "ocr")]
+    assert entries.first()["page_total"] == 2
+
+
+def test_a_null_source_that_was_expected_is_a_hit(spark):
+    kind = "array<struct<source:string,page:int>>"
+    x = spark.createDataFrame([([(None, 1)], [(None, 1), ("a", 1)])], f"found {kind}, expected {kind}")
+    assert x.select(chat.source_recall(F.col("found"), F.col("expected"))["hit"]).first()[0] == 1
