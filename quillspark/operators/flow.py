@@ -14,6 +14,7 @@ from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
 from quillspark.operators.chat import context_line
 from quillspark.operators.sizes import small
+from quillspark.sources.snapshots import written
 
 SOURCE = ("doc_id", "source", "source_type", "source_path", "page", "section", "chunk_index", "chunk_type", "extraction_method")
 
@@ -59,10 +60,10 @@ def retrieve(requests: DataFrame, chunks: DataFrame, vectors: DataFrame, query_v
     best = R.vector_top_k(vectors, asked, k)
     free = rest.select("query_id", scoped(rest).alias("__scoped"))
     best = best.join(free, "query_id").where(F.col("__scoped") | (F.col("score") >= min_score)).drop("__scoped")
-    fused = R.fuse(best, R.top_k(R.bm25(chunks, rest), k), k).persist()  # k rows a request, which several joins below read
+    fused = written(R.fuse(best, R.top_k(R.bm25(chunks, rest), k), k))  # k rows a request, which several joins below read
     top = fused.where("rank = 1 and top_keyword is not null").select("query_id", F.col("top_keyword").alias("chunk_key"))
     sure = R.confidence(fused, R.strong_hit(rest, top, chunks)).withColumn("used", F.lit(False))
-    all_ = whole_document(whole, chunks)
+    all_ = written(whole_document(whole, chunks))
     # dealt otherwise than the fused rows, as Spark 4.1 zips the partitions of a union of two parts dealt alike, even where they differ in number
     docs = fused.select("query_id", "chunk_key", "rank").unionByName(all_.repartition("chunk_key"))
     count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
@@ -109,6 +110,7 @@ def chat_flow(requests: DataFrame, chunks: DataFrame, vectors: DataFrame, query_
     r = r.join(chunk_counts(r, chunks), "query_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     r = r.withColumn("extract", F.col("extract") & (F.col("n_chunks") > 0))
     r = r.withColumn("full_document", F.col("extract") | (F.col("scoped") & (I.mentions(F.col("text"), I.WHOLE_DOCUMENT) | I.small_document(F.col("n_chunks")))))
+    r = written(r)
     found, results = retrieve(r, chunks, vectors, query_vectors, k)
     x = r.join(results.drop("used_full_document"), "query_id")
     x = x.join(told(found, chunks), "query_id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.sources.snapshots import written
 
 HEADING_CHARS, LARGE, RATIO, SMALL_RATIO = 120, 16.0, 1.4, 1.18
 #: Ends that no heading has.
@@ -44,6 +45,50 @@ def heading_guesses(text: Column) -> Column:
     return F.slice(F.filter(lines, lambda s: (s != "") & (F.length(s) <= HEADING_CHARS) & ~s.rlike("(?:[.?!;]|다|요)$")), 1, 3)
 
 
+#: A block at least this share of its page's width ends what stands beside each other above it; columns are this far apart.
+SPANNING, GAP = 0.6, 1.0
+
+
+def by_rows(blocks: Column) -> Column:
+    """Blocks by their lower edge, then their left one; those without a box come last, as given."""
+    side = lambda b, k: F.get(b["bbox"], F.lit(k))
+    keyed = F.transform(blocks, lambda b, i: F.struct(side(b, 3).isNull().alias("none"), side(b, 3).alias("bottom"), side(b, 0).alias("left"), i.alias("i"), b.alias("b")))
+    return F.transform(sorted_by(keyed, "none", "bottom", "left", "i"), lambda k: k["b"])
+
+
+def sorted_by(keyed: Column, *names: str) -> Column:
+    """An array of structs in the order of some of their fields (their maps and arrays needn't be orderable)."""
+    order = F.transform(F.array_sort(F.transform(keyed, lambda k, j: F.struct(*[k[n].alias(n) for n in names], j.alias("j")))), lambda o: o["j"])
+    return F.transform(order, lambda j: F.get(keyed, j))
+
+
+def by_columns(blocks: Column) -> Column:
+    """Blocks in reading order: bands between blocks that span the page, in each band columns from left to right, in each column from top to bottom.
+
+    A column begins where, of a band's blocks from the left on, none before reaches so far. Blocks without a box come last, as given.
+    """
+    side = lambda b, k: F.get(b["bbox"], F.lit(k))
+    boxed = F.filter(blocks, lambda b: side(b, 3).isNotNull())
+    rest = F.filter(blocks, lambda b: side(b, 3).isNull())
+    width = F.array_max(F.transform(boxed, lambda b: side(b, 2))) - F.array_min(F.transform(boxed, lambda b: side(b, 0)))
+    keyed = F.transform(boxed, lambda b, i: F.struct(side(b, 1).alias("top"), side(b, 0).alias("left"), side(b, 2).alias("right"), (side(b, 2) - side(b, 0) >= SPANNING * width).alias("spans"), i.alias("i"), b.alias("b")))
+
+    def given(k: Column) -> Column:
+        """Numbers the bands: a spanning block is one of its own."""
+        placed = sorted_by(k, "top", "left", "i")
+        before = lambda x: F.filter(placed, lambda y: y["spans"] & ((y["top"] < x["top"]) | ((y["top"] == x["top"]) & (y["i"] < x["i"]))))
+        return F.transform(placed, lambda x: x.withField("band", 2 * F.size(before(x)) + F.when(x["spans"], 1).otherwise(0)))
+
+    def columned(k: Column) -> Column:
+        """Numbers the columns: blocks of the band wholly left of this one's left edge whose right edges no other block there bridges."""
+        starts = F.filter(k, lambda x: ~F.exists(k, lambda y: (y["band"] == x["band"]) & (y["left"] < x["left"]) & (y["right"] > x["left"] - GAP)))
+        return F.transform(k, lambda x: x.withField("column", F.size(F.array_distinct(F.transform(F.filter(starts, lambda s: (s["band"] == x["band"]) & (s["left"] <= x["left"])), lambda s: s["left"])))))
+
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    ordered = once(keyed, lambda k: once(given(k), lambda g: once(columned(g), lambda c: F.transform(sorted_by(c, "band", "column", "top", "left", "i"), lambda x: x["b"]))))
+    return F.concat(ordered, rest)
+
+
 def analyse(pages: DataFrame) -> DataFrame:
     """Adds n_images, n_texts, n_tables, headings, heading_box (of the first), block_types (sorted, comma-joined), font_average, font_top, kind and text to (doc_id, page, blocks). Blocks are in reading order."""
     spans = lambda b: F.flatten(F.transform(F.coalesce(b["lines"], F.array()), lambda x: x["spans"]))
@@ -74,12 +119,16 @@ def analyse(pages: DataFrame) -> DataFrame:
     return x.withColumn("headings", headings).withColumn("kind", kind).withColumn("text", F.array_join(marked, "\n\n")).drop("__text", "__top", "__avg", "__is")
 
 
+def measured(text: Column) -> Column:
+    """Struct of text, chars and garble, the text worked out once."""
+    return F.transform(F.array(text), lambda t: F.struct(t.alias("text"), T.real_chars(t).alias("chars"), T.garble(t).alias("garble")))[0]
+
+
 def choose(candidates: DataFrame) -> DataFrame:
     """One row per (doc_id, page) of (doc_id, page, method, text, hint): the best score, but readable text of a digital page wins if within 18 points of it. Ties go to text, then vision, then OCR."""
-    t = F.coalesce("text", F.lit(""))
-    chars, rough = T.real_chars(t), T.gibberish_ratio(t)
-    raw = T.garble(t)
-    x = candidates.withColumn("__rough", rough).withColumn("score", T.candidate_score(F.col("method"), F.col("hint"), chars, raw, T.extraction_confidence(F.col("method"), chars, raw)))
+    x = candidates if {"chars", "garble"} <= set(candidates.columns) else candidates.withColumn("__m", measured(F.coalesce("text", F.lit("")))).withColumns({"chars": F.col("__m.chars"), "garble": F.col("__m.garble")}).drop("__m")
+    chars, raw = F.col("chars"), F.col("garble")
+    x = x.withColumn("__rough", F.round(raw, 3)).withColumn("score", T.candidate_score(F.col("method"), F.col("hint"), chars, raw, T.extraction_confidence(F.col("method"), chars, raw)))
     page = Window.partitionBy("doc_id", "page")
     close = (F.col("method") == "text") & (F.col("hint") == "digital") & (F.col("__rough") <= T.GARBLED) & (F.col("score") >= F.max("score").over(page) - TEXT_MARGIN)
     order = F.when(F.col("method") == "text", 0).when(F.col("method") == "vlm", 1).otherwise(2)
@@ -94,27 +143,30 @@ LEAST_CHARS, STRUCTURED_RATIO = 10, 1.75
 
 def judged(pages: DataFrame) -> DataFrame:
     """Pages (method, text) with language (of the first 300 characters), chars, gibberish, flags and confidence."""
-    t = T.strip(F.coalesce("text", F.lit("")))
-    x = pages.withColumn("text", t).withColumn("language", T.language(F.substring("text", 1, 300))).withColumn("chars", T.real_chars(F.col("text"))).withColumn("gibberish", T.gibberish_ratio(F.col("text")))
+    if {"chars", "garble"} <= set(pages.columns):  # of choose(), whose texts are stripped
+        x = pages.withColumn("gibberish", F.round("garble", 3)).drop("garble")
+    else:
+        x = pages.withColumn("__m", measured(T.strip(F.coalesce("text", F.lit(""))))).withColumns({"text": F.col("__m.text"), "chars": F.col("__m.chars"), "gibberish": F.round("__m.garble", 3)}).drop("__m")
+    x = x.withColumn("language", T.language(F.substring("text", 1, 300)))
     return x.withColumn("flags", T.quality_flags(F.col("chars"), F.col("gibberish"), F.col("language"))).withColumn("confidence", T.extraction_confidence(F.col("method"), F.col("chars"), F.col("gibberish")))
 
 
 def candidates(pages: DataFrame) -> DataFrame:
     """(doc_id, page, method, text, hint, kind, reason, chain, heading) of pages (doc_id, page, text, kind, headings, vlm_text, ocr_text): the text layer, and where it is too little or garbled what vision and OCR have read, if ten characters or more."""
     t = F.coalesce("text", F.lit(""))
-    x = pages.withColumn("__chars", T.real_chars(t)).withColumn("__rough", T.gibberish_ratio(t))
+    x = pages.withColumn("__m", measured(t)).withColumn("__chars", F.col("__m.chars")).withColumn("__rough", F.round("__m.garble", 3))
     x = x.withColumn("__more", T.needs_fallback(F.col("kind"), F.col("__chars"), F.col("__rough"))).withColumn("__why", T.routing_reason(F.col("kind"), F.col("__chars"), F.col("__rough")))
     read = lambda c: F.when(F.col("__more") & (F.length(T.strip(F.coalesce(F.col(c), F.lit("")))) >= LEAST_CHARS), F.col(c))
     kind = F.when(F.col("kind") == "digital", F.when(F.col("__chars") > 0, "hybrid").otherwise("scanned")).otherwise(F.col("kind"))
     seen = F.concat_ws(">", F.lit(EXTRACTORS["text"]), F.when(read("vlm_text").isNotNull(), EXTRACTORS["vlm"]))
-    one = lambda method, text, kind, reason, chain: F.struct(F.lit(method).alias("method"), squeezed(text).alias("text"), kind.alias("kind"), reason.alias("reason"), chain.alias("chain"))
+    one = lambda method, text, kind, reason, chain: F.struct(F.lit(method).alias("method"), measured(squeezed(text)).alias("m"), kind.alias("kind"), reason.alias("reason"), chain.alias("chain"))
     every = F.array(
         one("text", t, F.col("kind"), F.lit("fast_text_layer"), F.lit(EXTRACTORS["text"])),
         one("vlm", read("vlm_text"), kind, F.col("__why"), seen),
         one("ocr", read("ocr_text"), kind, F.col("__why"), F.concat_ws(">", seen, F.lit(EXTRACTORS["ocr"]))))
-    x = x.select("doc_id", "page", F.col("kind").alias("hint"), F.coalesce("headings", F.array().cast("array<string>")).alias("__headings"), F.explode(F.filter(every, lambda c: c["text"] != "")).alias("c"))
-    guessed = F.when(F.col("c.method") != "text", F.get(heading_guesses(F.col("c.text")), F.lit(0)))
-    return x.select("doc_id", "page", "hint", "c.*", F.coalesce(F.get("__headings", F.lit(0)), guessed, F.lit("")).alias("heading"))
+    x = x.select("doc_id", "page", F.col("kind").alias("hint"), F.coalesce("headings", F.array().cast("array<string>")).alias("__headings"), F.explode(F.filter(every, lambda c: c["m"]["text"] != "")).alias("c"))
+    guessed = F.when(F.col("c.method") != "text", F.get(heading_guesses(F.col("c.m.text")), F.lit(0)))
+    return x.select("doc_id", "page", "hint", "c.method", "c.m.text", "c.kind", "c.reason", "c.chain", "c.m.chars", "c.m.garble", F.coalesce(F.get("__headings", F.lit(0)), guessed, F.lit("")).alias("heading"))
 
 
 def route(pages: DataFrame) -> DataFrame:
@@ -124,11 +176,12 @@ def route(pages: DataFrame) -> DataFrame:
 
 
 def with_document_fallback(routed: DataFrame, files: DataFrame) -> DataFrame:
-    """Pages (of ``route``) of files (doc_id, page_total, converted); a file's converted text stands for all its pages if it has more than 1.75 times their characters and a third of them (one at least) are garbled, or if no page was read."""
+    """Pages (of ``route``; written here, as they are read twice) of files (doc_id, page_total, converted); a file's converted text stands for all its pages if it has more than 1.75 times their characters and a third of them (one at least) are garbled, or if no page was read."""
+    routed = written(routed)
     per = routed.groupBy("doc_id").agg(F.sum(F.length("text")).alias("__chars"), F.count_if(F.contains("flags", F.lit("garbled_text"))).alias("__bad"))
     text = T.without_images(F.coalesce("converted", F.lit("")))
-    x = files.join(per, "doc_id", "left").withColumn("__text", text).withColumn("__real", T.real_chars(F.col("__text")))
+    x = files.join(per, "doc_id", "left").withColumn("__m", measured(text)).withColumn("__text", F.col("__m.text")).withColumn("__real", F.col("__m.chars"))
     better = (F.col("__real") > STRUCTURED_RATIO * F.col("__chars")) & (F.col("__bad") >= F.greatest(F.lit(1), F.floor(F.col("page_total") / 3)))
-    x = x.where((F.coalesce("converted", F.lit("")) != "") & F.coalesce(better, F.lit(True))).select("doc_id", "__text", F.when(F.col("__chars").isNull(), "marker_only_result").otherwise("marker_structure_fallback").alias("reason"))
+    x = written(x.where((F.coalesce("converted", F.lit("")) != "") & F.coalesce(better, F.lit(True))).select("doc_id", "__text", F.when(F.col("__chars").isNull(), "marker_only_result").otherwise("marker_structure_fallback").alias("reason")))
     marker = x.select("doc_id", F.lit(1).alias("page"), F.lit("marker_pdf").alias("method"), F.col("__text").alias("text"), F.lit("digital").alias("kind"), "reason", F.lit(EXTRACTORS["marker_pdf"]).alias("chain"), F.lit("").alias("heading"), F.lit(EXTRACTORS["marker_pdf"]).alias("extractor"))
     return routed.join(x.select("doc_id"), "doc_id", "left_anti").unionByName(judged(marker), allowMissingColumns=True)

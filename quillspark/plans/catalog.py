@@ -13,6 +13,7 @@ from quillspark.functions import text as T
 from quillspark.operators import chat, chunking, evaluation, flow, layout
 from quillspark.operators import registry as G
 from quillspark.operators import retrieval as R
+from quillspark.sources import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,7 +127,8 @@ _SURE = "round(least(greatest(coalesce(top, 0), 0, case when in_vector and in_ke
 @query(f"""with {_FUSED}, b as (select query_id, max(score) as top from vk where rank = 1 and score >= 0.3 group by 1), {_strong(k="kw", b="(select item_id as query_id, text from benchmark) b", one="false")}
 select query_id, {_SURE} as confidence from fr left join b using (query_id) left join sg using (query_id) where fr.rank = 1""")
 def confidence(spark, sf_dir):
-    f, q = R.fuse(relevant(spark, sf_dir), bm25_topk(spark, sf_dir)).persist(), asked(spark, sf_dir)  # four rows a question
+    f, q = R.fuse(relevant(spark, sf_dir), bm25_topk(spark, sf_dir)), asked(spark, sf_dir)
+    f = snapshots.written(f)  # four rows a question
     top = f.where("rank = 1 and top_keyword is not null").select("query_id", F.col("top_keyword").alias("chunk_key"))
     return R.confidence(f, R.strong_hit(q, top, chunks(spark, sf_dir))).drop("strong")
 

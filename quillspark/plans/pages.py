@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import intents as I
 from quillspark.functions import text as T
-from quillspark.operators import chat, evaluation, flow, layout
+from quillspark.operators import chat, evaluation, flow, languages, layout
 from quillspark.operators import registry as G
 from quillspark.plans.catalog import _BARE, _BM25, _NORM, _READABLE, _RQ, bm25_topk, chunks, passages, query, requests, table
 from quillspark.sources import store
@@ -60,6 +60,53 @@ def page_layout(spark, sf_dir):
     return x.select("doc_id", "n_images", "n_texts", F.array_join("headings", " / ").alias("headings"), "block_types", "font_average", "font_top", "kind", F.sha2("text", 256).alias("text_sha256"))
 
 
+def scattered(spark, sf_dir) -> DataFrame:
+    """Documents as pages in two columns under a title, a line a block (60 at most of them), in an order of chance."""
+    lines = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: s != ""), 1, 60)
+    half = F.ceil((F.size("lines") - 1) / 2)
+    one = lambda s, x0, y0, x1: F.struct(F.lit(0).alias("type"), F.array(x0, y0, x1, y0 + 9.0).alias("bbox"), F.array(F.struct(F.array(F.struct(s.alias("text"), F.lit(10.0).alias("size"))).alias("spans"))).alias("lines"))
+    place = lambda s, i: one(s, F.when(i == 0, 0.0).when(i <= half, 0.0).otherwise(120.0), F.when(i == 0, 0.0).when(i <= half, 20.0 + 10 * i).otherwise(20.0 + 10 * (i - half)).cast("double"), F.when(i == 0, 220.0).when(i <= half, 100.0).otherwise(220.0))
+    x = table(spark, sf_dir, "documents").withColumn("lines", lines).select("doc_id", F.lit(1).alias("page"), F.transform("lines", place).alias("blocks"))
+    mixed = layout.sorted_by(F.transform("blocks", lambda b, i: F.struct(F.xxhash64("doc_id", i).alias("h"), b.alias("b"))), "h")
+    return x.withColumn("blocks", F.transform(mixed, lambda m: m["b"]))
+
+
+@query(r"""with l as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: s <> '')[:60] as s from documents),
+h as (select *, cast(ceil((len(s) - 1) / 2) as bigint) as half from l), i as (select doc_id, unnest(range(1, len(s) + 1)) as k, unnest(s) as t, half from h),
+r as (select doc_id, string_agg(t, chr(10) order by k) as columns, string_agg(t, chr(10) order by case when k = 1 then 0 when k <= half + 1 then k - 1 else k - 1 - half end, k) as rows from i group by doc_id)
+select l.doc_id, sha256(coalesce(columns, '')) as columns_sha256, sha256(coalesce(rows, '')) as rows_sha256 from l left join r using (doc_id)""")
+def reading_order(spark, sf_dir):
+    """Blocks brought back into the order of reading, by columns and by rows."""
+    said = lambda blocks: F.sha2(F.array_join(F.transform(blocks, lambda b: b["lines"][0]["spans"][0]["text"]), "\n"), 256)
+    return scattered(spark, sf_dir).select("doc_id", said(layout.by_columns(F.col("blocks"))).alias("columns_sha256"), said(layout.by_rows(F.col("blocks"))).alias("rows_sha256"))
+
+
+_GRAMS = "list_transform(range(1, greatest(length(u) - 1, 1)), lambda i: u[i:i + 2])"
+_HEAD = lambda t: f"regexp_replace(lower(substr({_strip(t)}, 1, 300)), '{T.SPACES}+', ' ', 'g')"
+
+
+@query(rf"""with s as (select lang, {_HEAD("text")} as u from documents where doc_id % 2 = 0 and coalesce(lang, '') <> '' and text is not null order by doc_id, text limit {languages.SAMPLE}),
+g as (select lang, unnest({_GRAMS}) as gram from s where length(u) >= 3), c as (select gram, lang, count(*) as n from g group by all),
+top as (select gram from c group by gram order by sum(n) desc, gram limit {languages.GRAMS}), k as (select gram, l.lang, coalesce(n, 0) as n from top cross join (select distinct lang from c) l left join c using (gram, lang)),
+m as (select gram, lang, ln((n + 1) / (sum(n) over (partition by lang) + count(*) over (partition by lang))) as w from k),
+d as (select doc_id, lang as given, {_strip("coalesce(text, '')")} as t, {_HEAD("coalesce(text, '')")} as u from documents where doc_id % 2 = 1),
+e as (select doc_id, unnest({_GRAMS}) as gram from d where length(u) >= 3), b as (select doc_id, lang, round(sum(w), 6) as w from e join m using (gram) group by all),
+f as (select doc_id, first(lang order by w desc, lang) as lang from b group by doc_id)
+select d.doc_id, given, case when length(t) < 10 then 'unknown' else coalesce(f.lang, 'unknown') end as language from d left join f using (doc_id)""")
+def page_language(spark, sf_dir):
+    """Documents with an odd id, their language told by a model of those with an even one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages.detected(d.where("doc_id % 2 = 1"), languages.fit(d.where("doc_id % 2 = 0"), "doc_id")).select("doc_id", F.col("lang").alias("given"), "language")
+
+
+@query()
+def language_accuracy(spark, sf_dir):
+    """One row: texts of 40 characters or more that the model has not seen, and the share whose language it tells."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 40).select("doc_id")
+    x = page_language(spark, sf_dir).join(d, "doc_id", "left_semi").where(F.col("given").isNotNull())
+    return x.agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg((F.col("given") == F.col("language")).cast("double")), 6).alias("accuracy"))
+
+
 #: Characters that a broken text layer has lost, and those that OCR has.
 LOST, UNREAD = "aeionst", "e"
 KINDS = ("digital", "hybrid", "scanned")

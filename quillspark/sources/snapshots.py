@@ -30,6 +30,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written once as Parquet in a new shared folder, for what reads them several times: plans stay short, and lost executors cost no lineage."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _files(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

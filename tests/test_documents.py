@@ -457,3 +457,36 @@ def test_a_null_source_that_was_expected_is_a_hit(spark):
     kind = "array<struct<source:string,page:int>>"
     x = spark.createDataFrame([([(None, 1)], [(None, 1), ("a", 1)])], f"found {kind}, expected {kind}")
     assert x.select(chat.source_recall(F.col("found"), F.col("expected"))["hit"]).first()[0] == 1
+
+
+def test_reading_order(spark):
+    """A title over two columns, a line across the page, two columns again; blocks without a box come last."""
+    boxes = {"title": (0, 0, 200, 9), "l1": (0, 20, 90, 29), "l2": (0, 31, 95, 50), "r1": (110, 19, 200, 28), "r2": (110, 30, 190, 40), "bar": (5, 60, 195, 70), "x1": (0, 80, 60, 90), "y1": (70, 79, 130, 89), "z1": (140, 81, 200, 90)}
+    want = ["title", "l1", "l2", "r1", "r2", "bar", "x1", "y1", "z1", "none1", "none2"]
+    r = random.Random(2)
+    rows = []
+    for i in range(20):
+        names = list(boxes)
+        r.shuffle(names)
+        rows.append((i, [(n, [float(v) for v in boxes[n]]) for n in names[:3]] + [("none1", None)] + [(n, [float(v) for v in boxes[n]]) for n in names[3:]] + [("none2", [1.0])]))
+    df = spark.createDataFrame([*rows, (99, []), (100, None)], "doc_id int, blocks array<struct<text:string,bbox:array<double>>>")
+    names = lambda c: F.transform(c, lambda b: b["text"])
+    got = df.select("doc_id", names(layout.by_columns(F.col("blocks"))).alias("c"), names(layout.by_rows(F.col("blocks"))).alias("r")).collect()
+    by_rows = sorted(boxes, key=lambda n: (boxes[n][3], boxes[n][0])) + ["none1", "none2"]
+    for x in got:
+        assert (x["c"], x["r"]) == ((want, by_rows) if x["doc_id"] < 99 else ([], []) if x["doc_id"] == 99 else (None, None))
+
+
+def test_languages(spark):
+    from quillspark.operators import languages
+
+    r = random.Random(4)
+    pool = {"en": "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(), "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec leur aux".split()}
+    rows = [(i, " ".join(r.choices(pool[lang], k=40)), lang) for i in range(300) for lang in pool]
+    d = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = languages.fit(d.where("doc_id < 150"), "doc_id", sample=120)
+    assert model[1] == ["de", "en", "fr"] and model[0].count() <= languages.GRAMS
+    got = languages.detected(d.where("doc_id >= 150"), model)
+    assert got.where("lang = language").count() >= 0.98 * got.count() and got.count() == 450
+    odd = spark.createDataFrame([(1, "안녕하세요 반갑습니다 여러분"), (2, "the of"), (3, "@@@@@@@@@@@@@"), (4, None), (5, "\\u3000 der die und in den von zu das")], "k int, text string")
+    assert {x["k"]: x["language"] for x in languages.detected(odd, model).collect()} == {1: "ko", 2: "unknown", 3: "unknown", 4: "unknown", 5: "de"}
