@@ -9,7 +9,7 @@ from quillspark.functions import intents as I
 from quillspark.functions import text as T
 from quillspark.operators import chat, evaluation, flow, languages, layout
 from quillspark.operators import registry as G
-from quillspark.plans.catalog import _BARE, _BM25, _NORM, _READABLE, _RQ, bm25_topk, chunks, passages, query, requests, table
+from quillspark.plans.catalog import _BARE, _BM25, _NORM, _READABLE, _RQ, _retrieval, bm25_topk, chunks, passage_vectors, passages, query, requests, table
 from quillspark.sources import store
 
 _SPACE = f"^{T.SPACES}+|{T.SPACES}+$"
@@ -223,3 +223,25 @@ def benchmark_summary(spark, sf_dir):
     kinds = F.array_join(F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return x.select("total_rows", F.col("unresolved_document_scope_rows").alias("unresolved"), kinds.alias("categories"), F.col("avg_answer_point_recall").alias("recall"), F.col("negative_case_count").alias("negatives"), F.col("negative_case_refusal_pass").alias("refused"))
 
+
+
+_EV = f"""en as (select source, arg_min(doc_id, (doc_id % 2, doc_id % 3, doc_id)) as doc_id from documents where source is not null group by 1),
+ei as (select item_id as id, text, {list(CATEGORIES)!r}[item_id % 4 + 1] as category, 'src' || cast(item_id % 23 as varchar) as document_source from benchmark),
+rq as (select id as query_id, text, document_source as source, en.doc_id, category = 'summary' as whole from ei join en on en.source = document_source)"""
+
+
+@query(f"""with {_retrieval(_EV)}, hs as (select query_id, list(d.source) as s from found join documents d on d.doc_id = chunk_key group by 1),
+hh as (select id, rq.query_id is not null as resolved, cast(coalesce(list_contains(s, document_source), false) as integer) + cast(coalesce(list_contains(s, 'src' || (id + 1) % 20), false) as integer) as hit from ei left join rq on rq.query_id = id left join hs on hs.query_id = id)
+select id, resolved, coalesce(confidence, 0.0) as confidence, coalesce(strong, false) as strong, coalesce(used_full_document, false) as used_full_document, cast(2 as integer) as total, hit, round(hit / 2, 3) as recall from hh left join res on res.query_id = id""")
+def retrieval_evaluation(spark, sf_dir):
+    """Benchmark items: their document resolved among entries of one document each, retrieval in its scope, and the sources found against two expected."""
+    n = F.col("item_id")
+    expect = lambda name, page: F.struct(name.alias("source"), F.lit(page).cast("int").alias("page"))
+    own = F.concat(F.lit("src"), (n % 23).cast("string"))
+    items = table(spark, sf_dir, "benchmark").select(n.alias("id"), F.element_at(F.array(*map(F.lit, CATEGORIES)), (n % 4 + 1).cast("int")).alias("category"), own.alias("document_source"), F.col("text").alias("question"), F.lit(None).cast("boolean").alias("full_document"),
+        F.array(expect(own, None), expect(F.concat(F.lit("src"), ((n + 1) % 20).cast("string")), 1)).alias("expected_sources"))
+    d = F.col("doc_id")
+    entries = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source", F.when(d % 2 == 0, "library").otherwise("upload").alias("source_type"), (d % 3).cast("string").alias("updated_at"), F.lit(None).cast("string").alias("created_at"))
+    x = evaluation.retrieval(G.resolve(items, entries).drop("source_type"), passages(spark, sf_dir), *passage_vectors(spark, sf_dir))
+    r = F.col("source_scoring")
+    return x.select("id", "resolved", "confidence", F.col("strong_keyword_hit").alias("strong"), "used_full_document", r["total"].alias("total"), r["hit"].alias("hit"), r["recall"].alias("recall"))

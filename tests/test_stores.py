@@ -113,3 +113,18 @@ def test_inverted_file(spark):
     assert len(found & {x[:2] for x in exact}) >= 0.9 * len(exact)
     _, packed = ivf.opened(spark, root)
     assert packed.selectExpr("sum(size(keys)) as n").first()[0] == 3000
+
+
+def test_enriched_chunks_from_pages_to_sources(spark):
+    """The stored way of pages equals BM25 over the chunks made at once, and every source tells where it is from."""
+    from quillspark.plans import stores
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = stores.enriched_retrieval(spark, sf_dir).collect()
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pages = d.selectExpr("concat('doc-', doc_id) as doc_id", "1 as page", "source", "text", "lang as language")
+    chunks, _ = store.ingest(pages, F.lit("library"), F.lit("now"))
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id as query_id", "text")
+    want = {(r["query_id"], r["rank"]): r["score"] for r in R.top_k(R.bm25(chunks, asked)).collect()}
+    assert {(r["query_id"], r["rank"]): r["score"] for r in got} == want
+    assert all(r[c] is not None for r in got for c in ("doc_id", "source", "source_type", "source_path", "page", "section", "chunk_index", "chunk_type", "extraction_method"))
