@@ -86,6 +86,23 @@ def fetched(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", lim
     return looked_up(rows, table, key, how)
 
 
+#: Decisions packed into one row, and packed rows (4 KB each) up to which they are broadcast: 64 MB, for 67 million rows.
+DECISIONS, PACKED = 4096, 16_384
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """df, written, with ``__row``: numbers that no two rows share, without gaps in what a task wrote."""
+    return written(df.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def with_decision(rows: DataFrame, decisions: DataFrame, name: str) -> DataFrame:
+    """Rows of ``numbered_rows`` with a small number from decisions (``__row``, name), which has one for each row. A byte a row moves, and no text, as long as the packed decisions can be broadcast."""
+    per = decisions.select(F.expr(f"__row div {DECISIONS}").alias("__block"), F.struct("__row", F.col(name).cast("byte").alias("v")).alias("d"))
+    per = written(per.groupBy("__block").agg(F.transform(F.sort_array(F.collect_list("d")), lambda d: d["v"]).alias("__values")))
+    x = rows.withColumn("__block", F.expr(f"__row div {DECISIONS}")).join(small(per, PACKED), "__block")
+    return x.withColumn(name, F.get("__values", (F.col("__row") % DECISIONS).cast("int"))).drop("__block", "__values")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once however often the body names it, whatever the optimizer merges."""
     return F.transform(F.array(value), body)[0]
