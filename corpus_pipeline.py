@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, neardup, packing, pii, quality
-from quillspark.llm.common import small, written
+from quillspark.llm.common import numbered_rows, small, with_decision, written
 
-#: Ids up to which a decision is broadcast (16 bytes a row); beyond, texts are shuffled to it.
+#: Repeated ids up to which they are broadcast (16 bytes a row).
 IDS = 100_000
 
 #: The rows that run() gives can't be said in SQL (near-dedup, mixing); the tests hold each stage against a brute-force version.
@@ -27,16 +27,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at five-word shingles and 0.8 the document with the least doc_id."""
-    x = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    linked = neardup.link(x, 5, row="__row").where(F.col("kept") | F.col("doc_id").isNull())
-    rows = written(linked.select(F.col("doc_id").alias("__id"), "__row"))
-    again = written(rows.where(F.col("__id").isNotNull()).groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"))
-    rows = small(rows.join(small(again, IDS), "__id", "left_anti").select("__row"), IDS)
-    kept = x.join(rows, "__row", "left_semi")
+    x = numbered_rows(docs)
+    rows = written(neardup.link(x, 5, row="__row").select(F.col("doc_id").alias("__id"), "__row", (F.col("kept") | F.col("doc_id").isNull()).alias("__keep")))
+    again = written(rows.where(F.col("__keep") & F.col("__id").isNotNull()).groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id", F.lit(True).alias("__again")))
     if again.limit(1).count():
         least = x.join(small(again, IDS), x["doc_id"] == F.col("__id")).groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "text", "__row"))["__row"].alias("__row"))
-        kept = kept.unionByName(x.join(small(written(least.select("__row")), IDS), "__row", "left_semi"))
-    return kept.select(*docs.columns)
+        rows = rows.join(small(again, IDS), "__id", "left").join(small(written(least.select("__row", F.lit(True).alias("__least"))), IDS), "__row", "left")
+        rows = rows.withColumn("__keep", F.when(F.col("__again"), F.coalesce("__least", F.lit(False))).otherwise(F.col("__keep")))
+    return with_decision(x, rows.select("__row", F.col("__keep").cast("int").alias("__keep")), "__keep").where("__keep = 1").select(*docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +46,9 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, or not at all; rows are written with a number of their own, by which copies come back to them."""
-    x = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    copies = written(mixing.mix(x, extra=["__row"]).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies")))
-    x = x.join(small(copies, IDS), "__row")
-    return x.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    x = numbered_rows(docs)
+    x = with_decision(x, mixing.mix(x, extra=["__row"]).select("__row", F.col("copies").alias("__copies")), "__copies").where("__copies > 0")
+    return x.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
