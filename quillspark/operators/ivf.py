@@ -20,7 +20,8 @@ from quillspark.sources.snapshots import changed, current
 
 #: Rows that centroids are fitted on at most (those least by a hash of the key), steps, and vectors packed into one row.
 SAMPLE, STEPS, PACK = 20_000, 12, 1024
-LISTS, PROBES = 32, 8
+#: Lists, and those probed. The probes suit vectors without clusters, whose neighbours are spread over many lists; clustered ones need far fewer.
+LISTS, PROBES = 128, 56
 
 
 def fit(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, steps: int = STEPS) -> np.ndarray:
@@ -82,7 +83,8 @@ def add(vectors: DataFrame, root: str, batch: str, lists: int = LISTS) -> bool:
     centres = np.array(before["centres"]) if before else fit(vectors, lists)
     name = f"lists-{batch}-{np.random.default_rng().integers(1 << 62):x}"
     packed = lists_of(vectors, centres)
-    packed.repartition("list", F.pmod(F.xxhash64("m"), F.lit(8))).write.partitionBy("list").parquet(f"{root}/{name}")
+    # sorted by list over ranges, so that files and row groups hold few lists each, and a list of any size is shared among them
+    packed.withColumn("__h", F.xxhash64("m")).repartitionByRange("list", "__h").sortWithinPartitions("list").drop("__h").write.parquet(f"{root}/{name}")
 
     def put(contents: dict) -> dict | None:
         if batch in contents.get("batches", {}):

@@ -20,7 +20,7 @@ from quillspark.operators.retrieval import B, K1, TOP_K, top_k
 from quillspark.operators.sizes import small
 from quillspark.sources.snapshots import changed, current
 
-BUCKETS, BLOCK = 64, 256
+BUCKETS, BLOCK = 32, 256
 #: Blocks of each query that are scored first, for a first k-th best score.
 FIRST = 8
 #: Scores are rounded to six digits; bounds are held this far below.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import ivf
 from quillspark.operators import retrieval as R
+from quillspark.plans.stores import ivf_recall
 from quillspark.sources import keyword_index, snapshots, store
 
 
@@ -52,7 +53,7 @@ def test_stored_index_reads_only_buckets_asked(spark, corpus):
     files = every.inputFiles()
     bucket = asked.select(keyword_index.bucket(F.col("term"))).first()[0]
     plan = every._jdf.queryExecution().executedPlan().toString()
-    assert f"bucket#" in plan and "PartitionFilters" in plan and files
+    assert "bucket#" in plan and "PartitionFilters" in plan and files
     assert {r[0] for r in every.select("bucket").distinct().collect()} == {bucket}
 
 
@@ -106,11 +107,12 @@ def test_inverted_file(spark):
     vectors = spark.createDataFrame(data, "chunk_key long, embedding array<float>").repartition(4)
     queries = vectors.where("chunk_key % 50 = 0").selectExpr("chunk_key as query_id", "embedding as query_embedding")
     root = snapshots.scratch(spark)
-    assert ivf.add(vectors.where("chunk_key % 2 = 0"), root, "a") and ivf.add(vectors.where("chunk_key % 2 = 1"), root, "b") and not ivf.add(vectors, root, "b")
+    assert ivf.add(vectors.where("chunk_key % 2 = 0"), root, "a", lists=12) and ivf.add(vectors.where("chunk_key % 2 = 1"), root, "b") and not ivf.add(vectors, root, "b")
     exact = rows(R.vector_top_k(vectors, queries).select("query_id", "chunk_key", "score", "rank"))
     assert rows(ivf.certain(spark, root, queries, nprobe=2).select("query_id", "chunk_key", "score", "rank")) == exact
     found = {x[:2] for x in rows(ivf.search(spark, root, queries, nprobe=4).select("query_id", "chunk_key"))}
     assert len(found & {x[:2] for x in exact}) >= 0.9 * len(exact)
+    assert ivf_recall(spark, "/root/testdata/sf0.01").first()["recall"] >= 0.9
     _, packed = ivf.opened(spark, root)
     assert packed.selectExpr("sum(size(keys)) as n").first()[0] == 3000
 
