@@ -6,8 +6,6 @@ import re
 import time
 from datetime import datetime, timedelta
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import intents as I
@@ -52,6 +50,29 @@ def plain_groups(text, size=1200):
     return out
 
 
+def plain_split(text, size=1200, overlap=150, separators=(*chunking.SEPARATORS, "")):
+    """The splitter as loops over strings."""
+    at = next(i for i, s in enumerate(separators) if s in text)
+    sep, rest, out, held = separators[at], separators[at + 1 :], [], []
+    if sep:
+        cuts = [m.start() for m in re.finditer(re.escape(sep), text)]
+        parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)]) if i < j]
+    else:
+        parts = list(text)
+    for p in [*parts, None]:
+        if p is None or len(p) >= size:
+            out.append("".join(held))
+            held = []
+            out += plain_split(p, size, overlap, rest) if p and rest else [p] if p else []
+            continue
+        if held and len("".join(held)) + len(p) > size:
+            out.append("".join(held))
+            while held and (len("".join(held)) > overlap or len("".join(held)) + len(p) > size):
+                held = held[1:]
+        held.append(p)
+    return [s.strip() for s in out if s.strip()]
+
+
 def plain_chunks(text):
     headed = re.search(r"^(#{1,4})\s+(.+)$", text, re.M) is not None
     out = []
@@ -60,7 +81,7 @@ def plain_chunks(text):
         if not body.strip():
             continue
         found, left = plain_tables(body)
-        long = lambda t: [t] if len(t) <= chunking.SIZE else chunking.split(t)
+        long = lambda t: [t] if len(t) <= chunking.SIZE else plain_split(t)
         out += [(title, crumb, "table", p) for t in found for p in long(t)]
         if left.strip():
             if len(left) <= chunking.SIZE:
@@ -118,22 +139,41 @@ def test_enriched_chunks_and_keys(spark):
     assert spark.range(1).select(chunking.chunk_key(lit("id"), lit("d"), none, lit(1), lit(2)), chunking.chunk_key(none, lit(""), lit("s"), none, lit(2))).first()[:] == ("id", "s::None::2")
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab. \n다?", max_size=400), st.integers(8, 40))
-def test_split_keeps_all_text_within_size(text, size):
-    parts = chunking.split(text, size, 0)
-    assert bare("".join(parts)) == bare(text)
-    assert all(0 < len(p) <= size for p in parts)
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.text(alphabet="abcdef. \n", max_size=400), st.integers(10, 40))
-def test_split_overlaps_by_whole_pieces(text, size):
-    parts, at = chunking.split(text, size, size // 3), 0
-    for p in parts:
-        assert len(p) <= size and p in text
-    joined = bare("".join(chunking.split(text, size, 0)))
-    assert set(joined) == set(bare("".join(parts))) and at == 0
+def splits(spark, texts, size, overlap):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", chunking.split(F.col("t"), size, overlap).alias("p")).collect()
+    return [r["p"] for r in sorted(rows)]
+
+
+def test_split_by_plain_python(spark):
+    """Texts over small alphabets, longer than ``size`` and not, at several sizes; characters outside the basic plane count as one."""
+    r = random.Random(8)
+    texts = ["".join(r.choices(list(alphabet), k=r.randint(1, 400))) for alphabet in ("ab. \n다?", "abcdef. \n", "ab\n", "a ", "x", "다요. \n!", "a\U0001f600 ", "\u3000\xa0ab") for _ in range(40)]
+    for size, overlap in ((8, 0), (10, 3), (30, 10), (40, 20)):
+        for t, got in zip(texts, splits(spark, texts, size, overlap)):
+            assert got == plain_split(t, size, overlap), (t, size, overlap)
+            assert all(0 < len(p) <= size and p in t for p in got) and (overlap or bare("".join(got)) == bare(t))
+
+
+def test_split_of_long_texts(spark):
+    texts = ["w" * n for n in (1200, 1201, 2250, 2251, 100_000)] + ["word " * 40_000, "한국어 문장입니다. " * 5_000, "a\n\n\n\nb" * 3_000]
+    assert splits(spark, texts, chunking.SIZE, chunking.OVERLAP) == [plain_split(t) for t in texts]
+
+
+def test_numbers_of_a_document_shared_among_tasks(spark):
+    """A null id with a third of all pages, repeated and null page numbers: no gaps, by page, the same in any split and without a Python worker or a window over texts."""
+    rows = [(None if i % 3 == 0 else f"d{i % 7}", None if i % 11 == 0 else i % 40, f"text {i} " * (1 + 300 * (i % 5 == 0))) for i in range(600)] + [("d1", 1, "same")] * 3
+    df = spark.createDataFrame(rows, "doc_id string, page long, text string")
+    got = [sorted(tuple(str(v) for v in r) for r in chunking.chunk(df.repartition(n), "page").collect()) for n in (1, 7)]
+    assert got[0] == got[1]
+    by = {}
+    for d, page, k, *_ in got[0]:
+        by.setdefault(d, []).append((int(k), -1 if page == "None" else int(page)))
+    for of in by.values():
+        of.sort()
+        assert [k for k, _ in of] == list(range(len(of))) and [p for _, p in of] == sorted(p for _, p in of)
+    plan = chunking.chunk(df, "page")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert not any("text" in line or "__chunks" in line for line in plan.split("\n") if "Window" in line)
 
 
 def test_chunks_run_on_over_pages(spark):
