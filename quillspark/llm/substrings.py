@@ -12,10 +12,9 @@ A window is ``WINDOW`` words in a row of one document. Words of every window who
    each hash, so that however common a window is, it is compared once for each group at most.
 3. Windows found repeated go back to their texts, and words they cover are left out.
 
-Texts are dealt once over groups of about ``GROUP_BYTES``, by doc_id; all steps after the sketch read them from that one shuffle.
+Texts are dealt once over groups of about ``GROUP_BYTES``, by doc_id and text, so that rows of one id are shared among groups; all steps after the sketch read them from that one shuffle.
 
-Nulls and edges: a null text has no words; a text of fewer than ``WINDOW`` words keeps all. Null doc_ids are documents like others, in one group
-by their text. Repeated rows lose all their words (if long enough), as their windows all start elsewhere too. An empty table gives an
+Nulls and edges: a null text has no words; a text of fewer than ``WINDOW`` words keeps all. Null doc_ids are documents like others. Repeated rows lose all their words (if long enough), as their windows all start elsewhere too. An empty table gives an
 empty result. Extra columns are ignored.
 """
 
@@ -163,7 +162,7 @@ def remove(docs: DataFrame, texts: bool = False, width: int = PART, per_cell: in
     parts, groups = parts_for(size, width, per_cell), max(GROUPS * n, -(-size // group_bytes))
     sketch = written(sketched(docs, parts, width))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int")).repartition(n, "group")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(n, "group")
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         """The group's anchors, each once, by part of the sketch."""
