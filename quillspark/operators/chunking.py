@@ -27,6 +27,10 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _blank(text: Column) -> Column:
+    return ~F.rlike(text, F.lit("[^" + SPACES[1:]))
+
+
 def sections(text: Column) -> Column:
     """Array of (title, breadcrumb, body); text before the first heading has neither title nor breadcrumb, and a page without headings is one such section."""
     marked = F.when(F.contains(text, F.lit("#")), F.regexp_replace(text, HEADING, "\x01$1\x02$2\x03")).otherwise(text)
@@ -132,14 +136,14 @@ def pieces(text: Column, given: Column) -> Column:
     def chunks(section: Column, headed: Column, t: Column) -> Column:
         title, crumb = F.when(headed, section["title"]).otherwise(given), section["breadcrumb"]
         whole = F.length(t["left"]) <= SIZE
-        left = F.when(strip(t["left"]) == "", F.array().cast("array<string>")).when(whole, F.array(t["left"])).otherwise(grouped(t["left"]))
+        left = F.when(_blank(t["left"]), F.array().cast("array<string>")).when(whole, F.array(t["left"])).otherwise(grouped(t["left"]))
         kind = F.when(~whole, "paragraph").when(headed, "section").otherwise("page")
         typed = lambda texts, kind: F.transform(texts, lambda x: F.struct(title.alias("section"), crumb.alias("breadcrumb"), kind.alias("chunk_type"), x.alias("text")))
         return F.concat(typed(t["found"], F.lit("table")), typed(left, kind))
 
     def section(s: Column, headed: Column) -> Column:
         body = F.when(headed, strip(s["body"])).otherwise(s["body"])
-        return _let(body, lambda b: F.when(strip(b) == "", F.array().cast(row)).otherwise(_let(tables(b), lambda t: chunks(s, headed, t))))
+        return _let(body, lambda b: F.when(_blank(b), F.array().cast(row)).otherwise(_let(tables(b), lambda t: chunks(s, headed, t))))
 
     clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARKS, "")
     found = _let(_let(clean, sections), lambda all_: F.flatten(F.transform(all_, lambda s: section(s, F.size(all_) > 1))))
@@ -160,10 +164,10 @@ def chunk(pages: DataFrame, page: str | None = None, along: list[str] = ()) -> D
     number = pages[page].cast("long") if page else F.lit(1).cast("long")
     given = F.coalesce(pages["section_title"].cast("string"), F.lit("")) if "section_title" in pages.columns else F.lit("")
     x = pages.select(pages["doc_id"], number.alias("page"), *[pages[c] for c in along], pieces(pages["text"], given).alias("__chunks"))
-    x = written(x.where(F.size("__chunks") > 0).withColumn("__row", F.monotonically_increasing_id()))
     tie = F.xxhash64("__chunks", *[F.col(c).cast("string") for c in along])
-    counts = x.select("doc_id", "page", tie.alias("__tie"), "__row", F.size("__chunks").cast("long").alias("__n"))
-    first = running(counts, "doc_id", ["page", "__tie", "__row"], "__n", "__first").select("__row", "__first")
+    x = x.withColumns({"__n": F.size("__chunks").cast("long"), "__tie": tie, "__row": F.monotonically_increasing_id()})
+    x = written(x)
+    first = running(x.select("doc_id", "page", "__tie", "__row", "__n"), "doc_id", ["page", "__tie", "__row"], "__n", "__first").select("__row", "__first")
     x = x.join(F.broadcast(first) if fits(first) else first.hint("shuffle_hash"), "__row")
     x = x.select("doc_id", "page", *along, "__first", F.posexplode("__chunks").alias("__k", "__chunk")).withColumn("chunk_index", F.col("__first") + F.col("__k"))
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("page").cast("string"), F.lit("-")), "chunk_index"), 256)

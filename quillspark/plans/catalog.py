@@ -333,12 +333,6 @@ def heading_guesses(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(layout.heading_guesses(F.coalesce("text", F.lit(""))), " / ").alias("guesses"))
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    """Held against the text in the tests; the recursive splitter can't be said in SQL."""
-    return chunking.chunk(table(spark, sf_dir, "documents"))
-
-
 def passages(spark, sf_dir):
     """Documents as chunks: of the file ``source``, numbered by doc_id, and of one-chunk documents."""
     d = table(spark, sf_dir, "documents")
