@@ -156,14 +156,29 @@ def test_neardup_of_a_doc_id_with_several_texts(spark):
     assert got == Counter((i, comp[i], i is not None and comp[i] == i) for i, _ in rows)
 
 
-def test_substrings(docs, rows):
+def plain_substrings(rows):
     seen = Counter(tuple(words(t)[k : k + 35]) for _, t, *_ in rows for k in range(len(words(t)) - 34))
     want = Counter()
     for i, t, *_ in rows:
         w = words(t)
         gone = {p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
         want[i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()] += 1
-    assert bag(substrings.report(docs)) == want
+    return want
+
+
+def test_substrings(docs, rows):
+    assert bag(substrings.report(docs)) == plain_substrings(rows)
+
+
+def test_substrings_of_a_doc_id_that_a_third_of_the_rows_share(spark):
+    """Its rows are documents of their own, and some passages are found under that id alone."""
+    r = random.Random(7)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    shared = [text(50) for _ in range(3)]
+    rows = [(1 if i % 3 == 0 else i, f"{text(20)} {shared[i % 3] if i % 4 == 0 else text(40)} {text(20)}") for i in range(150)] + [(1, None), (1, "short")]
+    want = plain_substrings(rows)
+    assert 20 < sum(n for (_, _, gone, _), n in want.items() if gone) < 60
+    assert bag(substrings.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want
 
 
 def test_substrings_with_a_small_sketch_and_many_groups(docs):
