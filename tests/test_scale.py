@@ -28,6 +28,16 @@ def texts(spark):
     return spark.createDataFrame(list(enumerate(said)), "chunk_key long, text string"), spark.createDataFrame(asked, "query_id long, text string")
 
 
+def test_bm25_deals_chunks_to_more_tasks_as_pairs_grow(spark, texts, monkeypatch):
+    want = rows(R.bm25(*texts))
+    monkeypatch.setattr(R, "PAIRS", 1000)
+    many = R.bm25(*texts)
+    assert "hashpartitioning(chunk_key" in plan(many) and ", 32)" in plan(many)  # 300 chunks x 105 pairs
+    assert rows(many) == want and want
+    for x in texts[0].select("text", R.counted(T.tokens(F.col("text"))).alias("c")).collect():
+        assert {c["term"]: c["tf"] for c in x["c"]} == Counter(w.lower() for w in x["text"].split())
+
+
 def test_quick_patterns_and_squeezing_are_the_plain_ones(spark):
     every = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
     x = every.select(F.rlike("c", F.lit(f"^{T.SPACES}$")) == F.rlike("c", F.lit(f"^{T.SPACE}$")), F.rlike("c", F.lit(f"^[^{T.READABLE}]$")) == F.rlike("c", F.lit(f"^{T.UNREADABLE}$"))).toDF("space", "unreadable")
