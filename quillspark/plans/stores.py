@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import flow, ivf
+from quillspark.operators.sizes import small
 from quillspark.plans.catalog import _BM25, _VEC, EVERY, asked, chunks, query, table, vectors
 from quillspark.sources import keyword_index, snapshots, store
 
@@ -78,7 +79,7 @@ def enriched_retrieval(spark, sf_dir):
     for k in range(BATCHES):
         made, entries = store.ingest(pages.where(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == k), F.lit("library"), F.lit(f"batch-{k}"))
         store.ingest_batch(made, entries, root, f"batch-{k}")
-    best = keyword_index.bm25_from(spark, f"{root}/chunks", asked(spark, sf_dir))[0]
+    best = small(snapshots.written(keyword_index.bm25_from(spark, f"{root}/chunks", asked(spark, sf_dir))[0]))
     held = keyword_index.stored(spark, f"{root}/chunks")
     of = flow.source_of(held)
     return best.join(held, "chunk_key").select("query_id", "rank", "score", *[of[c].alias(c) for c in flow.SOURCE])

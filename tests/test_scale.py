@@ -38,6 +38,18 @@ def test_bm25_deals_chunks_to_more_tasks_as_pairs_grow(spark, texts, monkeypatch
         assert {c["term"]: c["tf"] for c in x["c"]} == Counter(w.lower() for w in x["text"].split())
 
 
+def test_postings_are_made_without_a_shuffle(spark, texts, monkeypatch):
+    chunks, asked = texts
+    assert "Exchange" not in plan(keyword_index.packed(chunks))
+    root = snapshots.scratch(spark)
+    keyword_index.append(chunks, root, "b")
+    monkeypatch.setattr(keyword_index, "TOGETHER", 2)  # queries in several groups
+    columns = ["query_id", "chunk_key", "score", "rank"]
+    found = keyword_index.bm25_from(spark, root, asked)[0]
+    assert rows(found.select(columns)) == rows(R.top_k(R.bm25(chunks, asked)).select(columns))
+    assert snapshots.current(spark, root)[1]["segments"][0]["dl"] == sum(len(x["text"].split()) for x in chunks.collect())
+
+
 def test_quick_patterns_and_squeezing_are_the_plain_ones(spark):
     every = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
     x = every.select(F.rlike("c", F.lit(f"^{T.SPACES}$")) == F.rlike("c", F.lit(f"^{T.SPACE}$")), F.rlike("c", F.lit(f"^[^{T.READABLE}]$")) == F.rlike("c", F.lit(f"^{T.UNREADABLE}$"))).toDF("space", "unreadable")
