@@ -70,3 +70,12 @@ def test_a_page_in_several_rows_is_routed_as_its_candidates_are_chosen(spark):
     columns = ["doc_id", "method", "text", "kind", "reason", "chain", "heading"]
     assert rows(layout.route(pages).select(columns)) == rows(layout.choose(layout.candidates(pages)).select(columns))
     assert plan(layout._best(layout.candidates(pages).withColumns({"score": F.lit(1.0), "__most": F.lit(1.0)}))).count("Generate") == 1
+
+
+@pytest.mark.parametrize("sample", [1, 7, 25, 1000])
+def test_language_sample_moves_keys_not_texts(spark, sample):
+    r = random.Random(sample)
+    d = spark.createDataFrame([(r.choice([None, *range(12)]), r.choice(["the cat", "der hund", "le chat", None]), r.choice(["en", "de", "", None])) for _ in range(60)], "k long, text string, lang string").repartition(3)
+    some = d.where("coalesce(lang, '') <> '' and text is not null").orderBy("k", "text", "lang").limit(sample)
+    got = languages.fit(d, "k", sample)[0]
+    assert got.count() > 0 and {x["gram"] for x in got.collect()} == {x[0] for x in some.select(F.explode(languages.grams(F.col("text")))).collect()}
