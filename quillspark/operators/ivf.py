@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.retrieval import TOP_K, top_k
-from quillspark.operators.sizes import small
+from quillspark.operators.retrieval import SLICE, TOP_K, top_k
+from quillspark.operators.sizes import fits, small
 from quillspark.sources.snapshots import changed, current
 
 #: Rows that centroids are fitted on at most (those least by a hash of the key), steps, and vectors packed into one row.
 SAMPLE, STEPS, PACK = 20_000, 12, 1024
 #: Lists, and those probed. The probes suit vectors without clusters, whose neighbours are spread over many lists; clustered ones need far fewer.
 LISTS, PROBES = 128, 56
+#: Groups of queries (of about half a MB each) up to which they are broadcast, and packed rows that one of a list's parts has, about.
+GROUPS = 64
 
 
 def fit(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, steps: int = STEPS) -> np.ndarray:
@@ -133,7 +135,15 @@ def scored(asked: DataFrame, packed: DataFrame, width: int, k: int) -> DataFrame
     parts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("__parts"))
     dealt = asked.join(F.broadcast(parts), "list").withColumn("__g", F.pmod(F.xxhash64("query_id"), F.col("__parts")))  # a row a list
     together = dealt.groupBy("list", "__g").agg(F.collect_list(F.struct("query_id", "w")).alias("asked")).drop("__g")
-    x = packed.select("list", "keys", "m").join(small(together, 4096), "list").select("keys", "m", F.col("asked.query_id").alias("ids"), F.col("asked.w").alias("ws"))
+    rows = packed.select("list", "keys", "m")
+    if fits(together, GROUPS):
+        x = rows.join(F.broadcast(together), "list")
+    else:
+        # groups of queries go once to each part of their list's packed rows, so that no list comes to one task and none of them to the driver
+        spread = packed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUPS).alias("__n"))  # a row a list
+        rows = rows.join(F.broadcast(spread), "list").withColumn("__part", F.pmod(F.xxhash64("m"), F.col("__n"))).drop("__n")
+        x = rows.join(together.join(F.broadcast(spread), "list").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n").hint("shuffle_hash"), ["list", "__part"])
+    x = x.select("keys", "m", F.col("asked.query_id").alias("ids"), F.col("asked.w").alias("ws"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,11 +152,12 @@ def scored(asked: DataFrame, packed: DataFrame, width: int, k: int) -> DataFrame
                 keys, ids = keys.values, ids.values
                 v = np.frombuffer(m.as_py(), np.float64).reshape(len(keys), width)
                 w = np.frombuffer(b"".join(ws.as_py()), np.float64).reshape(len(ids), width)
-                s = np.round(1 - (2 - 2 * (w @ v.T)) / np.sqrt(2.0), 6)
                 place = np.argsort(np.argsort(np.array(keys.to_pylist()), kind="stable"), kind="stable")
-                took = np.concatenate([np.lexsort((place, -s[i]))[:k] for i in range(len(ids))])
-                left = np.repeat(np.arange(len(ids)), min(k, len(keys)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), keys.take(pa.array(took)), pa.array(s[left, took])], ["query_id", "chunk_key", "score"])
+                for at in range(0, len(ids), SLICE):
+                    s = np.round(1 - (2 - 2 * (w[at : at + SLICE] @ v.T)) / np.sqrt(2.0), 6)
+                    took = np.concatenate([np.lexsort((place, -s[i]))[:k] for i in range(len(s))])
+                    left = np.repeat(np.arange(len(s)), min(k, len(keys)))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(left + at)), keys.take(pa.array(took)), pa.array(s[left, took])], ["query_id", "chunk_key", "score"])
 
     return x.mapInArrow(score, f"query_id {kinds[0]}, chunk_key {kinds[1]}, score double")
 

@@ -79,3 +79,22 @@ def test_language_sample_moves_keys_not_texts(spark, sample):
     some = d.where("coalesce(lang, '') <> '' and text is not null").orderBy("k", "text", "lang").limit(sample)
     got = languages.fit(d, "k", sample)[0]
     assert got.count() > 0 and {x["gram"] for x in got.collect()} == {x[0] for x in some.select(F.explode(languages.grams(F.col("text")))).collect()}
+
+
+def test_inverted_file_by_shuffle_equals_broadcast(spark, monkeypatch):
+    r = random.Random(6)
+
+    def unit():
+        v = [r.gauss(0, 1) for _ in range(8)]
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    vectors = spark.createDataFrame([(i, unit()) for i in range(600)], "chunk_key long, embedding array<float>").repartition(3)
+    queries = vectors.where("chunk_key % 20 = 0").selectExpr("chunk_key as query_id", "embedding as query_embedding")
+    root, columns = snapshots.scratch(spark), ["query_id", "chunk_key", "score", "rank"]
+    ivf.add(vectors, root, "a", lists=6)
+    want = rows(R.vector_top_k(vectors, queries).select(columns))
+    monkeypatch.setattr(ivf, "GROUPS", 2)
+    found = ivf.certain(spark, root, queries, nprobe=2).select(columns)
+    assert "BroadcastExchange" in plan(found) and "ShuffledHashJoin" in plan(found)
+    assert rows(found) == want
