@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import passes
 from quillspark.functions import text as T
 from quillspark.operators import ivf, languages, layout
 from quillspark.operators import retrieval as R
@@ -62,6 +64,38 @@ def test_quick_patterns_and_squeezing_are_the_plain_ones(spark):
     assert str(layout.measured(F.col("t"))._jc).count("regexp_replace") <= 2
 
 
+def test_passes_over_whole_texts_are_the_plain_rules(spark, monkeypatch):
+    every = ["".join(map(chr, range(at, at + 97))) for at in range(0, 0x10000, 97) if not 0xD800 - 97 < at < 0xE000]
+    r = random.Random(4)
+    parts = ["a", "b.", "Long words. ", "é", "한", "다", "😀", " ", "  ", "\t", "　", "\n", "\n", "\r\n", "\x85", "\x0b", "\n\n\n", "x" * 119, "y" * 120, ";", "?"]
+    said = ["".join(r.choices(parts, k=r.randint(0, 40))) for _ in range(600)] + every + ["", None, " ", "😀" * 130 + "\nhead"]
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    t = F.coalesce("t", F.lit(""))
+    x = df.select("t", layout.measured(t).alias("m"), T.real_chars(t).alias("chars"), T.garble(t).alias("garble"), layout.squeezed(t).alias("s"), passes.squeezed(t).alias("p"))
+    assert x.where("m.chars <> chars or m.garble <> garble or s <> p").count() == 0 and x.count() == len(said)
+    texts = pa.array(said).slice(3)
+    want = [n.tolist() for n in passes.counts(texts)]
+    monkeypatch.setattr(passes, "SLICE", 7)
+    assert [n.tolist() for n in passes.counts(texts)] == want and passes.counts(pa.array([], pa.string()))[0].tolist() == []
+    odd = df.limit(1).select(F.unhex(F.lit("61FF20E4B8")).cast("string").alias("t"))
+    assert odd.select(layout.measured(F.col("t"))["chars"], F.length(passes.squeezed(F.col("t")))).first()[0] == 3
+
+
+def test_a_page_is_read_by_few_passes_and_one_text_is_squeezed(spark):
+    pages = spark.createDataFrame([(1, 1, "x", "scanned", None, "y", "z")], "doc_id long, page int, text string, kind string, headings array<string>, vlm_text string, ocr_text string")
+    said = plan(layout.route(pages))
+    assert said.count("_squeezed(") == 1 and said.count("_counted(") == 3 and "ArrowEvalPython" in said
+    assert said.count("regexp_replace") <= 3  # of 300 characters, for their language
+    assert T.language(F.col("text"))._jc.toString().startswith("CASE WHEN and(and(and(rlike(text")
+
+
+def test_language_counts_only_texts_with_hangul(spark):
+    plain = lambda t: "ko" if len(t.strip()) >= 10 and sum("가" <= c <= "힣" or c.isascii() and c.isalpha() for c in t) and sum("가" <= c <= "힣" or "ᄀ" <= c <= "ᇿ" or "㄰" <= c <= "㆏" for c in t) / sum("가" <= c <= "힣" or c.isascii() and c.isalpha() for c in t) > 0.3 else "unknown"
+    r = random.Random(9)
+    said = ["".join(r.choices("abc 가나ᄀㅏ12", k=r.randint(0, 30))) for _ in range(400)] + ["only words of it", "ᄀᄁᄂ" * 5, "ㅏㅑㅓ" * 5 + "a"]
+    assert [x[0] for x in spark.createDataFrame([(t,) for t in said], "t string").coalesce(1).select(T.language(F.col("t"))).collect()] == [plain(t) for t in said]
+
+
 def test_a_page_in_several_rows_is_routed_as_its_candidates_are_chosen(spark):
     r = random.Random(8)
     words = ["engine", "valve", "~~~~", "e~~", "reads", "　", "\n"]
