@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import passes
 from quillspark.functions import text as T
-from quillspark.operators import ivf, languages, layout
+from quillspark.operators import flow, ivf, languages, layout
 from quillspark.operators import retrieval as R
 from quillspark.sources import keyword_index, snapshots
 
@@ -132,3 +132,19 @@ def test_inverted_file_by_shuffle_equals_broadcast(spark, monkeypatch):
     found = ivf.certain(spark, root, queries, nprobe=2).select(columns)
     assert "BroadcastExchange" in plan(found) and "ShuffledHashJoin" in plan(found)
     assert rows(found) == want
+
+
+def test_an_answer_holds_a_text_once(spark):
+    chunks = spark.createDataFrame([(i, "d", "a.pdf", "library", 1, i, "", "en", f"[Document: a.pdf]\npart {i}" if i else " ") for i in range(4)], "chunk_key long, doc_id string, source string, source_type string, page int, chunk_index long, section string, lang string, text string")
+    found = spark.createDataFrame([(q, k, 4 - k) for q in (1, 2) for k in range(4)], "query_id long, chunk_key long, rank int")
+    asks = spark.createDataFrame([(1, True), (2, False), (3, True)], "query_id long, extract boolean")
+    got = flow.told(found, chunks, asks)
+    said = {x["query_id"]: x for x in got.collect()}
+    assert set(said) == {1, 2} and said[1]["context"] is None and said[2]["all_text"] is None and said[1]["first_type"] == "library"
+    assert said[1]["all_text"] == "part 3\n\npart 2\n\npart 1"  # blank text is left out
+    line = "[Doc: a.pdf | Page: 1 | Section: Lang: en]".replace("Section: ", "Section:  | ")
+    assert said[2]["context"] == "\n\n".join(f"{line}\n{t}" for t in ("part 3", "part 2", "part 1", ""))
+    assert [s["chunk_key"] for s in said[1]["sources"]] == [3, 2, 1, 0]
+    # one text a chunk goes to the task that makes the answer, and from there no further shuffle is due to meet the requests
+    moved = plan(asks.join(got, "query_id"))
+    assert "line:string" not in moved and moved.count("collect_list") == 2 and "hashpartitioning(query_id, extract" not in moved
