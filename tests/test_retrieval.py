@@ -98,6 +98,44 @@ def test_vectors_in_blocks_and_scopes(spark):
         assert [got[q][k] for k in range(1, 5)] == [(c, -x) for x, c in scored]
 
 
+def test_all_vectors_as_queries_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 8))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[40:60] = m[3]  # equal scores: the smaller keys are taken
+    rows = [(i, m[i].tolist(), f"s{i % 4}") for i in range(300)]
+    v = spark.createDataFrame(rows, "chunk_key long, embedding array<double>, source string").repartition(3)
+    q = spark.createDataFrame([(i, e, s if i % 3 == 1 else None) for i, e, s in rows], "query_id long, query_embedding array<double>, source string").repartition(2)
+    ids = lambda found: {i: [(x["chunk_key"], x["score"]) for x in sorted((x for x in found if x["query_id"] == i), key=lambda x: x["rank"])] for i in range(300)}
+    few = ids(R.vector_top_k(v, q, 4, size=16).collect())
+    monkeypatch.setattr(R, "BLOCKS", 2)
+    parts = R.vector_top_k(v, q, 4, size=16)
+    assert "CartesianProduct" in parts._jdf.queryExecution().executedPlan().toString()
+    s = np.round(1 - (2 - 2 * (m @ m.T)) / math.sqrt(2), 6)
+    for i, got in ids(parts.collect()).items():
+        want = sorted((-float(s[i, j]), j) for j in range(300) if i % 3 != 1 or j % 4 == i % 4)[:4]
+        assert [(k, -x) for x, k in want] == got == few[i]
+
+
+def test_confidence_asks_the_vector_of_every_question(spark, tmp_path):
+    lengths = {0: 1.0, 7: 0.8, 13: 0.9, 50: 1.0, 51: 0.2}  # a vector of length a has a * a with itself, and 0 with the others
+    vectors = {i: [a if j == n else 0.0 for j in range(5)] for n, (i, a) in enumerate(lengths.items())}
+    docs = [(7, "pump shaft seal", "en", "s", 15), (13, "gear", "en", "s", 4)]
+    asked = [(7, "zebra"), (13, "gear"), (60, "pump shaft"), (61, "unheard")]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("embeddings", list(vectors.items()), "vec_id long, embedding array<float>"), ("benchmark", asked, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    score = {i: 1 - (2 - 2 * a * a) / math.sqrt(2) for i, a in lengths.items()}
+    want = {i: s for i, s in score.items() if s >= 0.3}  # 51 has none that is relevant
+    want[13] = min(1.0, max(score[13] + 0.15, 0.75))  # in both lists, and a strong hit
+    want[60] = 0.75  # without a vector
+    got = {x["query_id"]: x["confidence"] for x in entry.queries()["confidence"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in want)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert dict(con.execute(catalog.ORACLES["confidence"]).fetchall()) == pytest.approx(want, abs=1e-6)
+
+
 CHUNKS = "chunk_key long, doc_id string, source string, source_type string, page string, chunk_index long, section string, lang string, text string"
 
 
